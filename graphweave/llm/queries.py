@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, langid, token_files
+from . import audio, bpe, chat, langid, secret_scan, token_files
 from .common import table
 
 
@@ -14,10 +14,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return chat.digest(chat.format_paths(chat.best_paths(chat.chains(rows.union(own)))))
+
+
 def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    found, _ = secret_scan.scan_paths(secret_scan.blobs(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(found)
+
+
 def op6_telephony_audio(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return audio.digest(audio.decode_media(audio.encode_media(docs), keep_pcm=False))
@@ -32,5 +44,5 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_telephony_audio, op8_byte_bpe, op10_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op8_byte_bpe, op10_token_files)}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
