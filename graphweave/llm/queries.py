@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, langid, secret_scan, token_files
+from . import audio, bpe, chat, html_extract, langid, secret_scan, token_files
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_telephony_audio(spark, sf_dir):
     return audio.digest(audio.decode_media(audio.encode_media(docs), keep_pcm=False))
 
 
+def op7_html_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -44,5 +48,5 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op8_byte_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op7_html_text, op8_byte_bpe, op10_token_files)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
