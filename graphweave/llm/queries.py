@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, html_extract, langid, secret_scan, token_files
+from . import audio, bpe, chat, html_extract, jaccard, langid, secret_scan, token_files
 from .common import table
 
 
@@ -44,9 +44,13 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op7_html_text, op8_byte_bpe, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
