@@ -170,14 +170,14 @@ class Cache:
     It holds ``limit`` slices at most and starts anew beyond that.
     """
 
-    def __init__(self, fill, limit: int = 600_000, dtype=np.uint16):
+    def __init__(self, fill, limit: int = 1_500_000, dtype=np.uint16):
         self.fill, self.limit, self.dtype = fill, limit, dtype
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.len = np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +195,21 @@ class Cache:
             new = np.flatnonzero(~known)
             raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
             flat, length = self.fill([raw[a:b] for a, b in zip(s, e, strict=True)])
-            at = len(self.ids) + np.cumsum(length) - length
+            at = (len(self.ids) + np.cumsum(length) - length).astype(np.int32)
             self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
             self.at = np.insert(self.at, place[new], at)
             self.len = np.insert(self.len, place[new], length)
             self.keys = np.insert(self.keys, place[new], key[new])
             place = np.searchsorted(self.keys, key)
-        lengths = self.len[place][back]
+        lengths = self.len[place][back].astype(np.int64)
         return self.ids[ragged(self.at[place][back], lengths)], lengths
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps from task to task, such as caches and tables; the same for all tasks that ask for ``key``."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, html_extract, jaccard, langid, secret_scan, token_files
+from . import audio, bpe, chat, gru_lm, html_extract, jaccard, langid, secret_scan, token_files
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan.digest(found)
 
 
+def op5_lm_score(spark, sf_dir):
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_telephony_audio(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return audio.digest(audio.decode_media(audio.encode_media(docs), keep_pcm=False))
@@ -52,5 +56,5 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op5_lm_score, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
