@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, chunks, mix, prepare, ragged
+from .common import Cache, chunks, kept, mix, prepare, ragged
 
 # symbols
 LETTER, NUMBER, OTHER, GAP, LAST_SPACE, LAST_WHITE, MARK2, MARK3, END = range(9)
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = merger(ranks)
-        cache = Cache(m.fill, dtype=np.uint16 if len(m.bytes) <= 1 << 16 else np.uint32)
+        cache = kept(("bpe", ranks), lambda: Cache(m.fill, dtype=np.uint16 if len(m.bytes) <= 1 << 16 else np.uint32))
         size = np.array([len(b) for b in m.bytes])
         for rows, data, offsets in chunks(batches):
             starts, ends, number = slices(data, offsets)

@@ -25,22 +25,49 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, chunks, parts, prepare, shared_dir, spans
+from .common import LOWER, SPACE, Cache, chunks, kept, parts, prepare, shared_dir, spans
 
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id in .doc files
 
 
+#: Classes of bytes: ASCII letters, digits and other signs; 0 for the apostrophe, white space and all that isn't ASCII.
+KIND = np.array([0 if b > 127 or b == 39 or SPACE[b] else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut further where the tokenizer cuts in any case: between ASCII letters, digits and signs, and after each digit."""
+    starts, ends, words = spans(data, offsets)
+    kind = KIND[data]
+    a, b = kind[:-1], kind[1:]
+    cut = np.flatnonzero((a > 0) & (b > 0) & ((a != b) | (a == 2))) + 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    cut = cut[~edge[cut]]
+    starts = np.sort(np.concatenate([starts, cut]))
+    ends = np.sort(np.concatenate([ends, cut]))
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
 def word_encoder(path: str):
-    """ids of words by a tokenizers file; white space only separates there, so words may be encoded apart."""
+    """ids of pieces by a tokenizers file whose pre-tokenizer drops white space and splits letters, digits and signs."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    tokenize = tok.model.tokenize
 
     def fill(words: list[bytes]):
-        ids = [x.ids for x in batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        ids: list = [None] * len(words)
+        rest = []
+        for k, w in enumerate(words):
+            if w.isalpha():  # ASCII letters in lower case: one piece that no step before the model changes
+                ids[k] = [t.id for t in tokenize(w.decode())]
+            else:
+                rest.append(k)
+        for k, x in zip(rest, batch([words[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = x.ids
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int64, int(length.sum())), length
 
@@ -60,9 +87,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def write(batches):
         from pyspark import TaskContext
 
-        fill, size = word_encoder(tokenizer)
+        cache, size = kept(("words", tokenizer), lambda: (lambda fill, n: (Cache(fill, dtype=np.uint16 if n <= 1 << 16 else np.uint32), n))(*word_encoder(tokenizer)))
         kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-        cache = Cache(fill, dtype=np.dtype(kind))
         where, root = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
@@ -71,11 +97,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             if out is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(name + ".bin")
-            starts, ends, words = spans(data, offsets)
+            data = LOWER[data]  # the tokenizer's own lower-casing, so that more words are alike
+            starts, ends, words = pieces(data, offsets)
             ids, length = cache.look(data, starts, ends)
             edge = np.concatenate([[0], np.cumsum(length)])[np.cumsum(words)]
-            stream = np.insert(ids, edge, np.array(end_id, ids.dtype))
-            out.write(stream.astype(kind, copy=False).tobytes())
+            stream = np.insert(ids.astype(kind, copy=False), edge, end_id)
+            out.write(stream.tobytes())
             ids_n.append(np.diff(np.concatenate([[0], edge])) + 1)
             docs_id.append(rows.column("doc_id").fill_null(int(NONE)).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is not None:
