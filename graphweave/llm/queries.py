@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, gru_lm, html_extract, jaccard, langid, secret_scan, token_files
+from . import audio, bpe, chat, decontam, gru_lm, html_extract, jaccard, langid, secret_scan, token_files
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark, sf_dir):
     found, _ = secret_scan.scan_paths(secret_scan.blobs(table(spark, sf_dir, "documents")))
     return secret_scan.digest(found)
@@ -56,5 +60,5 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op4_secret_scan, op5_lm_score, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_decontamination, op4_secret_scan, op5_lm_score, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
