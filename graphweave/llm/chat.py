@@ -49,11 +49,13 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     state = messages.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")).checkpoint()
     tables = []
     for _ in range(ROUNDS):
-        if state.where("up is not null").limit(1).count() == 0:
+        going = state.where("up is not null")  # messages that have reached their root rest
+        if going.limit(1).count() == 0:
             break
-        tables.append(state.select("tree", "node", "up").where("up is not null"))
+        tables.append(going.select("tree", "node", "up"))
         far = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = state.join(far, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")).checkpoint()
+        going = going.join(far, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
+        state = state.where("up is null").select("tree", "node", "up", "depth", "total").union(going).checkpoint()
     return tables, state.where("up is null").select("tree", "node", "depth", "total")
 
 
@@ -63,15 +65,17 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages: tree string, node long, parent long, role string, text string, score double; nodes are unique in a tree.
     """
     prepare(messages.sparkSession)
-    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    messages = messages.join(known, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there")
-    tables, rooted = jumps(messages)
-    leaves = rooted.join(messages.where("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
+    shape = messages.select("tree", "node", "parent", "score").checkpoint()
+    known = shape.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    shape = shape.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score")
+    tables, rooted = jumps(shape)
+    leaves = rooted.join(shape.where("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
     order = W.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
-    path = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node")
+    path = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node").checkpoint()
     for table in reversed(tables):
-        path = path.union(path.join(table, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node")))
-    return path.join(rooted.select("tree", "node", F.col("depth").alias("pos")), ["tree", "node"]).join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "node", "pos", "role", "text")
+        path = path.union(path.join(table, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"))).checkpoint()
+    placed = path.join(rooted.select("tree", "node", F.col("depth").alias("pos")), ["tree", "node"])
+    return placed.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "node", "pos", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:
