@@ -6,7 +6,7 @@
    at most d shingles differ.  In hash order each differing shingle breaks one
    run of common ones, so among the first (w - 1)(d + 1) + 1 common shingles
    some w stand side by side in both sets.  Each class therefore emits the runs
-   of w = 3 consecutive hashes inside a prefix of a length derived from its size
+   of w = 4 consecutive hashes inside a prefix of a length derived from its size
    (the bound holds for every size a partner may have).  Classes that share a run
    are joined, transitively, into candidate clusters; no pairs are listed.
 3. In a cluster, classes are cut into blocks by size and hash.  Only blocks whose
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, hashes, mix, parts, prepare, ragged, shared_dir, shingles, spans
 from .components import components
 
-RUN = 3
+RUN = 4
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
 FLUSH = 1 << 20
+CODE = float(np.log(1.001))
+BITS = 1 << 26  # of the filter that is broadcast: 8 MB
 
 
 def prefix_lengths(most: int, percent: int, run: int = RUN) -> np.ndarray:
@@ -66,15 +68,20 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     return h[keep], np.bincount(doc[keep], minlength=len(number))
 
 
+def size_codes(number: np.ndarray) -> np.ndarray:
+    """16 bits that grow with the size, in steps of a thousandth."""
+    return np.floor(np.log(np.maximum(1, number)) / CODE).astype(np.uint64)
+
+
 def signatures(h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit values per set."""
+    """Two 64-bit values per set; the first one's low 16 bits are the size's code."""
     out = []
     for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
         end = np.cumsum(number)
         with np.errstate(over="ignore"):
-            out.append(mix(total[end] - total[end - number] + number.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+            out.append(mix(total[end] - total[end - number] + number.astype(np.uint64)))
+    return (out[0] & ~np.uint64(0xFFFF) | size_codes(number)).view(np.int64), out[1].view(np.int64)
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
@@ -153,23 +160,36 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _shared_runs(packed: DataFrame) -> DataFrame:
+def shared_edges(key: np.ndarray, owner: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the owners of each key, cut where sizes next to each other are too far apart.
+
+    In order of size, a gap wider than the threshold allows lets no pair across.
+    """
+    gap = np.log(100 / percent) / CODE + 1
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    many = np.zeros(len(key), bool)
+    equal = key[1:] == key[:-1]
+    many[1:] |= equal
+    many[:-1] |= equal
+    key, owner = key[many], owner[many]
+    order = np.lexsort((owner, owner.view(np.uint64) & np.uint64(0xFFFF), key))
+    key, owner = key[order], owner[order]
+    code = (owner.view(np.uint64) & np.uint64(0xFFFF)).astype(np.int64)
+    link = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1]) & (np.diff(code) <= gap)
+    return owner[:-1][link], owner[1:][link]
+
+
+def _shared_runs(packed: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         body = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("body").to_pylist()]
         if not body:
             return
         pair = np.concatenate(body).reshape(-1, 2)
-        key, owner = pair[:, 0].copy(), pair[:, 1].copy().view(np.int64)
-        del pair, body
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(new)
-        head = np.repeat(owner[start], np.diff(np.append(start, len(key))))
-        other = head != owner
-        if other.any():
-            node, root = forest(owner[other], head[other])
+        del body
+        u, v = shared_edges(pair[:, 0].copy(), pair[:, 1].copy().view(np.int64), percent)
+        if len(u):
+            node, root = forest(u, v)
             out = node != root
             yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(root[out])], ["u", "v"])
 
@@ -206,7 +226,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 
 def _verify(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks: key, side (0: both, 1, 2), rep, body, sorted by key inside partitions."""
+    """blocks: key, side (0: both, 1, 2), a, body, sorted by key inside partitions."""
 
     def links(rows):
         reps = np.array([r[1] for r in rows], np.int64)
@@ -227,7 +247,7 @@ def _verify(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         now, rows, us, vs = None, [], [], []
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "side", "rep", "body")), strict=True):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "side", "a", "body")), strict=True):
                 if key != now:
                     if len(rows) > 1:
                         u, v = links(rows)
@@ -245,37 +265,68 @@ def _verify(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "u long, v long")
 
 
-def _bodies(rows: DataFrame, k: int) -> DataFrame:
+def _filter(ids: DataFrame, n: int) -> np.ndarray:
+    """BITS bits, set where some id's hash falls: a filter of fixed size that lets every id pass."""
+
     def run(batches):
-        for batch, data, offsets in chunks(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column("bit").to_numpy(zero_copy_only=False)
+            block = bit >> 16
+            for k in np.unique(block).tolist():
+                held.setdefault(k, np.zeros(1 << 16, bool))[bit[block == k] & 0xFFFF] = True
+        for k, x in held.items():
+            yield pa.RecordBatch.from_pydict({"block": [k], "body": [np.packbits(x).tobytes()]})
+
+    bit = F.pmod(F.xxhash64("rep"), F.lit(BITS))
+    rows = ids.select(bit.alias("bit"), F.shiftright(bit, 16).alias("block")).repartition(n, "block")
+    out = np.zeros(BITS // 8, np.uint8).reshape(-1, 1 << 13)
+    for r in rows.mapInArrow(run, "block long, body binary").toLocalIterator():
+        out[r["block"]] |= np.frombuffer(r["body"], np.uint8)
+    return out.ravel()
+
+
+def _bodies(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(a, b, body): the sets of the documents whose id passes the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def passing(batches):
+        bits = shared.value
+        for b in batches:
+            at = b.column("bit").to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    def run(batches):
+        for batch, data, offsets in chunks(passing(batches)):
             h, number = document_sets(data, offsets, k)
+            a, b = signatures(h, number)
             cut = np.concatenate([[0], np.cumsum(number)]).tolist()
             body = pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("keys"), body], ["rep", "keys", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), body], ["a", "b", "body"])
 
-    return rows.mapInArrow(run, "rep long, keys array<struct<key:string,side:int>>, body binary")
+    return docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("bit")).mapInArrow(run, "a long, b long, body binary")
 
 
 def _block_keys(members: DataFrame, percent: int) -> DataFrame:
-    """(rep, keys): the block pairs that each class representative meets others in."""
+    """(a, b, keys): the block pairs that each class meets others in."""
     step = float(np.log(100 / percent))
     members = members.withColumn("bin", F.floor(F.log(F.col("n")) / step).cast("int"))
     per_bin = members.groupBy("cluster", "bin").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
     info = per_bin.withColumn("blocks", blocks).groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("of")).checkpoint()
-    rows = members.select("rep", "bin", "cluster").join(info, "cluster")
+    rows = members.select("a", "b", "bin", "cluster").join(info, "cluster")
     row = F.struct
-    mine = F.pmod(F.xxhash64("rep"), F.col("of")[F.col("bin")]).cast("int")
+    mine = F.pmod(F.xxhash64("b"), F.col("of")[F.col("bin")]).cast("int")
     span = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda *x: F.concat_ws("/", F.col("cluster").cast("string"), *[y.cast("string") for y in x])
-    b = F.col("bin")
+    b = F.col("bin")  # classes of one bin may meet those of the next
     same = F.transform(span(F.col("of")[b]), lambda r: row(name(b, F.least(r, F.col("r")), b, F.greatest(r, F.col("r"))).alias("key"), F.when(r == F.col("r"), 0).when(F.col("r") < r, 1).otherwise(2).alias("side")))
     up = F.transform(span(F.col("of")[b + 1]), lambda r: row(name(b, F.col("r"), b + 1, r).alias("key"), F.lit(1).alias("side")))
     down = F.transform(span(F.col("of")[b - 1]), lambda r: row(name(b - 1, r, b, F.col("r")).alias("key"), F.lit(2).alias("side")))
     whole = F.array(row(name(F.lit("all")).alias("key"), F.lit(0).alias("side")))
     kind = "array<struct<key:string,side:int>>"
     keys = F.when((F.col("docs") <= BLOCK_DOCS) & (F.col("all_n") <= BLOCK_SHINGLES), whole.cast(kind)).otherwise(F.concat(same.cast(kind), up.cast(kind), down.cast(kind)))
-    return rows.withColumn("r", mine).select("rep", keys.alias("keys"))
+    return rows.withColumn("r", mine).select("a", "b", keys.alias("keys"))
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,19 +337,20 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     sets = _classes(docs, k).checkpoint()
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
 
-    edges = _shared_runs(_runs(docs, k, percent, 4 * n).repartition(n, "slot"))
+    edges = _shared_runs(_runs(docs, k, percent, 4 * n).repartition(n, "slot"), percent)
     cluster = components(edges.checkpoint())
     roots = cluster.select(F.col("root").alias("a")).distinct().select("a", F.col("a").alias("cluster"))
     member = cluster.select(F.col("node").alias("a"), F.col("root").alias("cluster")).union(roots)
-    members = member.join(classes, "a").where("rep is not null").select("rep", "n", "cluster").checkpoint()
+    members = member.join(classes, "a").where("rep is not null").select("a", "b", "n", "rep", "cluster").checkpoint()
 
     place = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    keyed = _block_keys(members, percent)
-    texts = docs.join(keyed, docs["doc_id"] == keyed["rep"]).select("rep", "keys", "text")
-    _bodies(texts, k).write.parquet(place)
-    blocks = spark.read.parquet(place).select("rep", "body", F.explode("keys").alias("x")).select(F.col("x.key").alias("key"), F.col("x.side").alias("side"), "rep", "body")
+    bodies = _bodies(docs, k, _filter(members, n))
+    bodies.join(_block_keys(members, percent), ["a", "b"]).write.parquet(place)
+    blocks = spark.read.parquet(place).select("a", "body", F.explode("keys").alias("x")).select(F.col("x.key").alias("key"), F.col("x.side").alias("side"), "a", "body")
     links = _verify(blocks.repartition(n, "key").sortWithinPartitions("key"), percent)
-    joined = components(links.checkpoint())
+    joined = components(links.checkpoint()).select(F.col("node").alias("a"), "root")
 
-    found = classes.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").select("a", "b", "n", F.coalesce("root", "rep").alias("component")).checkpoint()
+    rooted = classes.join(joined, "a", "left").select("a", "b", "n", "rep", F.coalesce("root", "a").alias("root")).checkpoint()
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component")).checkpoint()
+    found = rooted.join(least, "root").select("a", "b", "n", "component").checkpoint()
     return sets.join(found, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
