@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] = ()) -> DataFr
     """(doc_id, lang_pred, score, bits) and the columns of ``keep``; bits: the code length in the named language."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", *keep)
+    rows = docs.select("doc_id", "text", *[c for c in keep if c != "text"])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches):
