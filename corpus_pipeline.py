@@ -1,11 +1,80 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to tokens in five stages.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes all documents that the one before it kept and, but for the
+last, returns the columns of documents; other columns of its input are left out.
+Between stages the rows are written and read again, which cuts lineage.
 
+1. language_id: learns from the labelled documents; rows of no language go (null
+   text, no letter, or no labelled row at all).
+2. near_duplicates: one row of each group of similar texts stays, that of the
+   smallest doc_id.  Rows without a doc_id stay.
+3. decontamination: documents that hold a benchmark item go.
+4. secret_scan: findings are replaced by ``[SECRET]`` and n_chars follows.
+5. byte_bpe: token ids, decoded again; per document their number and digests.
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweave.llm import bpe, decontam, jaccard, langid, secret_scan
+from graphweave.llm.common import shared_dir, table
+from graphweave.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ORACLE_SQL = None  # byte models and tokens aren't expressible; tests/llm compare with brute force
+
+
+def _written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """A table in the shared folder: computed once, of a size that the planner knows."""
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs.where(langid.fold(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs, model, [c for c in COLUMNS if c != "doc_id"]).where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    kept = jaccard.similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(_written(kept, spark, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.union(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(_written(leaks, spark, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS).withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    _, ledger = secret_scan.scan_paths(secret_scan.blobs(docs))
+    found = _written(ledger.where(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("spans")), spark, "findings")
+    clean = secret_scan.redact(F.col("text"), F.col("spans"))
+    both = docs.join(found, "blob", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    return both.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.encode(docs, ranks), ranks)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scanning), ("byte_bpe", byte_bpe)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = _written(stage(spark, docs, sf_dir), spark, name)
     return docs
