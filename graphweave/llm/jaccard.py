@@ -37,7 +37,7 @@ from .components import components
 
 RUN = 4
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 18
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 CODE = float(np.log(1.001))
 BITS = 1 << 26  # of the filter that is broadcast: 8 MB
 
@@ -181,17 +181,35 @@ def shared_edges(key: np.ndarray, owner: np.ndarray, percent: int) -> tuple[np.n
 
 
 def _shared_runs(packed: DataFrame, percent: int) -> DataFrame:
+    """packed: sorted by slot inside partitions.  One slot is in memory at a time; a task's links are merged before they leave."""
+
     def run(batches):
-        body = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("body").to_pylist()]
-        if not body:
-            return
-        pair = np.concatenate(body).reshape(-1, 2)
-        del body
-        u, v = shared_edges(pair[:, 0].copy(), pair[:, 1].copy().view(np.int64), percent)
-        if len(u):
-            node, root = forest(u, v)
-            out = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(root[out])], ["u", "v"])
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        held, now, body = 0, None, []
+
+        def close():
+            pair = np.frombuffer(b"".join(body), np.uint64).reshape(-1, 2)
+            u, v = shared_edges(pair[:, 0].copy(), pair[:, 1].copy().view(np.int64), percent)
+            if len(u):
+                u, v = forest(u, v)
+                us.append(u[u != v])
+                vs.append(v[u != v])
+            return len(us[-1])
+
+        for b in batches:
+            for slot, x in zip(b.column("slot").to_pylist(), b.column("body").to_pylist(), strict=True):
+                if slot != now and body:
+                    held += close()
+                    body.clear()
+                    if held > 1 << 19:
+                        u, v = forest(np.concatenate(us), np.concatenate(vs))
+                        us, vs, held = [u[u != v]], [v[u != v]], 0
+                now = slot
+                body.append(x)
+        if body:
+            close()
+            u, v = forest(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
 
     return packed.mapInArrow(run, "u long, v long")
 
@@ -337,7 +355,9 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     sets = _classes(docs, k).checkpoint()
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
 
-    edges = _shared_runs(_runs(docs, k, percent, 4 * n).repartition(n, "slot"), percent)
+    # many slots, so that each is small, and few tasks, each of which merges the links of its slots
+    packed = _runs(docs, k, percent, 8 * n).repartition(n, "slot").coalesce(max(1, n // 4)).sortWithinPartitions("slot")
+    edges = _shared_runs(packed, percent)
     cluster = components(edges.checkpoint())
     roots = cluster.select(F.col("root").alias("a")).distinct().select("a", F.col("a").alias("cluster"))
     member = cluster.select(F.col("node").alias("a"), F.col("root").alias("cluster")).union(roots)
