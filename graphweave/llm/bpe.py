@@ -282,9 +282,12 @@ class Merger:
         return flat[order], np.bincount(who, minlength=len(pieces))
 
 
-@lru_cache(2)
-def merger(path: str) -> Merger:
-    return Merger(path)
+def merger(path: str) -> tuple[Merger, Cache]:
+    def make():
+        m = Merger(path)
+        return m, Cache(m.fill, dtype=np.uint16 if len(m.bytes) <= 1 << 16 else np.uint32)
+
+    return kept(("bpe", path), make)
 
 
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,10 +313,9 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
 
     def run(batches):
-        m = merger(ranks)
-        cache = kept(("bpe", ranks), lambda: Cache(m.fill, dtype=np.uint16 if len(m.bytes) <= 1 << 16 else np.uint32))
+        m, cache = merger(ranks)
         size = np.array([len(b) for b in m.bytes])
-        for rows, data, offsets in chunks(batches):
+        for rows, data, offsets in chunks(batches, 2 << 20):
             starts, ends, number = slices(data, offsets)
             ids, length = cache.look(data, starts, ends)
             edge = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(number)])].astype(np.int32)
@@ -334,7 +336,7 @@ def digest(encoded: DataFrame, ranks: str) -> DataFrame:
     """Decode the ids and keep digests of ids and bytes."""
 
     def run(batches):
-        m = merger(ranks)
+        m, _ = merger(ranks)
         names = [str(i) for i in range(len(m.bytes))]
         for b in batches:
             lists = b.column("ids")

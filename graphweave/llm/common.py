@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 #: The bytes that separate words: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -32,10 +32,15 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and set a checkpoint folder where the session has none."""
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    """Let Python workers import this package, bound their memory, and set a checkpoint folder where the session has none."""
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
+    # workers give memory back after a batch, and batches of long texts stay small
+    env |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     shared_dir(spark)
     return spark
 
@@ -170,7 +175,7 @@ class Cache:
     It holds ``limit`` slices at most and starts anew beyond that.
     """
 
-    def __init__(self, fill, limit: int = 1_500_000, dtype=np.uint16):
+    def __init__(self, fill, limit: int = 400_000, dtype=np.uint16):
         self.fill, self.limit, self.dtype = fill, limit, dtype
         self.clear()
 
@@ -209,7 +214,8 @@ _kept: dict = {}
 
 
 def kept(key, make):
-    """What a Python worker keeps from task to task, such as caches and tables; the same for all tasks that ask for ``key``."""
+    """What a Python worker keeps from task to task, such as caches and tables: that of the last ``key`` only."""
     if key not in _kept:
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, strings
+from .common import chunks, kept, prepare, strings
 
 ORDER = 3
 PAD = 10  # the byte that stands before a text
@@ -152,14 +152,8 @@ class Prices:
         return out
 
 
-_prices: dict[str, Prices] = {}
-
-
 def prices(model: dict) -> Prices:
-    if model["id"] not in _prices:
-        _prices.clear()
-        _prices[model["id"]] = Prices(model)
-    return _prices[model["id"]]
+    return kept(("ppm", model["id"]), lambda: Prices(model))
 
 
 def train(docs: DataFrame, bytes_per_language: int = 384 << 10) -> dict | None:

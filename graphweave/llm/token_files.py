@@ -93,7 +93,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         shard = TaskContext.get().partitionId()
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         ids_n, docs_id, out = [], [], None
-        for rows, data, offsets in chunks(batches, column="text"):
+        for rows, data, offsets in chunks(batches, 3 << 20):
             if out is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(name + ".bin")
