@@ -1,4 +1,11 @@
 """The queries over the driver's tables and their SQL."""
 
+from __future__ import annotations
+
+from . import contact_queries, graph_queries, sequence_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (contact_queries, sequence_queries, graph_queries):
+    QUERIES |= _module.BOOK.queries
+    ORACLES |= _module.BOOK.oracles
