@@ -183,4 +183,4 @@ def dominant_chromosome(votes: DataFrame, least: float = 0.5) -> DataFrame:
     """(ctg, chr): the chromosome of most bins if it has at least ``least`` of them, else unreliable.  votes: ctg, chr."""
     rows = votes.groupBy("ctg", "chr").agg(F.count("*").alias("n"))
     total = rows.groupBy("ctg").agg(F.sum("n").alias("all"), F.max_by("chr", F.struct("n", "chr")).alias("top"), F.max("n").alias("best"))
-    return total.select("ctg", F.when(F.col("best") >= least * F.col("all"), F.col("top")).otherwise("unreliable").alias("chr"))
+    return total.select("ctg", F.when(F.col("best") >= least * F.col("all"), F.col("top").cast("string")).otherwise("unreliable").alias("chr"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import contact_queries, graph_queries, sequence_queries
+from . import compare_queries, contact_queries, graph_queries, sequence_queries, tour_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (contact_queries, sequence_queries, graph_queries):
+for _module in (contact_queries, sequence_queries, graph_queries, tour_queries, compare_queries):
     QUERIES |= _module.BOOK.queries
     ORACLES |= _module.BOOK.oracles
