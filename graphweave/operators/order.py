@@ -24,29 +24,38 @@ def half_densities(half_edges: DataFrame, contigs: DataFrame, how: str = "multip
 
 
 def edge_confidence(edges: DataFrame) -> DataFrame:
-    """Density over the best other density at either end; 2 where there is none.  edges: a, b, density, of unique pairs."""
+    """Density over the second largest density at either end, itself counted once; 2 where nothing else is there.
+
+    So it is above 1 only for an edge that beats all others at both ends.  Three
+    densities per end decide.  edges: a, b, density > 0, of unique pairs.
+    """
     ends = edges.select(F.col("a").alias("n"), "density").union(edges.select("b", "density"))
-    w = W.partitionBy("n").orderBy(F.desc("density"))
-    two = ends.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("n").agg(F.max(F.when(F.col("k") == 1, F.col("density"))).alias("d1"), F.max(F.when(F.col("k") == 2, F.col("density"))).alias("d2"))
-    side = lambda c, p: two.select(F.col("n").alias(c), F.col("d1").alias(p + "1"), F.col("d2").alias(p + "2"))
-    rows = edges.join(side("a", "a"), "a").join(side("b", "b"), "b")
-    # the best at an end other than this edge is the second where this edge is the best (ties give an equal second)
-    other = lambda p: F.when(F.col("density") == F.col(p + "1"), F.col(p + "2")).otherwise(F.col(p + "1"))
-    best = F.greatest(other("a"), other("b"))
-    return rows.select("a", "b", "density", F.when(best.isNull() | (best <= 0), 2.0).otherwise(F.col("density") / best).alias("confidence"))
+    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("density")))
+    top = ends.withColumn("k", rank).where("k <= 3").groupBy("n").agg(F.sort_array(F.collect_list("density"), asc=False).alias("t"))
+    rows = edges.join(top.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(top.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
+    d = F.col("density")
+
+    def others(t: Column) -> Column:  # without one entry of this edge
+        at = F.array_position(t, d).cast("int")
+        return F.when(at == 0, t).otherwise(F.concat(F.slice(t, 1, at - 1), F.slice(t, at + 1, 3)))
+
+    rest = F.sort_array(F.concat(others(F.col("ta")), others(F.col("tb"))), asc=False)
+    first, second = F.get(rest, F.lit(0)), F.coalesce(F.get(rest, F.lit(1)), F.lit(0.0))
+    return rows.select("a", "b", "density", F.when(first.isNull() | (first <= 0), 2.0).when(first <= d, d / first).otherwise(d / F.greatest(second, d)).alias("confidence"))
 
 
 # ------------------------------------------------------------ one group in a task
 
 
 def _confidence(d: np.ndarray) -> np.ndarray:
-    """Confidence of all pairs of a symmetric density matrix."""
+    """The same for all pairs of a symmetric density matrix."""
     n = len(d)
-    order = np.sort(d, axis=1)
-    first, second = order[:, -1], order[:, -2] if n > 1 else np.zeros(n)
-    other = np.where(d == first[:, None], second[:, None], first[:, None])
-    best = np.maximum(other, other.T)
-    out = np.where(d > 0, np.where(best > 0, d / np.where(best > 0, best, 1), 2.0), 0.0)
+    top = -np.sort(-np.pad(d, ((0, 0), (0, max(0, 3 - n)))), axis=1)[:, :3]
+    drop = lambda t: np.where(t[..., :1] == d[..., None], t[..., 1:], np.where(t[..., 1:2] == d[..., None], t[..., [0, 2]], t[..., :2]))
+    rest = -np.sort(-np.concatenate([drop(np.broadcast_to(top[:, None], (n, n, 3))), drop(np.broadcast_to(top[None], (n, n, 3)))], axis=2), axis=2)
+    first, second = rest[..., 0], rest[..., 1]
+    out = np.where(first <= 0, 2.0, d / np.where(first <= d, np.where(first > 0, first, 1), np.maximum(np.maximum(second, d), 1e-300)))
+    out[d <= 0] = 0
     np.fill_diagonal(out, 0)
     return out
 

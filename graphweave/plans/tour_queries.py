@@ -29,10 +29,12 @@ def half_density(spark, d):
     return out.withColumn("density", F.round(F.col("density") * 1e6, 6))
 
 
-@query(_HALF + """, e AS (SELECT i || i_end AS a, j || j_end AS b, density FROM hd), n AS (SELECT a AS n, density FROM e UNION ALL SELECT b, density FROM e),
-r AS (SELECT n, density, row_number() OVER (PARTITION BY n ORDER BY density DESC) AS k FROM n), t AS (SELECT n, max(density) FILTER (k = 1) AS d1, max(density) FILTER (k = 2) AS d2 FROM r WHERE k <= 2 GROUP BY 1),
-c AS (SELECT e.a, e.b, e.density, greatest(CASE WHEN e.density = x.d1 THEN x.d2 ELSE x.d1 END, CASE WHEN e.density = y.d1 THEN y.d2 ELSE y.d1 END) AS best FROM e JOIN t x ON x.n = e.a JOIN t y ON y.n = e.b)
-SELECT a, b, round(CASE WHEN best IS NULL OR best <= 0 THEN 2 ELSE density / best END, 6) AS confidence FROM c""")
+@query(_HALF + """, e AS (SELECT i || i_end AS a, j || j_end AS b, density FROM hd),
+n AS (SELECT a AS n, density, a || '/' || b AS id FROM e UNION ALL SELECT b, density, a || '/' || b FROM e),
+r AS (SELECT n, density, id, row_number() OVER (PARTITION BY n ORDER BY density DESC) AS k FROM n),
+o AS (SELECT e.a, e.b, e.density AS d, r.density, row_number() OVER (PARTITION BY e.a, e.b ORDER BY r.density DESC) AS m FROM e JOIN r ON r.n IN (e.a, e.b) AND r.k <= 3 AND r.id <> e.a || '/' || e.b),
+t AS (SELECT e.a, e.b, e.density, max(o.density) FILTER (m = 1) AS f, coalesce(max(o.density) FILTER (m = 2), 0) AS s FROM e LEFT JOIN o ON o.a = e.a AND o.b = e.b GROUP BY 1, 2, 3)
+SELECT a, b, round(CASE WHEN f IS NULL OR f <= 0 THEN 2 WHEN f <= density THEN density / f ELSE density / greatest(s, density) END, 6) AS confidence FROM t""".replace("e JOIN r ON r.n IN (e.a, e.b) AND r.k <= 3 AND", "(SELECT a, b, density, unnest([a, b]) AS en FROM e) e JOIN r ON r.n = e.en AND r.k <= 3 AND"))
 def edge_confidence(spark, d):
     h = O.half_densities(_halves(spark, d), P.contigs(spark, d))
     e = h.select(F.concat(F.col("i").cast("string"), "i_end").alias("a"), F.concat(F.col("j").cast("string"), "j_end").alias("b"), "density")
