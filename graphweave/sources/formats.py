@@ -27,17 +27,21 @@ def read_fasta(spark: SparkSession, path, motifs: list[str] | None = None, keep_
 
     ``strict``: empty ids, text before the first header and files without sequences are errors.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.monotonically_increasing_id().alias("ord"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.monotonically_increasing_id().alias("ord"), F.col("_metadata.file_path").alias("file"))
     # the first record of a file keeps its mark, as nothing stands before it; what has no mark and isn't cut off is headerless
-    rows = raw.where(F.trim("v") != "").withColumn("v", F.regexp_replace("v", r"^\s*>", ""))
+    raw = raw.where(F.col("v").rlike(r"\S"))
+    if strict:
+        heads = raw.groupBy("file").agg(F.max(F.col("v").rlike(r"^\s*>")).alias("ok"))
+        found = heads.agg(F.count("*").alias("n"), F.min("ok").alias("ok")).first()
+        if not found["n"] or not found["ok"]:
+            raise ValueError("there are no sequences, or text stands before the first header")
+    rows = raw.withColumn("v", F.regexp_replace("v", r"^\s*>", ""))
     header = F.regexp_extract("v", r"^([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "")
     out = rows.select(F.regexp_extract(header, r"^\s*(\S+)", 1).alias("ctg"), F.trim(header).alias("header"), (body if keep_case else F.upper(body)).alias("seq"), "ord")
     if strict:
         bad = F.when(F.col("ctg") == "", F.raise_error(F.lit("a sequence has no id"))).otherwise(F.col("ctg"))
         out = out.withColumn("ctg", bad)
-        if out.limit(1).count() == 0:
-            raise ValueError("there are no sequences")
     last = F.max_by(F.struct("header", "seq"), "ord").alias("s")
     out = out.where("ctg <> ''").groupBy("ctg").agg(last).select("ctg", "s.header", "s.seq", F.length("s.seq").cast("long").alias("len"))
     return out if motifs is None else out.withColumn("re_sites", count_motifs(F.col("seq"), motifs) + 1)
@@ -167,8 +171,8 @@ def write_clm(distances: DataFrame, path: str) -> None:
 
 def read_tours(spark: SparkSession, path) -> DataFrame:
     """(grp, pos, ctg, orient): the last line of each file that isn't blank; the group is the name up to its last underscore."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    last = F.element_at(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), -1)
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    last = F.try_element_at(F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"\S")), F.lit(-1))
     name = F.element_at(F.split("file", "/"), -1)
     rows = whole.select(F.regexp_replace(F.regexp_replace(name, r"\.tour$", ""), r"_[^_]*$", "").alias("grp"), F.posexplode(F.split(F.trim(last), WHITE)).alias("k", "m"))
     return rows.select("grp", (F.col("k") + 1).alias("pos"), F.regexp_replace("m", r"[+-]$", "").alias("ctg"), F.regexp_extract("m", r"([+-])$", 1).alias("orient"))
