@@ -10,12 +10,14 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 CHUNK = 1 << 20
@@ -66,6 +68,29 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder: computed once, of a size that is known."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    spark = df.sparkSession
+    total = 0
+    for f in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
+def join_listed(rows: DataFrame, listed: DataFrame, key: str, how: str, limit: int = 16 << 20) -> DataFrame:
+    """Join with a written table, which is broadcast if its files have ``limit`` bytes at most; else both sides are shuffled."""
+    return rows.join(F.broadcast(listed) if stored_bytes(listed) <= limit else listed, key, how)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the n + 1 offsets; null counts as empty."""
     if column.null_count:
