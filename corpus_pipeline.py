@@ -17,26 +17,17 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.llm import bpe, decontam, jaccard, langid, secret_scan
-from graphweave.llm.common import shared_dir, table
+from graphweave.llm.common import join_listed, table, written
 from graphweave.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None  # byte models and tokens aren't expressible; tests/llm compare with brute force
 
 
-def _written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """A table in the shared folder: computed once, of a size that the planner knows."""
-    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.parquet(place)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(langid.fold(F.col("doc_id"), 3) != 1))
@@ -45,23 +36,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    kept = jaccard.similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(_written(kept, spark, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.union(docs.where("doc_id is null")).select(*COLUMNS)
+    groups = written(jaccard.similar_components(docs), "groups")
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = join_listed(docs, gone, "doc_id", "left_anti")
+    # rows that repeat a doc_id: of equal ones one stays
+    twice = written(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    repeated = join_listed(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_listed(kept, twice, "doc_id", "left_anti").union(repeated.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(_written(leaks, spark, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    return join_listed(docs, written(leaks, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS).withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     _, ledger = secret_scan.scan_paths(secret_scan.blobs(docs))
-    found = _written(ledger.where(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("spans")), spark, "findings")
+    found = written(ledger.where(F.size("spans") > 0).select("blob", F.array_sort("spans").alias("spans")), "findings")
     clean = secret_scan.redact(F.col("text"), F.col("spans"))
-    both = docs.join(found, "blob", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    both = join_listed(docs, found, "blob", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
     return both.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -76,5 +73,5 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = _written(stage(spark, docs, sf_dir), spark, name)
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
