@@ -33,7 +33,6 @@ CONTROLS = r"/?s>|/?INST\]|/?SYS\]|/?TURN\]|ROLE\]|ANS\]"
 ESCAPE = rf"([<\[])(\\*)({CONTROLS})"
 UNESCAPE = rf"([<\[])\\(\\*)({CONTROLS})"
 TURN = r"(?s)\[(?:INST|ANS|SYS|TURN)\].*?(?:\[/INST\]|</s>|\[/SYS\]|\[/TURN\])"
-ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -48,7 +47,7 @@ def jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Jump tables (tree, node, up) of 1, 2, 4, ... steps, and (tree, node, depth, total) of all messages with a root."""
     state = messages.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")).checkpoint()
     tables = []
-    for _ in range(ROUNDS):
+    for _ in range(state.count().bit_length() + 1):  # a longer way than all messages is a cycle
         going = state.where("up is not null")  # messages that have reached their root rest
         if going.limit(1).count() == 0:
             break

@@ -32,6 +32,8 @@ from .common import prepare
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
 DROPPED = RAW | {"nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "head", "input", "label", "datalist"}
+#: Uses of a tag that the usual penalty counts for.
+PRIOR = 50
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -149,7 +151,10 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     rate = lambda t, i: (counts.get((t, i), 0) + 0.5) / total[i]
     out = {"": min(3.0, max(0.25, math.log(rate("", True) / rate("", False))))} if counts else {"": 1.0}
     for t in sorted(KNOWN | {"other"}):
-        out[t] = min(6.0, max(0.05, 1.0 + math.log(rate(t, False) / rate(t, True)))) if counts else (0.3 if t in INLINE or t in ("p", "br") else 2.0)
+        usual = 0.3 if t in INLINE or t in ("p", "br", "h1", "h2", "h3", "h4", "blockquote") else 2.0
+        n = sum(counts.get((t, i), 0) for i in (True, False))
+        measured = min(6.0, max(0.05, 1.0 + math.log(rate(t, False) / rate(t, True)))) if n else usual
+        out[t] = (n * measured + PRIOR * usual) / (n + PRIOR)  # few labelled uses: near the usual penalty
     return out
 
 
