@@ -31,12 +31,19 @@ def normalise_columns(m: DataFrame) -> DataFrame:
     return m.join(total, "col").select("row", "col", (F.col("val") / F.col("total")).alias("val"))
 
 
-def expand(m: DataFrame) -> DataFrame:
-    """The matrix times itself."""
-    a, b = m.select("row", F.col("col").alias("k"), F.col("val").alias("a")), m.select(F.col("row").alias("k"), "col", F.col("val").alias("b"))
+def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = left.select("row", F.col("col").alias("k"), F.col("val").alias("a")), right.select(F.col("row").alias("k"), "col", F.col("val").alias("b"))
     return a.join(b, "k").groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
 
 
+def expand(m: DataFrame, power: int = 2) -> DataFrame:
+    """The matrix to a power."""
+    out = m
+    for _ in range(power - 1):
+        out = multiply(out, m)
+    return out
+
+
 def inflate(m: DataFrame, r: float) -> DataFrame:
     return normalise_columns(m.select("row", "col", F.pow("val", F.lit(float(r))).alias("val")))
 
@@ -51,12 +58,9 @@ def prune(m: DataFrame, threshold: float) -> DataFrame:
 def mcl_joins(edges: DataFrame, inflation: float, nodes: DataFrame | None = None, expansion: int = 2, rounds: int = 60, threshold: float = 1e-4) -> DataFrame:
     """(row, col, val) after convergence, by joins."""
     m = normalise_columns(adjacency(edges, nodes))
-    first = m
-    for _ in range(expansion - 1):
-        first = expand(first) if expansion == 2 else first
-    m = first.checkpoint()
+    m = expand(m, expansion).checkpoint()
     for k in range(rounds):
-        new = prune(inflate(expand(m) if k else m, inflation), threshold).checkpoint()
+        new = prune(inflate(expand(m, expansion) if k else m, inflation), threshold).checkpoint()
         if k > 1:
             a, b = new.withColumnRenamed("val", "a"), m.withColumnRenamed("val", "b")
             moved = a.join(b, ["row", "col"], "full").where(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))) > 1e-8 + 1e-5 * F.abs(F.coalesce("b", F.lit(0.0))))
