@@ -39,6 +39,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KNOWN = INLINE | {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "section", "article", "main", "header", "footer", "nav", "aside", "form", "blockquote", "pre", "hr", "figure", "figcaption", "dl", "dt", "dd", "body", "head", "html", "script", "style", "meta", "link", "title"}
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert(?:s|isement|ising)?|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|paywall|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|topbar|toolbar|pagination|pager|footer|masthead|site-?header|page-?header|comments?|commentlist|comment-?(?:list|section|area|body)|disqus|replies|respond|reactions?|share|sharing|social|related|recommend(?:ed|ations)?|trending|widgets?|copyright|disclaimer|skip-?link|search)(?:$|[\s_-])", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar", "alertdialog"}
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 TAG_END = re.compile(r"""(?>[^"'>]*)(?>(?:"[^"]*"|'[^']*')[^"'>]*)*>""")
@@ -119,10 +120,10 @@ def flow(page: str):
             if value in VOID:
                 continue
             own = attributes(rest)
-            marks = f"{own.get('class', '')} {own.get('id', '')}"
+            marks = CAMEL.sub("-", f"{own.get('class', '')} {own.get('id', '')}")
             names_it = value == "main" or own.get("role", "").lower() == "main" or own.get("itemprop", "").lower() == "articlebody" or value == "article"
             hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-            bad = value in DROPPED or own.get("role", "").lower() in BAD_ROLE or hidden or (value not in ("html", "body") and bool(BAD.search(marks))) or value == "header" and not article
+            bad = value in DROPPED or own.get("role", "").lower() in BAD_ROLE or hidden or (value not in ("html", "body") and bool(BAD.search(marks))) or not article and (value == "header" or "header" in marks.lower().split())
             stack.append((value, names_it and not bad, bad))
             article, dropped = article or stack[-1][1], dropped or bad
         else:
