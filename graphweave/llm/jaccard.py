@@ -7,8 +7,10 @@
    run of common ones, so among the first (w - 1)(d + 1) + 1 common shingles
    some w stand side by side in both sets.  Each class therefore emits the runs
    of w = 4 consecutive hashes inside a prefix of a length derived from its size
-   (the bound holds for every size a partner may have).  Classes that share a run
-   are joined, transitively, into candidate clusters; no pairs are listed.
+   (the bound holds for every size a partner may have).  Small sets may have too
+   few common shingles for that; they emit shorter runs in addition, as short as
+   some partner's size asks for.  Classes that share a run are joined,
+   transitively, into candidate clusters; no pairs are listed.
 3. In a cluster, classes are cut into blocks by size and hash.  Only blocks whose
    sizes allow the threshold meet; there the document-by-shingle incidence
    matrices are multiplied, column block by column block, which accumulates the
@@ -26,6 +28,7 @@ their row; an empty table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,49 @@ def prefix_lengths(most: int, percent: int, run: int = RUN) -> np.ndarray:
     return np.minimum(out + 2, s)
 
 
+@lru_cache
+def short_prefixes(percent: int, run: int = RUN) -> dict[int, np.ndarray]:
+    """By length of run below ``run``: the prefixes, by set size, of the sets with a partner that may share no longer run.
+
+    With overlap o and d differing shingles a run of w is sure where o >= (w - 1)(d + 1) + 1;
+    for w = ``run`` that holds for all sizes s + t from the limit on.
+    """
+    gain = run * percent - 100 * (run - 1)
+    if gain <= 0:
+        raise ValueError(f"{percent} %: runs of {run} need a similarity above {100 * (run - 1) / run} %")
+    limit = run * (100 + percent) // gain + 1
+    out: dict[int, np.ndarray] = {}
+    for s in range(1, limit):
+        for t in range(s, limit - s):
+            o = -(-percent * (s + t) // (100 + percent))
+            if o > s:
+                break
+            d = s + t - 2 * o
+            w = min(run, (o - 1) // (d + 1) + 1)
+            if w < run and d:
+                prefix = out.setdefault(w, np.zeros(limit, np.int64))
+                for n in (s, t):
+                    prefix[n] = max(prefix[n], (w - 1) * (d + 1) + 1 + (n - o))
+    return out
+
+
+def run_keys(h: np.ndarray, number: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs that sets emit, and the set of each."""
+    first = np.cumsum(number) - number
+    keys, owners = [], []
+    for run, prefix in ((RUN, prefix_lengths(int(number.max(initial=0)), percent)), *short_prefixes(percent).items()):
+        inside = np.where(number < len(prefix), prefix[np.minimum(number, len(prefix) - 1)], 0)
+        windows = np.maximum(0, inside - run + 1)
+        at = ragged(first, windows)
+        with np.errstate(over="ignore"):
+            key = h[at] * np.uint64(3)
+            for j in range(1, run):
+                key += mix(h[at + j] + np.uint64(j))
+        keys.append(mix(key))
+        owners.append(np.repeat(np.arange(len(number)), windows))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
 def document_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, and their number."""
     data = LOWER[data]
@@ -113,24 +159,17 @@ def _runs(docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
         for _, data, offsets in chunks(batches):
             h, number = document_sets(data, offsets, k)
             a, _ = signatures(h, number)
-            first = np.cumsum(number) - number
             new = np.zeros(len(a), bool)
             for j, x in enumerate(a.tolist()):
                 if number[j] and x not in seen:
                     seen.add(x)
                     new[j] = True
-            first, number, a = first[new], number[new], a[new]
-            if not len(a):
+            if not new.any():
                 continue
-            windows = np.maximum(0, prefix_lengths(int(number.max()), percent)[number] - RUN + 1)
-            at = ragged(first, windows)
-            with np.errstate(over="ignore"):
-                key = h[at] * np.uint64(3)
-                for j in range(1, RUN):
-                    key += mix(h[at + j] + np.uint64(j))
-            keys.append(mix(key))
-            owners.append(np.repeat(a, windows))
-            held += len(at)
+            key, own = run_keys(h[np.repeat(new, number)], number[new], percent)
+            keys.append(key)
+            owners.append(a[new][own])
+            held += len(key)
             if held >= FLUSH:
                 yield from flush()
                 keys, owners, held = [], [], 0

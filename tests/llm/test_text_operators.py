@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import importlib.util
+import itertools
 import math
 import re
 import zlib
@@ -214,6 +215,39 @@ def test_prefix_bound():
         assert runs(x) & runs(y)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_runs_of_all_sizes(percent):
+    """Sets of at most 40 shingles together that just reach the threshold share a run, wherever they differ; beyond, by the bound."""
+    rng = np.random.default_rng(5)
+    limit = jaccard.prefix_lengths(400, percent)
+    for n in range(1, 200):
+        for m in range(n, 200):
+            o = math.ceil(percent * (n + m) / (100 + percent))
+            d = n + m - 2 * o
+            if o > n or not d:
+                continue
+            if n + m > 40:
+                need = (jaccard.RUN - 1) * (d + 1) + 1
+                assert o >= need and limit[n] >= need + n - o and limit[m] >= need + m - o
+                continue
+            union = np.sort(rng.integers(0, 1 << 62, o + d).astype(np.uint64))
+            sets = []
+            for own in itertools.combinations(range(o + d), d):
+                for mine in itertools.combinations(own, n - o):
+                    sets += [np.delete(union, [x for x in own if x not in mine]), np.delete(union, mine)]
+            key, owner = jaccard.run_keys(np.concatenate(sets), np.array([len(x) for x in sets]), percent)
+            pair = np.unique(np.column_stack([owner // 2, key.view(np.int64), owner % 2]), axis=0)
+            both = (pair[1:, :2] == pair[:-1, :2]).all(1)
+            assert len(np.unique(pair[:-1, 0][both])) == len(sets) // 2, (n, m)
+
+
+def test_short_texts_with_a_word_more(spark):
+    """6 and 7 shingles, also where the one that differs parts the common ones three and three."""
+    rows = [(2 * k + j, " ".join([f"a{k}w{i}" for i in range(9)] + ["more"] * j)) for k in range(60) for j in range(2)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(d, 6 + d % 2, d - d % 2) for d, _ in rows]
+
+
 def test_components(spark):
     import random
 
