@@ -12,9 +12,8 @@ frequency: class, then word inside the class.  Training is truncated
 backpropagation over windows of ``WINDOW`` tokens with the state carried from
 window to window; documents stand in lanes one after another.  Tasks train from
 common weights on their own documents, and the changes are averaged (rows of a
-word by how often each task saw it) in every round.  ``share`` of the training
-documents (by hash, the same share at every size, but no fewer than FLOOR tokens'
-worth where there are as many) gives the gradients; counts use all of them.
+word by how often each task saw it) in every round.  Each training document gives
+its gradients in one of the rounds, by hash; counts use all of them too.
 Scoring carries the state through whole documents of any length.
 
 Null text: empty, the end alone.  Repeated rows stay and have equal values.  No
@@ -38,8 +37,8 @@ from .langid import fold
 VOCABULARY, CLASSES, HIDDEN = 2046, 40, 24
 END_HASH = np.uint64(0x5EED0E4D0000_0001)
 WINDOW, LANES, SEGMENT = 16, 64, 1024
-FLOOR = 2_000_000
 FLUSH = 1 << 20
+LEARN = 1 << 22  # tokens that a task learns from at a time
 
 
 # ---------------------------------------------------------------- counts
@@ -363,10 +362,12 @@ def gradients(w: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.nda
     return g, h, float(loss * scale)
 
 
-def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float = 0.15) -> dict:
-    """Weights after one pass of truncated backpropagation (Adagrad) over documents."""
+def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float = 0.15, past: dict | None = None) -> dict:
+    """Weights after one pass of truncated backpropagation (Adagrad) over documents; ``past`` carries on from earlier ones."""
     w = {k: x.copy() for k, x in w.items()}
-    past = {k: np.full_like(x, 1e-3) for k, x in w.items()}
+    past = {} if past is None else past
+    for k, x in w.items():
+        past.setdefault(k, np.full_like(x, 1e-3))
     # long documents are cut for training only, so that lanes end together; few lanes for few tokens: enough windows to learn from
     cuts = -(-length // SEGMENT)
     length = np.where(ragged(np.zeros(len(cuts), np.int64), cuts) + 1 < np.repeat(cuts, cuts), SEGMENT, np.repeat(length - (cuts - 1) * SEGMENT, cuts))
@@ -392,33 +393,48 @@ def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float
 BLOCK = 64  # rows of a weight matrix that are averaged together
 
 
-def _rounds(docs: DataFrame, v: Vocabulary, share: float, rounds: int) -> dict[str, np.ndarray]:
+def _rounds(docs: DataFrame, v: Vocabulary, rounds: int) -> tuple[dict[str, np.ndarray], int]:
+    """The weights, and how many tokens they learned from."""
     spark = docs.sparkSession
     w = first_weights(v)
     names = sorted(w)
-    scale = 1 << 20
+    scale, learned = 1 << 20, 0
     for k in range(rounds):
-        lo, hi = int(scale * share * k / rounds), int(scale * share * (k + 1) / rounds)
+        lo, hi = scale * k // rounds, scale * (k + 1) // rounds
         shared = spark.sparkContext.broadcast((v, w))
         picked = docs.where("train").where((F.pmod(F.xxhash64(F.lit("gru"), "doc_id", "text"), F.lit(scale)) >= lo) & (F.pmod(F.xxhash64(F.lit("gru"), "doc_id", "text"), F.lit(scale)) < hi))
 
         def learn(batches, shared=shared):
             v, w = shared.value
-            ys, ns = [], []
+            new, past, seen, number = w, {}, np.zeros(v.size), 0
+            ys, ns, held = [], [], 0
+
+            def step():
+                nonlocal new, number
+                y = np.concatenate(ys)
+                new = train(new, v, y, np.concatenate(ns), past=past)
+                seen[:] += np.bincount(y, minlength=v.size)
+                number += len(y)
+
             for _, data, offsets in chunks(batches):
                 h, n = tokens(data, offsets)
                 ys.append(v.look(h))
                 ns.append(n)
-            if not ys:
+                held += len(h)
+                if held >= LEARN:
+                    step()
+                    ys, ns, held = [], [], 0
+            if ys:
+                step()
+            if not number:
                 return
-            y, n = np.concatenate(ys), np.concatenate(ns)
-            new = train(w, v, y, n)
-            seen = np.bincount(y, minlength=v.size).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"name": ["tokens"], "at": [0], "body": [np.array([number], "<f8").tobytes()]})
+            seen = seen.astype(np.float32)
             inside = np.add.reduceat(seen, v.start[:-1])[v.cls]
             weight = {"x": seen, "o": inside, "ob": inside}
             for name in names:
                 change = (new[name] - w[name]).reshape(len(w[name]), -1)
-                own = weight.get(name, np.full(len(change), len(y), np.float32))
+                own = weight.get(name, np.full(len(change), number, np.float32))
                 for a in range(0, len(change), BLOCK):
                     part = np.column_stack([own[a : a + BLOCK], change[a : a + BLOCK] * own[a : a + BLOCK, None]])
                     if own[a : a + BLOCK].any():
@@ -428,20 +444,23 @@ def _rounds(docs: DataFrame, v: Vocabulary, share: float, rounds: int) -> dict[s
             total: dict = {}
             for b in batches:
                 for name, at, body in zip(*(b.column(c).to_pylist() for c in ("name", "at", "body")), strict=True):
-                    x = np.frombuffer(body, "<f4").astype(np.float64)
+                    x = np.frombuffer(body, "<f8" if name == "tokens" else "<f4").astype(np.float64)
                     total[name, at] = total[name, at] + x if (name, at) in total else x
             for (name, at), x in total.items():
-                yield pa.RecordBatch.from_pydict({"name": [name], "at": [at], "body": [x.astype("<f4").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"name": [name], "at": [at], "body": [x.astype("<f8" if name == "tokens" else "<f4").tobytes()]})
 
         schema = "name string, at long, body binary"
         summed = picked.select("text").mapInArrow(learn, schema).repartition(parts(spark), "name", "at").mapInArrow(fold_in, schema).collect()
         w = {k2: x.copy() for k2, x in w.items()}
         for r in summed:
+            if r["name"] == "tokens":
+                learned += int(np.frombuffer(r["body"], "<f8")[0])
+                continue
             x = w[r["name"]].reshape(len(w[r["name"]]), -1)
             body = np.frombuffer(r["body"], "<f4").reshape(-1, x.shape[1] + 1)
             x[r["at"] : r["at"] + len(body)] += body[:, 1:] / np.maximum(body[:, :1], 1e-9)
         shared.unpersist()
-    return w
+    return w, learned
 
 
 def _scored(docs: DataFrame, v: Vocabulary | None, w: dict | None) -> DataFrame:
@@ -480,7 +499,7 @@ def _scored(docs: DataFrame, v: Vocabulary | None, w: dict | None) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, net double, rare long, own double")
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, share: float = 1 / 8, rounds: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, rounds: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = prepare(docs.sparkSession)
     n = parts(spark)
@@ -495,7 +514,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, share: float
     if total["n"]:
         top = counted.where("kind = 1").select(F.col("slot").alias("word"), "n").orderBy(F.desc("n"), "word").limit(VOCABULARY + 1).collect()
         v = Vocabulary([(r["word"], r["n"]) for r in top], total["n"], total["v"])
-        w = _rounds(docs, v, min(1.0, max(share, FLOOR / total["n"])), rounds)
+        w, _ = _rounds(docs, v, rounds)
     rows = _scored(docs, v, w)
     # repeated rows add up under one key: m rows, m times the tokens
     base = _summed(counted.where("kind = 0").select("slot", "body").repartition(n, "slot"))

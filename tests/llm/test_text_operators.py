@@ -305,6 +305,28 @@ def test_lm_base_and_score(spark, edge_docs, no_docs):
     assert gru_lm.score_documents(no_docs).count() == 0
 
 
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    """At every size: the switch that small tables met is set aside where there is one."""
+    monkeypatch.setattr(gru_lm, "FLOOR", 1, raising=False)
+    learned = []
+    rounds = gru_lm._rounds
+    monkeypatch.setattr(gru_lm, "_rounds", lambda *x: (learned.append(rounds(*x)), learned[0])[1])
+    rows = gru_lm.score_documents(spark.createDataFrame([(k, prose("en", 20, k)) for k in range(200)] + [(None, "a b"), (7, None)], "doc_id long, text string")).collect()
+    assert learned[0][1] == sum(r.n_tokens for r in rows if not r.held_out) == rows[0].train_tokens
+
+
+def test_lm_learns_in_blocks():
+    """Blocks of documents carry the weights and the sums of squares on."""
+    v = gru_lm.Vocabulary([(k + 1, 50 - k) for k in range(40)], 2000, 500)
+    w, past, rng = gru_lm.first_weights(v), {}, np.random.default_rng(4)
+    y, length = rng.integers(0, v.size, 600).astype(np.int16), np.full(6, 100)
+    one = gru_lm.train(w, v, y, length, past=past)
+    before = {k: x.copy() for k, x in past.items()}
+    two = gru_lm.train(one, v, y, length, past=past)
+    assert all((past[k] >= before[k]).all() and (past[k] > before[k]).any() for k in w)
+    assert all((two[k] != one[k]).any() for k in w)
+
+
 def test_lm_gradients_and_normalisation():
     v = gru_lm.Vocabulary([(k + 1, 50 - k) for k in range(40)], 2000, 500)
     w = {k: x.astype(np.float64) for k, x in gru_lm.first_weights(v).items()}
