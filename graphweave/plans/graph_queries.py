@@ -13,6 +13,7 @@ from graphweave.operators import reassign as R
 
 from . import proxies as P
 from .book import Book
+from .contact_queries import allelic_pairs
 from .proxies import sql
 
 BOOK = Book()
@@ -113,14 +114,12 @@ def mask_mode(spark, d):
 
 
 def _allelic(spark, d):
-    # the pairs of most links among suppliers whose numbers are near
-    e = edges(spark, d).where("j - i <= 3")
-    return e.select("i", "j", F.col("links").cast("double").alias("w"))
+    return allelic_pairs(spark, d).select("i", "j", F.col("links").cast("double").alias("w"))
 
 
 @query()
 def allelic_cliques(spark, d):
-    """Allele groups of at most four."""
+    """Allele groups of at most four among the pairs of concordant contacts."""
     return G.allelic_groups(_allelic(_checkpointed(spark), d), 4)
 
 
@@ -128,8 +127,7 @@ def allelic_cliques(spark, d):
 def allelic_matching(spark, d):
     """Edges between allele groups that maximum-weight assignments leave unmatched."""
     groups = P.contigs(spark, d).select(F.floor(F.col("ctg") / 4).cast("string").alias("group"), "ctg")
-    e = edges(spark, d).where("j - i <= 12").select("i", "j", F.col("links").cast("double").alias("w"))
-    return G.unmatched_edges(e, groups)
+    return G.unmatched_edges(edges(spark, d).select("i", "j", F.col("links").cast("double").alias("w")), groups)
 
 
 # ------------------------------------------------------------ reassignment
