@@ -6,8 +6,8 @@ Between stages the rows are written and read again, which cuts lineage.
 
 1. language_id: learns from the labelled documents; rows of no language go (null
    text, no letter, or no labelled row at all).
-2. near_duplicates: one row of each group of similar texts stays, that of the
-   smallest doc_id.  Rows without a doc_id stay.
+2. near_duplicates: one row of each group of similar texts (80 % of their five-word
+   shingles) stays, that of the smallest doc_id.  Rows without a doc_id stay.
 3. decontamination: documents that hold a benchmark item go.
 4. secret_scan: findings are replaced by ``[SECRET]`` and n_chars follows.
 5. byte_bpe: token ids, decoded again; per document their number and digests.
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    groups = written(jaccard.similar_components(docs), "groups")
+    groups = written(jaccard.similar_components(docs, k=5, percent=80), "groups")
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = join_listed(docs, gone, "doc_id", "left_anti")
     # rows that repeat a doc_id: of equal ones one stays
