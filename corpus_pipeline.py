@@ -49,8 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return join_listed(docs, written(leaks, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    # decisions come back by a key of id and text: ids may be null or stand for several texts
+    docs = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")))
+    rows = docs.select(F.col("row_key").alias("doc_id"), "text")
+    leaks = decontam.find_leaks(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")).distinct()
+    return join_listed(docs, written(leaks, "leaks"), "row_key", "left_anti").select(*COLUMNS)
 
 
 def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

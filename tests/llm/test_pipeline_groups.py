@@ -24,3 +24,18 @@ def test_short_texts_at_80_percent(spark, tmp_path):
     """Four and five shingles: wherever the fifth falls among the hashes."""
     rows = [(2 * k + j, " ".join([f"a{k}w{i}" for i in range(8)] + ["more"] * j)) for k in range(60) for j in range(2)]
     assert kept_of(spark, rows, tmp_path) == {2 * k for k in range(60)}
+
+
+def test_leaks_without_id_and_of_one_of_two_texts(spark, tmp_path):
+    """A leak leaves without an id too, and takes no clean text of its id along."""
+    import corpus_pipeline as P
+    from tests_prose import prose
+
+    item = prose("en", 30, "leak") + "."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak, clean = f"{prose('de', 40, 1)} {item} {prose('de', 40, 2)}", prose("en", 60, "clean")
+    rows = [(None, leak), (None, clean), (5, leak), (5, clean), (6, None), (None, None)]
+    rows += [(100 + k, prose("en" if k % 2 else "de", 60, k)) for k in range(60)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in P.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != leak], key=str)
