@@ -9,12 +9,13 @@ becomes an array of monoid elements and the states before all characters come
 from a prefix scan with the associative product of the monoid: in blocks side by
 side, then over the blocks' totals.  No regular expression is run.
 
-The slices between boundaries go, by hash of their bytes, through a cache; new
+The slices between boundaries go, by two hashes of their bytes, through a cache; new
 slices are merged together, one lowest-ranked pair a slice and round, in numpy.
 Token starts are kept as byte offsets; decoding joins the tokens' bytes.
 
-Null text counts as empty: no tokens.  Repeated rows stay; empty tables give no
-rows; columns other than id and text are ignored.
+Null text counts as empty: no tokens.  Very long texts are encoded whole, alone in
+their chunk.  Repeated rows stay, null ids too; empty tables give no rows; columns
+other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -308,6 +310,20 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, number
 
 
+def encoded(data: np.ndarray, offsets: np.ndarray, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids and, per text and at the end, the number of ids before."""
+    starts, ends, number = slices(data, offsets)
+    ids, length = cache.look(data, starts, ends)
+    return ids, np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(number)])].astype(np.int32)
+
+
+def token_starts(ids: np.ndarray, edge: np.ndarray, size: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each token's first byte in its text."""
+    width = size[ids]
+    place = np.cumsum(width) - width
+    return place - np.repeat(offsets[:-1], np.diff(edge))
+
+
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, starts): token ids and each token's first byte in the text."""
     prepare(docs.sparkSession)
@@ -315,13 +331,9 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m, cache = merger(ranks)
         size = np.array([len(b) for b in m.bytes])
-        for rows, data, offsets in chunks(batches, 2 << 20):
-            starts, ends, number = slices(data, offsets)
-            ids, length = cache.look(data, starts, ends)
-            edge = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(number)])].astype(np.int32)
-            width = size[ids]
-            place = np.cumsum(width) - width
-            place -= np.repeat(offsets[:-1], np.diff(edge))
+        for rows, data, offsets in chunks(batches):
+            ids, edge = encoded(data, offsets, cache)
+            place = token_starts(ids, edge, size, offsets)
             lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (ids, place)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *lists], ["doc_id", "ids", "starts"])
 
@@ -332,21 +344,43 @@ def decode_bytes(ids: np.ndarray, m: Merger) -> bytes:
     return b"".join([m.bytes[i] for i in ids.tolist()])
 
 
-def digest(encoded: DataFrame, ranks: str) -> DataFrame:
-    """Decode the ids and keep digests of ids and bytes."""
+SHA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, starts_crc32 long"
+
+
+def _digests(doc_id: pa.Array, ids: np.ndarray, edge: np.ndarray, starts: np.ndarray, m: Merger, names: list[str]) -> pa.RecordBatch:
+    id_sha, text_sha, crc = [], [], []
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        own = ids[x:y].tolist()
+        id_sha.append(hashlib.sha256(" ".join([names[i] for i in own]).encode()).hexdigest())
+        text_sha.append(hashlib.sha256(b"".join([m.bytes[i] for i in own])).hexdigest())
+        crc.append(zlib.crc32(starts[x:y].astype("<u4").tobytes()))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(edge).astype(np.int64)), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "starts_crc32"])
+
+
+def digest(tokens: DataFrame, ranks: str) -> DataFrame:
+    """Decode the ids of ``encode``; digests of ids, decoded bytes and the tokens' places (unsigned 32-bit, little-endian)."""
 
     def run(batches):
         m, _ = merger(ranks)
         names = [str(i) for i in range(len(m.bytes))]
         for b in batches:
-            lists = b.column("ids")
-            edge = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            id_sha, text_sha = [], []
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own = flat[x:y].tolist()
-                id_sha.append(hashlib.sha256(" ".join([names[i] for i in own]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([m.bytes[i] for i in own])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(edge).astype(np.int64)), pa.array(id_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            lists, places = b.column("ids"), b.column("starts")
+            flat, at = (x.values.to_numpy(zero_copy_only=False) for x in (lists, places))
+            yield _digests(b.column("doc_id"), flat, lists.offsets.to_numpy(), at, m, names)
+
+    return tokens.select("doc_id", "ids", "starts").mapInArrow(run, SHA)
+
+
+def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digest`` of ``encode`` in one worker a task: ids and places don't leave it."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        m, cache = merger(ranks)
+        size = np.array([len(b) for b in m.bytes])
+        names = [str(i) for i in range(len(m.bytes))]
+        for rows, data, offsets in chunks(batches):
+            ids, edge = encoded(data, offsets, cache)
+            yield _digests(rows.column("doc_id"), ids, edge, token_starts(ids, edge, size, offsets), m, names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SHA)

@@ -3,11 +3,13 @@
 Texts cross into Python as Arrow batches.  ``chunks`` cuts a batch into runs of
 whole documents of a few megabytes, so the numpy arrays that a step needs stay
 small whatever the batch size; only one very long document can exceed that.
+The byte order is taken as little-endian.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import tempfile
 import uuid
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: The bytes that separate words: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -28,9 +30,9 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: What keeps of eight bytes the first k.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 64  # bytes; longer slices are hashed one by one
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -55,7 +57,9 @@ def shared_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(conf)
         return conf.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():  # only in tests: one machine
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -134,16 +138,6 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _PINV)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     with np.errstate(over="ignore"):
@@ -152,14 +146,36 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice of ``data``; equal slices have equal hashes wherever they stand."""
-    n = len(data)
-    up, down = powers(n + 1)
+def hashes2(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each slice of ``data``; equal slices have equal hashes wherever they stand.
+
+    Slices go eight bytes at a time through two mixing chains, so equal sums or
+    rearranged parts don't clash as in a polynomial; slices of one length up to eight
+    bytes never do.  Slices beyond ``LONG`` bytes are taken from a cryptographic digest.
+    """
+    size = ends - starts
+    # the last bytes are followed by zeros; slices are masked to their own length
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    n = size.astype(np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        x = lanes[starts] & FIRST[np.minimum(size, 8)]
+        a = mix(x ^ n * np.uint64(0x9E3779B97F4A7C15))
+        b = mix((x + n * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(77))
+        k, left = 8, np.flatnonzero((size > 8) & (size <= LONG))
+        while len(left):
+            rest = size[left] - k
+            x = lanes[starts[left] + k] & FIRST[np.minimum(rest, 8)]
+            a[left] = mix(a[left] ^ x)
+            b[left] = mix((b[left] + x) * np.uint64(0xD6E8FEB86659FD93))
+            k, left = k + 8, left[rest > 8]
+    for j in np.flatnonzero(size > LONG).tolist():
+        a[j], b[j] = np.frombuffer(hashlib.blake2b(data[starts[j] : ends[j]].tobytes(), digest_size=16).digest(), np.uint64)
+    return a, b
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first of the two hashes, for counts and sets, where clashes of chance (2 ** -64 a pair) are accepted."""
+    return hashes2(data, starts, ends)[0]
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +210,21 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Token ids of distinct slices, found by hash, over the batches of a task.
+    """Token ids of distinct slices over the batches of a task.
 
-    ``fill`` gets the new slices as bytes and returns a list of id sequences.
-    It holds ``limit`` slices at most and starts anew beyond that.
+    ``fill`` gets the new slices as bytes and returns their ids in one array and
+    the number of each.  Slices are found by one hash and confirmed by a second,
+    independent one; where two slices clash in the first, the batch is looked up by
+    its bytes.  It holds ``limit`` slices at most and starts anew beyond that.
     """
 
-    def __init__(self, fill, limit: int = 400_000, dtype=np.uint16):
+    def __init__(self, fill, limit: int = 200_000, dtype=np.uint16):
         self.fill, self.limit, self.dtype = fill, limit, dtype
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.proof = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int32)
         self.len = np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
@@ -214,38 +233,62 @@ class Cache:
         """All ids of the slices in order, and the number of each slice."""
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        key, first, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        a, b = hashes2(data, starts, ends)
+        key, first, back = np.unique(a, return_index=True, return_inverse=True)
+        proof = b[first]
+        if (proof[back] != b).any():
+            return self.by_bytes(data, starts, ends)
         if len(self.keys) > self.limit:
             self.clear()
         place = np.searchsorted(self.keys, key)
         known = np.zeros(len(key), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == key[inside]
+        if (self.proof[place[known]] != proof[known]).any():
+            return self.by_bytes(data, starts, ends)
         if not known.all():
             new = np.flatnonzero(~known)
-            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            flat, length = self.fill([raw[a:b] for a, b in zip(s, e, strict=True)])
+            flat, length = self.fill([data[x:y].tobytes() for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = (len(self.ids) + np.cumsum(length) - length).astype(np.int32)
             self.ids = np.concatenate([self.ids, flat.astype(self.dtype)])
             self.at = np.insert(self.at, place[new], at)
             self.len = np.insert(self.len, place[new], length)
             self.keys = np.insert(self.keys, place[new], key[new])
+            self.proof = np.insert(self.proof, place[new], proof[new])
             place = np.searchsorted(self.keys, key)
-        lengths = self.len[place][back].astype(np.int64)
-        return self.ids[ragged(self.at[place][back], lengths)], lengths
+        place = place[back]
+        lengths = self.len[place].astype(np.int64)
+        return self.ids[ragged(self.at[place], lengths)], lengths
+
+    def by_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own: dict[bytes, int] = {}
+        back = np.array([own.setdefault(data[x:y].tobytes(), len(own)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+        flat, length = self.fill(list(own))
+        at = np.cumsum(length) - length
+        return flat.astype(self.dtype)[ragged(at[back], length[back])], length[back]
 
 
 _kept: dict = {}
 
 
 def kept(key, make):
-    """What a Python worker keeps from task to task, such as caches and tables: that of the last ``key`` only."""
+    """What a Python worker keeps from task to task, such as caches and tables: that of the last ``key`` only.
+
+    Operators that keep nothing let it go (``release``).
+    """
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
+def release() -> None:
+    """Let go of what an earlier operator kept in this worker."""
+    if _kept:
+        _kept.clear()
+        reuse_memory(1 << 17)
+
+
 def reuse_memory(most: int) -> None:
     """Let this worker's allocator keep freed arrays of up to ``most`` bytes for reuse instead of handing each back (glibc only)."""
     try:

@@ -49,7 +49,7 @@ def op7_html_text(spark, sf_dir):
 
 def op8_byte_bpe(spark, sf_dir):
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks)
 
 
 def op9_ngram_jaccard(spark, sf_dir):

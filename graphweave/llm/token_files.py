@@ -8,14 +8,18 @@ the shards in order are one token stream.  A task writes under a name of its own
 attempt and only what it reports is read, so retries and lost executors leave at
 most unused files.  Readers map the files into memory where they are local.
 
-Null text: no tokens but the end id.  Repeated doc_ids: each row stays, ordered
-by text.  Null doc_id: comes first.  Empty table: no shards and an empty result.
-Other columns are ignored.
+Texts are encoded as the tokenizers library does, strings of its added tokens
+included: such a string, spelt exactly, is that one token.
+
+Null text: no tokens but the end id.  Very long texts: encoded whole, alone in their
+chunk.  Repeated doc_ids: each row stays, ordered by text.  Null doc_id: comes first.
+Empty table: no shards and an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -34,27 +38,54 @@ NONE = np.iinfo(np.int64).min  # stands for a null doc_id in .doc files
 KIND = np.array([0 if b > 127 or b == 39 or SPACE[b] else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut further where the tokenizer cuts in any case: between ASCII letters, digits and signs, and after each digit."""
-    starts, ends, words = spans(data, offsets)
-    kind = KIND[data]
+def added(data: np.ndarray, offsets: np.ndarray, pattern: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's added tokens: leftmost, inside one document, as they are spelt."""
+    if pattern is None or not pattern.search(raw := data.tobytes()):
+        z = np.zeros(0, np.int64)
+        return z, z
+    at = offsets.tolist()
+    found = [m.span() for a, b in zip(at, at[1:], strict=False) for m in pattern.finditer(raw, a, b)]
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, pattern: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut further where the tokenizer cuts in any case: between ASCII letters, digits and signs, after each digit, and around added tokens."""
+    first, last = added(data, offsets, pattern)
+    bounds = np.unique(np.concatenate([offsets, first, last])) if len(first) else offsets
+    starts, ends, words = spans(data, bounds)
+    kind = KIND[LOWER[data]]
     a, b = kind[:-1], kind[1:]
     cut = np.flatnonzero((a > 0) & (b > 0) & ((a != b) | (a == 2))) + 1
     edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
+    edge[bounds] = True
     cut = cut[~edge[cut]]
     starts = np.sort(np.concatenate([starts, cut]))
     ends = np.sort(np.concatenate([ends, cut]))
+    if len(first):  # an added token is one piece
+        k = np.searchsorted(first, starts, "right") - 1
+        outside = (k < 0) | (starts >= last[np.maximum(k, 0)])
+        starts = np.sort(np.concatenate([starts[outside], first]))
+        ends = np.sort(np.concatenate([ends[outside], last]))
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
 def word_encoder(path: str):
-    """ids of pieces by a tokenizers file whose pre-tokenizer drops white space and splits letters, digits and signs."""
+    """(ids of pieces, number of ids, pattern of added tokens) by a tokenizers file whose pre-tokenizer drops white space and splits letters, digits and signs.
+
+    Added tokens are found in the text as it is, before lower-casing, as the library does.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = {}
+    for i, t in tok.get_added_tokens_decoder().items():
+        body = t.content.encode()
+        if t.normalized or t.single_word or t.lstrip or t.rstrip or len(pieces(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]) < 2:
+            raise ValueError(f"added token {t.content!r}: only tokens of more than one piece that are matched as they are spelt")
+        special[body] = i
+    pattern = re.compile(b"|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
     batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
     tokenize = tok.model.tokenize
 
@@ -64,6 +95,8 @@ def word_encoder(path: str):
         for k, w in enumerate(words):
             if w.isalpha():  # ASCII letters in lower case: one piece that no step before the model changes
                 ids[k] = [t.id for t in tokenize(w.decode())]
+            elif w in special:
+                ids[k] = [special[w]]
             else:
                 rest.append(k)
         for k, x in zip(rest, batch([words[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
@@ -71,7 +104,26 @@ def word_encoder(path: str):
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.int64, int(length.sum())), length
 
-    return fill, tok.get_vocab_size(with_added_tokens=True)
+    return fill, tok.get_vocab_size(with_added_tokens=True), pattern
+
+
+def encoder(path: str) -> tuple[Cache, int, re.Pattern | None]:
+    """What a worker keeps for a tokenizer: the cache of pieces, the number of ids and the pattern of added tokens."""
+
+    def make():
+        fill, size, pattern = word_encoder(path)
+        return Cache(fill, dtype=np.uint16 if size <= 1 << 16 else np.uint32), size, pattern
+
+    return kept(("words", path), make)
+
+
+def lowered(data: np.ndarray, offsets: np.ndarray, pattern: re.Pattern | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case (the tokenizer does that too; so more words are alike), added tokens as they are, and their pieces."""
+    starts, ends, words = pieces(data, offsets, pattern)
+    out = LOWER[data]
+    for a, b in zip(*added(data, offsets, pattern), strict=True):
+        out[a:b] = data[a:b]
+    return out, starts, ends, words
 
 
 def _put(where, path: str, data: bytes) -> None:
@@ -87,18 +139,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def write(batches):
         from pyspark import TaskContext
 
-        cache, size = kept(("words", tokenizer), lambda: (lambda fill, n: (Cache(fill, dtype=np.uint16 if n <= 1 << 16 else np.uint32), n))(*word_encoder(tokenizer)))
+        cache, size, pattern = encoder(tokenizer)
         kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
         where, root = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         ids_n, docs_id, out = [], [], None
-        for rows, data, offsets in chunks(batches, 3 << 20):
+        for rows, data, offsets in chunks(batches, 1 << 20):
             if out is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(name + ".bin")
-            data = LOWER[data]  # the tokenizer's own lower-casing, so that more words are alike
-            starts, ends, words = pieces(data, offsets)
+            data, starts, ends, words = lowered(data, offsets, pattern)
             ids, length = cache.look(data, starts, ends)
             edge = np.concatenate([[0], np.cumsum(length)])[np.cumsum(words)]
             stream = np.insert(ids.astype(kind, copy=False), edge, end_id)
