@@ -67,7 +67,7 @@ def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.encode(docs, ranks), ranks)
+    return bpe.round_trip(docs, ranks)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scanning), ("byte_bpe", byte_bpe)]
