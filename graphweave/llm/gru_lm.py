@@ -1,11 +1,12 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 Tokens are lower-cased words and one end per document.  Counts of all training
-tokens come first: documents are dealt, packed, by word hash, so a task owns all
-occurrences of its words, counts them, and returns each document's share of the
-unigram (base) sum.  The most frequent words get their own outputs; every other
-word shares the output RARE and is told apart by its smoothed count among the
-rare ones, so the model gives a proper probability to any text.
+tokens come first, added up in every task before they are shuffled, and stay in a
+table of the shared folder.  The words above a count that at most ``KNOWN`` words
+reach are broadcast; all others, in whatever number, meet their counts in a join.
+The most frequent words get their own outputs; every other word shares the output
+RARE and is told apart by its smoothed count among the rare ones, so the model
+gives a proper probability to any text.
 
 The network is a GRU.  Its output softmax is factored into classes of about equal
 frequency: class, then word inside the class.  Training is truncated
@@ -13,32 +14,39 @@ backpropagation over windows of ``WINDOW`` tokens with the state carried from
 window to window; documents stand in lanes one after another.  Tasks train from
 common weights on their own documents, and the changes are averaged (rows of a
 word by how often each task saw it) in every round.  Each training document gives
-its gradients in one of the rounds, by hash; counts use all of them too.
+its gradients in one of the rounds, by hash, at every size; counts use all of them.
 Scoring carries the state through whole documents of any length.
 
-Null text: empty, the end alone.  Repeated rows stay and have equal values.  No
+Words are told apart by 64-bit hashes; rows by a number given when they are written.
+
+Null text: empty, the end alone.  Very long texts: hashed piece by piece and scored
+whole, with a few bytes a token.  Repeated rows stay and have equal values.  No
 training rows: the score is the base score.  Null doc_ids count as training rows
-(their remainder is null).  Empty table: no rows.
+(their remainder is null).  Empty table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, hashes, mix, parts, prepare, ragged, shared_dir, spans
+from .common import LOWER, SPACE, chunks, hashes, parts, prepare, ragged, release, shared_dir, spans, written
 from .langid import fold
 
 VOCABULARY, CLASSES, HIDDEN = 2046, 40, 24
+KNOWN = 1 << 18
 END_HASH = np.uint64(0x5EED0E4D0000_0001)
-WINDOW, LANES, SEGMENT = 16, 64, 1024
+WINDOW, LANES, SEGMENT = 16, 512, 1024
 FLUSH = 1 << 20
 LEARN = 1 << 22  # tokens that a task learns from at a time
+PIECE = 1 << 20  # bytes of a long text that are hashed at a time
 
 
 # ---------------------------------------------------------------- counts
@@ -46,125 +54,96 @@ LEARN = 1 << 22  # tokens that a task learns from at a time
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and ends, and the number of tokens per document."""
+    if len(offsets) == 2 and len(data) > 2 * PIECE:
+        out, at = [], 0
+        while at < len(data):  # cut at white space
+            to = min(len(data), at + PIECE)
+            while to < len(data) and not (gap := SPACE[data[to : to + PIECE]]).any():
+                to = min(len(data), to + PIECE)
+            to = min(len(data), to + int(gap.argmax())) if to < len(data) else to
+            out.append(tokens(data[at:to], np.array([0, to - at]))[0][:-1])
+            at = to
+        out.append(np.array([END_HASH]))
+        h = np.concatenate(out)
+        return h, np.array([len(h)])
     data = LOWER[data]
     starts, ends, words = spans(data, offsets)
     return np.insert(hashes(data, starts, ends), np.cumsum(words), END_HASH), words + 1
 
 
-def row_keys(data: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """A 64-bit key of (doc_id, text); equal rows share it."""
-    own = ids.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return mix(hashes(data, offsets[:-1], offsets[1:]) ^ mix(own)).view(np.int64)
+def added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens and the sums of their numbers."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    token, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    n = np.zeros(len(token), np.int64)
+    np.add.at(n, back, np.concatenate([x[1] for x in held]))
+    return token, n
 
 
-def _packed(docs: DataFrame, slots: int) -> DataFrame:
-    """(slot, body): each document's distinct tokens with their numbers, by token."""
+PAIR = np.dtype([("word", "<u8"), ("n", "<i8")])
 
-    def run(batches):
+
+def count_tokens(docs: DataFrame, slots: int) -> DataFrame:
+    """(word, n) of all tokens of ``text``: packed sums by slot of the word, then sums of those."""
+
+    def count(batches):
+        release()
         held: list = []
+        size = 0
 
         def flush():
-            h = np.concatenate([x[0] for x in held])
-            n = np.concatenate([x[1] for x in held])
-            at = np.cumsum([0, *[len(x[3]) for x in held]])
-            doc = np.concatenate([x[2] + a for x, a in zip(held, at, strict=False)]).astype(np.int32)
-            key, train = (np.concatenate([x[k] for x in held]) for k in (3, 4))
-            slot = (h % np.uint64(slots)).astype(np.int64)
+            pair = np.empty(len(held[0][0]), PAIR)
+            pair["word"], pair["n"] = held[0]
+            slot = (pair["word"] % np.uint64(slots)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             cut = np.searchsorted(slot[order], np.arange(slots + 1))
-            h, n, doc = h[order], n[order], doc[order]
-            full = np.flatnonzero(np.diff(cut))
-            body = []
-            for s in full.tolist():
-                x, y = cut[s], cut[s + 1]
-                own, back = np.unique(doc[x:y], return_inverse=True)
-                body.append(np.array([len(own), y - x], np.int64).tobytes() + key[own].tobytes() + h[x:y].tobytes() + back.astype(np.int32).tobytes() + n[x:y].tobytes() + train[own].tobytes())
+            pair, full = pair[order], np.flatnonzero(np.diff(cut))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(full), pa.array(body, pa.binary())], ["slot", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(full), pa.array([pair[cut[k] : cut[k + 1]].tobytes() for k in full.tolist()], pa.binary())], ["slot", "body"])
 
-        size = 0
-        for rows, data, offsets in chunks(batches):
-            h, number = tokens(data, offsets)
-            doc = np.repeat(np.arange(len(number)), number)
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(h))).astype(np.int32)
-            train = rows.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append((h[first], n, doc[first], row_keys(data, offsets, rows.column("doc_id")), train))
-            size += len(first)
+        for _, data, offsets in chunks(batches):
+            h, _ = tokens(data, offsets)
+            held.append(np.unique(h, return_counts=True))
+            size += len(held[-1][0])
             if size >= FLUSH:
-                yield flush()
-                size = 0
+                held = [added_up(held)]
+                size = len(held[0][0])
+                if size >= FLUSH // 2:
+                    yield flush()
+                    size = 0
         if held:
+            held = [added_up(held)]
             yield flush()
 
-    return docs.mapInArrow(run, "slot long, body binary")
-
-
-SUM = np.dtype([("key", "<i8"), ("log", "<f8"), ("n", "<i4"), ("known", "<i4")])
-
-
-def _counted(packed: DataFrame, slots: int) -> DataFrame:
-    """Rows of three kinds: 0, sums of documents by slot of their key; 1, frequent tokens; 2, totals N and V."""
-
-    def run(batches):
-        parts_ = []
+    def total(batches):
+        held: list = []
+        size = 0
         for b in batches:
-            for x in b.column("body").to_pylist():
-                docs, n = np.frombuffer(x, np.int64, 2).tolist()
-                at = 16
-                out = []
-                for kind, k in ((np.int64, docs), (np.uint64, n), (np.int32, n), (np.int32, n), (np.uint8, docs)):
-                    out.append(np.frombuffer(x, kind, k, at))
-                    at += k * np.dtype(kind).itemsize
-                parts_.append(out)
-        if not parts_:
-            return
-        shift = np.cumsum([0, *[len(p[0]) for p in parts_]])
-        key, h, n, train = (np.concatenate([p[k] for p in parts_]) for k in (0, 1, 3, 4))
-        doc = np.concatenate([p[2] + a for p, a in zip(parts_, shift, strict=False)])
-        del parts_
-        token, back = np.unique(h, return_inverse=True)
-        count = np.bincount(back, weights=n * train[doc], minlength=len(token))
-        own, who = np.unique(key, return_inverse=True)
-        doc = who[doc]
-        sums = np.zeros(len(own), SUM)
-        sums["key"] = own
-        sums["log"] = np.bincount(doc, weights=n * np.log10(count + 0.5)[back], minlength=len(own))
-        sums["n"] = np.bincount(doc, weights=n, minlength=len(own))
-        sums["known"] = np.bincount(doc, weights=n * (count > 0)[back], minlength=len(own))
-        slot = (sums["key"].view(np.uint64) % np.uint64(slots)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        cut = np.searchsorted(slot[order], np.arange(slots + 1))
-        sums = sums[order]
-        full = np.flatnonzero(np.diff(cut))
-        names = ["kind", "slot", "n", "v", "body"]
-        none = lambda k, kind: pa.nulls(k, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), np.int64)), pa.array(full), none(len(full), pa.int64()), none(len(full), pa.int64()), pa.array([sums[cut[s] : cut[s + 1]].tobytes() for s in full.tolist()], pa.binary())], names)
-        seen = count > 0
-        top = np.argsort(-count, kind="stable")[: VOCABULARY + 1]
-        top = top[count[top] > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int64)), pa.array(token[top].view(np.int64)), pa.array(count[top].astype(np.int64)), none(len(top), pa.int64()), none(len(top), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([2]), pa.array([0]), pa.array([int(count.sum())]), pa.array([int(seen.sum())]), none(1, pa.binary())], names)
-
-    return packed.mapInArrow(run, "kind long, slot long, n long, v long, body binary")
-
-
-def _summed(sums: DataFrame) -> DataFrame:
-    """(key, log, n, known): totals per row key."""
-
-    def run(batches):
-        body = [x for b in batches for x in b.column("body").to_pylist()]
-        if body:
-            x = np.frombuffer(b"".join(body), SUM)
-            key, back = np.unique(x["key"], return_inverse=True)
-            total = [np.bincount(back, weights=x[c], minlength=len(key)) for c in ("log", "n", "known")]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[0]), pa.array(total[1].astype(np.int64)), pa.array(total[2].astype(np.int64))], ["key", "log", "n", "known"])
-
-    return sums.mapInArrow(run, "key long, log double, n long, known long")
+            for body in b.column("body").to_pylist():
+                pair = np.frombuffer(body, PAIR)
+                held.append((pair["word"], pair["n"]))
+                size += len(pair)
+                if size >= FLUSH:
+                    held = [added_up(held)]
+                    size = len(held[0][0]) // 2  # so that few large sums are redone for little
+        word, n = added_up(held)
+        for k in range(0, len(word), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(word[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["word", "n"])
+
+    return docs.select("text").mapInArrow(count, "slot long, body binary").repartition(slots, "slot").mapInArrow(total, "word long, n long")
+
+
+def frequent(counts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """The words above the least count that ``most`` words at most reach, found by a histogram of counts."""
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    above, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        above += r["count"]
+        if above > most:
+            break
+        least = r["step"]
+    return [] if least is None else [(r["word"], r["n"]) for r in counts.where(step >= least).toLocalIterator()]
 
 
 # ---------------------------------------------------------------- network
@@ -189,21 +168,40 @@ class Vocabulary:
         self.start = np.searchsorted(self.cls, np.arange(self.cls[-1] + 2))
         self.rare = next(k for k, x in enumerate(entries) if x[1] is None)
         self.end = next(k for k, x in enumerate(entries) if x[1] == end)
-        key = np.array([0 if w is None else w for _, w in entries], np.int64).view(np.uint64)
-        ids = np.array([k for k, x in enumerate(entries) if x[1] is not None])
-        order = np.argsort(key[ids])
-        self.keys, self.ids = key[ids][order], ids[order].astype(np.int16)
-        # a first look by the hash's top bits keeps most rare words from the search
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-
-    def look(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.rare, np.int16)
-        maybe = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        own = h[maybe]
-        k = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        hit = self.keys[k] == own
-        out[maybe[hit]] = self.ids[k[hit]]
+        self.id_of = {w: k for k, (_, w) in enumerate(entries) if w is not None}
+
+
+class Table:
+    """The broadcast words: output and log10 of count + 0.5 of each, by the top bits of their hashes."""
+
+    def __init__(self, words: list[tuple[int, int]], v: Vocabulary | None):
+        keys = np.array([w for w, _ in words], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(0))
+        count = np.array([c for _, c in words], np.float64)[order]
+        self.log = np.append(np.log10(count + 0.5), 0.0)
+        self.id = np.array([v.id_of.get(words[k][0], v.rare) for k in order.tolist()] + [v.rare], np.int16) if v else np.zeros(1, np.int16)
+        self.rare, self.end = (v.rare, v.end) if v else (0, 0)
+        self.start = np.searchsorted(self.keys[:-1], np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        self.start[-1] = len(keys)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places in the table; -1 for words outside it."""
+        top = (h >> np.uint64(44)).astype(np.int32)
+        at, last = self.start[top], self.start[top + 1]
+        out = np.where((at < last) & (self.keys[at] == h), at, np.int32(-1))
+        left = np.flatnonzero((out < 0) & (at + 1 < last))
+        while len(left):
+            at[left] += 1
+            hit = self.keys[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit & (at[left] + 1 < last[left])]
+        return out
+
+    def outputs(self, h: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Output numbers; the end has its own even where it isn't among the words."""
+        out = np.where(place >= 0, self.id[place], np.int16(self.rare))
+        out[h == END_HASH] = self.end
         return out
 
 
@@ -265,21 +263,29 @@ def lanes(length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return place[lane], at, total[order]
 
 
-def grid(y: np.ndarray, length: np.ndarray, most: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, inputs and documents as (step, lane) arrays, and the number of active lanes per step."""
-    lane, at, total = lanes(length, most)
-    steps = int(total[0])
-    target = np.zeros((steps, len(total)), np.int16)
-    source = np.full((steps, len(total)), end, np.int16)
-    doc = np.zeros((steps, len(total)), np.int32)
-    own = np.repeat(np.arange(len(length)), length)
-    within = np.arange(len(y)) - np.repeat(np.cumsum(length) - length, length)
-    row, col = at[own] + within, lane[own]
-    target[row, col] = y
-    doc[row, col] = own
-    later = within > 0
-    source[row[later], col[later]] = y[np.flatnonzero(later) - 1]
-    return target, source, doc, np.searchsorted(-total, -np.arange(steps), "left")
+class Grid:
+    """Documents in lanes, as slices of steps: what it holds grows with the tokens, not with the longest lane."""
+
+    def __init__(self, y: np.ndarray, length: np.ndarray, most: int, end: int):
+        lane, at, self.total = lanes(length, most)
+        order = np.lexsort((at, lane))
+        first = np.cumsum(length) - length
+        self.target = y[ragged(first[order], length[order])]
+        self.doc = np.repeat(order.astype(np.int32), length[order])
+        self.source = np.empty_like(self.target)
+        self.source[1:] = self.target[:-1]
+        self.source[(np.cumsum(length[order]) - length[order])[length[order] > 0]] = end
+        self.start = np.cumsum(self.total) - self.total
+        self.steps = int(self.total[0])
+
+    def slices(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(sources, targets, documents, live) of each ``size`` steps, a column a lane; lanes that have ended are left out."""
+        for t in range(0, self.steps, size):
+            n = int(np.searchsorted(-self.total, -t, "left"))
+            step = np.arange(t, min(self.steps, t + size))[:, None]
+            live = step < self.total[None, :n]
+            at = np.minimum(self.start[None, :n] + step, len(self.target) - 1)
+            yield self.source[at], self.target[at], self.doc[at], live
 
 
 def score(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, hold: int = 1 << 15) -> np.ndarray:
@@ -288,22 +294,28 @@ def score(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, hold: int =
     if not len(y):
         return out
     most = int(np.clip(len(y) // max(1, int(length.max())) + 1, 64, 1024))
-    target, source, doc, active = grid(y, length, most, v.end)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
+    h = np.zeros((min(most, len(length)), HIDDEN), np.float32)
     hs, ys, ds, held = [], [], [], 0
-    for t in range(len(target)):
-        n = int(active[t])
-        x = source[t, :n]
-        h = h[:n]
-        h = h * (x != v.end)[:, None]
-        h = cell(w, x, h)[0]
-        hs.append(h)
-        ys.append(target[t, :n])
-        ds.append(doc[t, :n])
-        held += n
-        if held >= hold or t + 1 == len(target):
-            out += np.bincount(np.concatenate(ds), weights=output_log(w, v, np.concatenate(hs), np.concatenate(ys)), minlength=len(length))
-            hs, ys, ds, held = [], [], [], 0
+
+    def close():
+        out[:] += np.bincount(np.concatenate(ds), weights=output_log(w, v, np.concatenate(hs), np.concatenate(ys)), minlength=len(length))
+        for x in (hs, ys, ds):
+            x.clear()
+
+    for source, target, doc, live in Grid(y, length, most, v.end).slices(64):
+        for x, z, d, n in zip(source, target, doc, live.sum(1).tolist(), strict=True):
+            x = x[:n]
+            h = h[:n] * (x != v.end)[:, None]
+            h = cell(w, x, h)[0]
+            hs.append(h)
+            ys.append(z[:n])
+            ds.append(d[:n])
+            held += n
+            if held >= hold:
+                close()
+                held = 0
+    if held:
+        close()
     return out
 
 
@@ -371,12 +383,11 @@ def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float
     # long documents are cut for training only, so that lanes end together; few lanes for few tokens: enough windows to learn from
     cuts = -(-length // SEGMENT)
     length = np.where(ragged(np.zeros(len(cuts), np.int64), cuts) + 1 < np.repeat(cuts, cuts), SEGMENT, np.repeat(length - (cuts - 1) * SEGMENT, cuts))
-    target, source, _, active = grid(y, length, int(np.clip(len(y) // (WINDOW * 200), 4, LANES)), v.end)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    live = np.arange(target.shape[1])[None, :] < active[:, None]
-    for t in range(0, len(target), WINDOW):
-        n = int(active[t])
-        g, h, _ = gradients(w, v, source[t : t + WINDOW, :n], target[t : t + WINDOW, :n], live[t : t + WINDOW, :n], h[:n], target.shape[1])
+    grid = Grid(y, length, int(np.clip(len(y) // (WINDOW * 200), 4, LANES)), v.end)
+    lanes_n = len(grid.total)
+    h = np.zeros((lanes_n, HIDDEN), np.float32)
+    for source, target, _, live in grid.slices(WINDOW):
+        g, h, _ = gradients(w, v, source, target, live, h[: source.shape[1]], lanes_n)
         for k, x in g.items():
             if k == "x":
                 rows, x = x
@@ -393,7 +404,7 @@ def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float
 BLOCK = 64  # rows of a weight matrix that are averaged together
 
 
-def _rounds(docs: DataFrame, v: Vocabulary, rounds: int) -> tuple[dict[str, np.ndarray], int]:
+def _rounds(docs: DataFrame, v: Vocabulary, table: Table, rounds: int) -> tuple[dict[str, np.ndarray], int]:
     """The weights, and how many tokens they learned from."""
     spark = docs.sparkSession
     w = first_weights(v)
@@ -401,11 +412,13 @@ def _rounds(docs: DataFrame, v: Vocabulary, rounds: int) -> tuple[dict[str, np.n
     scale, learned = 1 << 20, 0
     for k in range(rounds):
         lo, hi = scale * k // rounds, scale * (k + 1) // rounds
-        shared = spark.sparkContext.broadcast((v, w))
-        picked = docs.where("train").where((F.pmod(F.xxhash64(F.lit("gru"), "doc_id", "text"), F.lit(scale)) >= lo) & (F.pmod(F.xxhash64(F.lit("gru"), "doc_id", "text"), F.lit(scale)) < hi))
+        shared = spark.sparkContext.broadcast((v, w, table))
+        place = F.pmod(F.xxhash64(F.lit("gru"), "doc_id", F.octet_length("text")), F.lit(scale))
+        picked = docs.where("train").where((place >= lo) & (place < hi))
 
         def learn(batches, shared=shared):
-            v, w = shared.value
+            release()
+            v, w, table = shared.value
             new, past, seen, number = w, {}, np.zeros(v.size), 0
             ys, ns, held = [], [], 0
 
@@ -418,7 +431,7 @@ def _rounds(docs: DataFrame, v: Vocabulary, rounds: int) -> tuple[dict[str, np.n
 
             for _, data, offsets in chunks(batches):
                 h, n = tokens(data, offsets)
-                ys.append(v.look(h))
+                ys.append(table.outputs(h, table.find(h)))
                 ns.append(n)
                 held += len(h)
                 if held >= LEARN:
@@ -463,40 +476,55 @@ def _rounds(docs: DataFrame, v: Vocabulary, rounds: int) -> tuple[dict[str, np.n
     return w, learned
 
 
-def _scored(docs: DataFrame, v: Vocabulary | None, w: dict | None) -> DataFrame:
-    """Per row: its key, number of tokens, the network's log10, and the numbers and log10 counts of rare and own words."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, w))
+def _scored(docs: DataFrame, v: Vocabulary | None, w: dict | None, table: Table) -> DataFrame:
+    """Per row: its number, tokens, the network's log10; sums of the broadcast words; hashes of the others."""
+    shared = docs.sparkSession.sparkContext.broadcast((v, w, table))
+    names = ["row", "doc_id", "held_out", "n_tokens", "net", "rare", "own", "seen", "log", "others"]
 
     def run(batches):
-        v, w = shared.value
+        from pyspark import TaskContext
+
+        release()
+        v, w, table = shared.value
+        row = TaskContext.get().partitionId() << 36
         own_log = np.zeros(0) if v is None else np.log10(v.count + 0.5)
         held, size = [], 0
 
         def flush():
-            ids, ho, key, n, y = ([x[k] for x in held] for k in range(5))
+            nonlocal row
+            ids, ho, n, y, log, seen, number, others = ([x[k] for x in held] for k in range(8))
             n = np.concatenate(n)
-            log, rare, own = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n))
+            net, rare, own = np.zeros(len(n)), np.zeros(len(n), np.int64), np.zeros(len(n))
             if v is not None:
                 y = np.concatenate(y)
                 at = np.cumsum(n) - n
                 is_rare = y == v.rare
                 rare = np.add.reduceat(is_rare.astype(np.int64), at)
                 own = np.add.reduceat(np.where(is_rare, 0, own_log[y]), at)
-                log = score(w, v, y, n) / np.log(10)
+                net = score(w, v, y, n) / np.log(10)
+            edge = np.concatenate([[0], np.cumsum(np.concatenate(number))])
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(others).view(np.int64)))
+            rows = np.arange(row, row + len(n))
+            row += len(n)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(ho), pa.array(np.concatenate(key)), pa.array(n), pa.array(log), pa.array(rare), pa.array(own)], ["doc_id", "held_out", "key", "n_tokens", "net", "rare", "own"])
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.concat_arrays(ids), pa.concat_arrays(ho), pa.array(n), pa.array(net), pa.array(rare), pa.array(own), pa.array(np.concatenate(seen)), pa.array(np.concatenate(log)), lists], names)
 
         for rows, data, offsets in chunks(batches):
             h, n = tokens(data, offsets)
-            held.append((rows.column("doc_id"), rows.column("held_out"), row_keys(data, offsets, rows.column("doc_id")), n, v.look(h) if v is not None else None))
+            place = table.find(h)
+            at = np.cumsum(n) - n
+            known = place >= 0
+            seen = np.add.reduceat(known.astype(np.int64), at)
+            log = np.add.reduceat(np.where(known, table.log[place], 0.0), at)
+            held.append((rows.column("doc_id"), rows.column("held_out"), n, table.outputs(h, place), log, seen, n - seen, h[~known]))
             size += len(h)
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, net double, rare long, own double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, net double, rare long, own double, seen long, log double, others array<long>")
 
 
 def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, rounds: int = 3) -> DataFrame:
@@ -506,22 +534,21 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, rounds: int
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", held_out.alias("held_out"), (~held_out).alias("train"))
-    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    _counted(_packed(docs.select("doc_id", "text", "train"), 2 * n).repartition(n, "slot"), n).write.parquet(place)
-    counted = spark.read.parquet(place)
-    total = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    v = w = None
-    if total["n"]:
-        top = counted.where("kind = 1").select(F.col("slot").alias("word"), "n").orderBy(F.desc("n"), "word").limit(VOCABULARY + 1).collect()
-        v = Vocabulary([(r["word"], r["n"]) for r in top], total["n"], total["v"])
-        w, _ = _rounds(docs, v, rounds)
-    rows = _scored(docs, v, w)
-    # repeated rows add up under one key: m rows, m times the tokens
-    base = _summed(counted.where("kind = 0").select("slot", "body").repartition(n, "slot"))
-    both = rows.join(base, "key")
-    m = F.col("n") / F.col("n_tokens")
-    logs, big = F.col("log") / m, F.log10(F.lit(total["n"] + 0.5 * (total["v"] + 1)))
-    base_score = logs - F.col("n_tokens") * big
-    rare_big = F.log10(F.lit((v.rare_total + 0.5 * (v.rare_distinct + 1)) if v else 1.0))
-    model = F.col("net") + (logs - F.col("own")) - F.col("rare") * rare_big if v else base_score
-    return both.select("doc_id", "held_out", "n_tokens", F.round(F.col("known") / m).cast("long").alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), base_score.alias("base_score"), model.alias("score"))
+    counts = written(count_tokens(docs.where("train"), n), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    words = frequent(counts, KNOWN)
+    v = Vocabulary(words, total["n"], total["v"]) if total["n"] else None
+    table = Table(words, v)
+    w = _rounds(docs, v, table, rounds)[0] if v else None
+    rows = written(_scored(docs, v, w, table), "scored")
+    # words outside the table: their counts by a join, summed per row
+    others = rows.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
+    c = F.coalesce("n", F.lit(0))
+    sums = others.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("known"))
+    both = rows.drop("others").join(sums, "row", "left")
+    logs, big = F.col("log") + F.coalesce("more", F.lit(0.0)), math.log10(total["n"] + 0.5 * (total["v"] + 1))
+    base = logs - F.col("n_tokens") * big
+    rare_big = math.log10(v.rare_total + 0.5 * (v.rare_distinct + 1)) if v else 0.0
+    model = F.col("net") + (logs - F.col("own")) - F.col("rare") * rare_big if v else base
+    known = F.col("seen") + F.coalesce("known", F.lit(0))
+    return both.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"))

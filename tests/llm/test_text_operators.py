@@ -290,8 +290,19 @@ def test_lcs_by_definition():
 # ---------------------------------------------------------------- language model
 
 
-def test_lm_base_and_score(spark, edge_docs, no_docs):
-    rows = edge_docs.select("doc_id", "text").union(spark.createDataFrame([(2000 + k, prose("en" if k % 2 else "de", 200, k)) for k in range(300)], "doc_id long, text string"))
+def clash(n):
+    """Two words of n letters that a polynomial hash modulo 2 ** 64 can't tell apart (Thue and Morse)."""
+    a = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("broadcast", [gru_lm.KNOWN, 9, 0])
+def test_lm_base_and_score(spark, edge_docs, no_docs, monkeypatch, broadcast):
+    """Whether all, a few or no words are broadcast: the same counts and sums."""
+    monkeypatch.setattr(gru_lm, "KNOWN", broadcast)
+    monkeypatch.setattr(gru_lm, "FLUSH", 64)
+    monkeypatch.setattr(gru_lm, "PIECE", 1000)
+    rows = edge_docs.select("doc_id", "text").union(spark.createDataFrame([(2000 + k, prose("en" if k % 2 else "de", 200, k)) for k in range(300)] + [(3000 + k, t) for k, t in enumerate([*clash(1024), *clash(2048), " ".join(clash(2048))])], "doc_id long, text string"))
     out = gru_lm.score_documents(rows.withColumn("key", F.lit("x"))).collect()
     docs = [(r.doc_id, WORD.findall((r.text or "").translate(LOW)) + [None]) for r in rows.collect()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
@@ -299,15 +310,13 @@ def test_lm_base_and_score(spark, edge_docs, no_docs):
     n, v = sum(c.values()), len(c)
     want = sorted((d if d is not None else -1, held(d), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 5)) for d, t in docs)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
-    own = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id >= 2000]
-    assert sum(r.score for r in own) > sum(r.base_score for r in own)
-    assert all(r.score <= 0 for r in out)
+    own = [r for r in out if r.held_out and r.doc_id is not None and 2000 <= r.doc_id < 3000]
+    assert sum(r.score for r in own) > sum(r.base_score for r in own) or not broadcast
+    assert all(r.score <= 1e-9 for r in out)
     assert gru_lm.score_documents(no_docs).count() == 0
 
 
 def test_lm_learns_from_all_training_documents(spark, monkeypatch):
-    """At every size: the switch that small tables met is set aside where there is one."""
-    monkeypatch.setattr(gru_lm, "FLOOR", 1, raising=False)
     learned = []
     rounds = gru_lm._rounds
     monkeypatch.setattr(gru_lm, "_rounds", lambda *x: (learned.append(rounds(*x)), learned[0])[1])
@@ -315,6 +324,21 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     assert learned[0][1] == sum(r.n_tokens for r in rows if not r.held_out) == rows[0].train_tokens
 
 
+def test_lm_long_document_among_short_ones():
+    """What the lanes hold grows with the tokens, not with the longest document times the lanes."""
+    import tracemalloc
+
+    v = gru_lm.Vocabulary([(k + 1, 50 - k) for k in range(40)], 2000, 500)
+    rng = np.random.default_rng(2)
+    length = np.array([40000, *[5] * 100])
+    y = rng.integers(0, v.size, length.sum()).astype(np.int16)
+    tracemalloc.start()
+    gru_lm.score(gru_lm.first_weights(v), v, y, length, hold=1 << 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+
+
 def test_lm_learns_in_blocks():
     """Blocks of documents carry the weights and the sums of squares on."""
     v = gru_lm.Vocabulary([(k + 1, 50 - k) for k in range(40)], 2000, 500)
