@@ -41,8 +41,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (path, ROOT) if x)
-    # workers give memory back after a batch, and batches of long texts stay small
-    env |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
+    # workers reuse arrays of a few megabytes, give larger ones back, and batches of long texts stay small
+    env |= {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     shared_dir(spark)
@@ -277,24 +277,20 @@ def kept(key, make):
     Operators that keep nothing let it go (``release``).
     """
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
 def release() -> None:
-    """Let go of what an earlier operator kept in this worker."""
+    """Let go of what an earlier operator kept in this worker, and of the allocator's free memory (glibc only)."""
     if _kept:
         _kept.clear()
-        reuse_memory(1 << 17)
+        trim()
 
 
-def reuse_memory(most: int) -> None:
-    """Let this worker's allocator keep freed arrays of up to ``most`` bytes for reuse instead of handing each back (glibc only)."""
+def trim() -> None:
     try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(-3, most)  # from where on an array is mapped on its own
-        libc.mallopt(-1, most)  # free bytes at the heap's end that stay
-        libc.malloc_trim(0)
+        ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass

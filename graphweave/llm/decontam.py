@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, hashes, parts, prepare, ragged, reuse_memory, shared_dir
+from .common import LOWER, chunks, hashes, parts, prepare, ragged, release, shared_dir
 
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE = 48, 8
@@ -176,7 +176,7 @@ def survey(docs: DataFrame, items: Items, place: str, rank: int = RANK) -> tuple
     shared = spark.sparkContext.broadcast((items, random))
 
     def run(batches):
-        reuse_memory(16 << 20)
+        release()
         items, random = shared.value
         size = items.size
         kind = np.uint16 if size < 1 << 16 else np.uint32
@@ -207,7 +207,6 @@ def survey(docs: DataFrame, items: Items, place: str, rank: int = RANK) -> tuple
             flat = np.concatenate([[n], df, total.ravel()])
             for k in range(0, len(flat), PART):
                 yield pa.RecordBatch.from_arrays([pa.array([k // PART]), pa.nulls(1, pa.int64()), pa.array([flat[k : k + PART].tobytes()], pa.binary())], ["part", "doc_id", "body"])
-        reuse_memory(1 << 17)
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -275,7 +274,7 @@ def _search(spark, place: str, items: Items, idf: np.ndarray, basis: np.ndarray,
     shared = spark.sparkContext.broadcast((items, basis * idf[:-1, None], vector, weight, least))
 
     def run(batches):
-        reuse_memory(16 << 20)
+        release()
         items, table, vector, weight, least = shared.value
         kind = np.uint16 if items.size < 1 << 16 else np.uint32
         for rows, data, offsets in chunks(batches, CHUNK // 2, "body"):
@@ -311,7 +310,6 @@ def _search(spark, place: str, items: Items, idf: np.ndarray, basis: np.ndarray,
                 ids = rows.column("doc_id").to_pylist()
                 keys = sorted(found)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[d] for d, _ in keys], pa.int64()), "item_id": pa.array([items.ids[y] for _, y in keys], pa.int64()), "lcs": [float(found[k][0]) for k in keys], "answer": [float(found[k][1]) for k in keys], "first_word": pa.array([found[k][2] for k in keys], pa.int64()), "end_word": pa.array([found[k][3] for k in keys], pa.int64())})
-        reuse_memory(1 << 17)
 
     words = spark.read.parquet(place).where("part is null").select("doc_id", "body")
     return words.mapInArrow(run, "doc_id long, item_id long, lcs double, answer double, first_word long, end_word long")

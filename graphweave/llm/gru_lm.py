@@ -214,34 +214,59 @@ def first_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return {"x": f(v.size, 3 * HIDDEN), "u": f(HIDDEN, 3 * HIDDEN), "c": f(HIDDEN, classes) * 0.3, "cb": np.log(mass / mass.sum()).astype(np.float32), "o": f(v.size, HIDDEN) * 0.3, "ob": np.log(v.count / mass[v.cls]).astype(np.float32)}
 
 
-def cell(w: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    k = HIDDEN
-    a, u = w["x"][x], h @ w["u"]
-    g = np.tanh(0.5 * (a[:, : 2 * k] + u[:, : 2 * k])) * np.float32(0.5) + np.float32(0.5)
-    r, z = g[:, :k], g[:, k:]
-    n = np.tanh(a[:, 2 * k :] + r * u[:, 2 * k :])
-    return n + z * (h - n), r, z, n, u[:, 2 * k :]
+def inputs(w: dict, x: np.ndarray) -> np.ndarray:
+    """What the inputs x (steps x lanes) add to the gates: (steps, 3 * HIDDEN, lanes)."""
+    a = w["x"].take(x.ravel(), axis=0).reshape(*x.shape, 3 * HIDDEN)
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
 
+def cell(a: np.ndarray, ut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step: the new state (HIDDEN x lanes), the gates r and z, the proposal n and what it takes from the state.
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    exp may overflow, which gives the limits 0 and 1 of the gates.
+    """
+    k = HIDDEN
+    u = ut @ h
+    g = np.exp(-(a[: 2 * k] + u[: 2 * k]))
+    g += 1
+    np.divide(1, g, out=g)
+    r, z = g[:k], g[k:]
+    n = np.exp(2 * (a[2 * k :] + r * u[2 * k :]))
+    n += 1
+    n = 1 - 2 / n
+    return n + z * (h - n), r, z, n, u[2 * k :]
+
+
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x less a constant a row, its exp, the sums of that)."""
+    y = x - x.max()
+    e = np.exp(y)
+    s = e @ np.ones(x.shape[1], x.dtype)
+    if not s.min() > 1e-25:  # rows far below the largest value
+        y = x - x.max(1, keepdims=True)
+        e = np.exp(y)
+        s = e.sum(1)
+    return y, e, s
+
+
+def by_class(v: Vocabulary, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The order of tokens by class c, and (first, end) of the tokens and of the words of each class that has several words."""
+    order = np.argsort(c.astype(np.uint8 if len(v.start) <= 256 else np.int32), kind="stable")
+    cut = np.searchsorted(c[order], np.arange(len(v.start)))
+    return order, [(int(cut[k]), int(cut[k + 1]), int(v.start[k]), int(v.start[k + 1])) for k in np.flatnonzero(np.diff(cut)).tolist() if v.start[k + 1] - v.start[k] > 1]
 
 
 def output_log(w: dict, v: Vocabulary, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of tokens y after states h: class, then word in its class."""
+    """Natural log probabilities of tokens y after states h (tokens x HIDDEN): class, then word in its class."""
     c = v.cls[y]
-    x = h @ w["c"] + w["cb"]
-    m = x.max(1)
-    out = x[np.arange(len(y)), c] - m - np.log(np.exp(x - m[:, None]).sum(1))
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(v.start)))
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        rows, a, b = order[cut[k] : cut[k + 1]], v.start[k], v.start[k + 1]
-        if b - a > 1:
-            x = h[rows] @ w["o"][a:b].T + w["ob"][a:b]
-            m = x.max(1)
-            out[rows] += x[np.arange(len(rows)), y[rows] - a] - m - np.log(np.exp(x - m[:, None]).sum(1))
+    x, _, s = softmax(h @ w["c"] + w["cb"])
+    out = x[np.arange(len(y)), c] - np.log(s)
+    order, groups = by_class(v, c)
+    h, y, more = h[order], y[order], np.zeros(len(y), out.dtype)
+    for i, j, a, b in groups:
+        x, _, s = softmax(h[i:j] @ w["o"][a:b].T + w["ob"][a:b])
+        more[i:j] = x[np.arange(j - i), y[i:j] - a] - np.log(s)
+    out[order] += more
     return out
 
 
@@ -294,84 +319,89 @@ def score(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, hold: int =
     if not len(y):
         return out
     most = int(np.clip(len(y) // max(1, int(length.max())) + 1, 64, 1024))
-    h = np.zeros((min(most, len(length)), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, min(most, len(length))), np.float32)
+    ut = np.ascontiguousarray(w["u"].T)
     hs, ys, ds, held = [], [], [], 0
 
     def close():
-        out[:] += np.bincount(np.concatenate(ds), weights=output_log(w, v, np.concatenate(hs), np.concatenate(ys)), minlength=len(length))
+        out[:] += np.bincount(np.concatenate(ds), weights=output_log(w, v, np.concatenate([x.T for x in hs]), np.concatenate(ys)), minlength=len(length))
         for x in (hs, ys, ds):
             x.clear()
 
-    for source, target, doc, live in Grid(y, length, most, v.end).slices(64):
-        for x, z, d, n in zip(source, target, doc, live.sum(1).tolist(), strict=True):
-            x = x[:n]
-            h = h[:n] * (x != v.end)[:, None]
-            h = cell(w, x, h)[0]
-            hs.append(h)
-            ys.append(z[:n])
-            ds.append(d[:n])
-            held += n
-            if held >= hold:
-                close()
-                held = 0
+    with np.errstate(over="ignore"):
+        for source, target, doc, live in Grid(y, length, most, v.end).slices(WINDOW):
+            a, keep = inputs(w, source), (source != v.end).astype(np.float32)
+            for t, n in enumerate(live.sum(1).tolist()):
+                h = cell(a[t, :, :n], ut, h[:, :n] * keep[t, :n])[0]
+                hs.append(h)
+                ys.append(target[t, :n])
+                ds.append(doc[t, :n])
+                held += n
+                if held >= hold:
+                    close()
+                    held = 0
     if held:
         close()
     return out
 
 
 def gradients(w: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, full: int) -> tuple[dict, np.ndarray, float]:
-    """Gradients of one window (steps x lanes) by backpropagation, its last state and its loss a token of ``full`` lanes."""
+    """Gradients of one window (steps x lanes) by backpropagation, its last state (HIDDEN x lanes) and its loss a token of ``full`` lanes."""
     steps, b = x.shape
-    k = HIDDEN
-    past, rs, zs, ns, us, hs = ([] for _ in range(6))
+    k, kind = HIDDEN, w["u"].dtype
+    ut, a, keep = np.ascontiguousarray(w["u"].T), inputs(w, x), (x != v.end).astype(kind)
+    past, r, z, n, u, states = (np.empty((steps, k, b), kind) for _ in range(6))
     for t in range(steps):
-        h = h * (x[t] != v.end)[:, None]
-        past.append(h)
-        h, r, z, n, u = cell(w, x[t], h)
-        for a, e in zip((rs, zs, ns, us, hs), (r, z, n, u, h), strict=True):
-            a.append(e)
-    flat, yy, on = np.concatenate(hs), y.ravel().astype(np.int64), live.ravel()
-    scale = np.float32(1 / (steps * full))
-    c = v.cls[yy]
-    lp = log_softmax(flat @ w["c"] + w["cb"])
-    loss = -(lp[np.arange(len(yy)), c] * on).sum()
-    d = np.exp(lp)
-    d[np.arange(len(yy)), c] -= 1
-    d *= (on * scale)[:, None]
+        past[t] = h * keep[t]
+        states[t], r[t], z[t], n[t], u[t] = cell(a[t], ut, past[t])
+        h = states[t]
+    # class, then word in its class
+    flat = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, k)
+    yy, on = y.ravel().astype(np.int64), live.ravel().astype(kind)
+    every, c = np.arange(len(yy)), v.cls[yy]
+    on_scale = on * kind.type(1 / (steps * full))
+    e, d, s = softmax(flat @ w["c"] + w["cb"])
+    loss = (e[every, c] - np.log(s)) @ on
+    d /= s[:, None]
+    d[every, c] -= 1
+    d *= on_scale[:, None]
     g = {"c": flat.T @ d, "cb": d.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
     dh = d @ w["c"].T
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(v.start)))
-    for q in np.flatnonzero(np.diff(cut)).tolist():
-        rows, a, e = order[cut[q] : cut[q + 1]], v.start[q], v.start[q + 1]
-        if e - a > 1:
-            lw = log_softmax(flat[rows] @ w["o"][a:e].T + w["ob"][a:e])
-            loss -= (lw[np.arange(len(rows)), yy[rows] - a] * on[rows]).sum()
-            dw = np.exp(lw)
-            dw[np.arange(len(rows)), yy[rows] - a] -= 1
-            dw *= (on[rows] * scale)[:, None]
-            g["o"][a:e] = dw.T @ flat[rows]
-            g["ob"][a:e] = dw.sum(0)
-            dh[rows] += dw @ w["o"][a:e]
-    dh = dh.reshape(steps, b, k)
-    back = np.zeros((b, k), np.float32)
-    da = np.empty((steps, b, 3 * k), np.float32)
-    g["u"] = np.zeros_like(w["u"])
+    order, groups = by_class(v, c)
+    flat, yy, on, on_scale, more = flat[order], yy[order], on[order], on_scale[order], np.zeros_like(flat)
+    for i, j, a, e in groups:
+        own = flat[i:j]
+        lw, dw, s = softmax(own @ w["o"][a:e].T + w["ob"][a:e])
+        at = np.arange(j - i), yy[i:j] - a
+        loss += (lw[at] - np.log(s)) @ on[i:j]
+        dw /= s[:, None]
+        dw[at] -= 1
+        dw *= on_scale[i:j, None]
+        g["o"][a:e] = dw.T @ own
+        g["ob"][a:e] = dw.sum(0)
+        more[i:j] = dw @ w["o"][a:e]
+    dh[order] += more
+    dh = np.ascontiguousarray(dh.reshape(steps, b, k).transpose(0, 2, 1))
+    # back through the steps
+    to_n, to_r, to_z = (1 - z) * (1 - n * n), u * r * (1 - r), (past - n) * z * (1 - z)
+    da, du = np.empty((steps, 3 * k, b), kind), np.empty((steps, 3 * k, b), kind)
+    back = np.zeros((k, b), kind)
     for t in range(steps - 1, -1, -1):
         e = dh[t] + back
-        r, z, n, p = rs[t], zs[t], ns[t], past[t]
-        dn = e * (1 - z) * (1 - n * n)
-        dr = dn * us[t] * r * (1 - r)
-        dz = e * (p - n) * z * (1 - z)
-        da[t, :, :k], da[t, :, k : 2 * k], da[t, :, 2 * k :] = dr, dz, dn
-        du = np.concatenate([dr, dz, dn * r], 1)
-        g["u"] += p.T @ du
-        back = (e * z + du @ w["u"].T) * (x[t] != v.end)[:, None]
+        dn = np.multiply(e, to_n[t], out=da[t, 2 * k :])
+        np.multiply(dn, to_r[t], out=da[t, :k])
+        np.multiply(e, to_z[t], out=da[t, k : 2 * k])
+        du[t, : 2 * k] = da[t, : 2 * k]
+        np.multiply(dn, r[t], out=du[t, 2 * k :])
+        back = w["u"] @ du[t]
+        back += e * z[t]
+        back *= keep[t]
+    g["u"] = np.matmul(past, du.transpose(0, 2, 1)).sum(0)
     ids = x.ravel()
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-    g["x"] = (ids[order][first], np.add.reduceat(da.reshape(-1, 3 * k)[order], first, axis=0))
-    return g, h, float(loss * scale)
+    g["x"] = (ids[order][first], np.add.reduceat(np.ascontiguousarray(da.transpose(0, 2, 1)).reshape(-1, 3 * k)[order], first, axis=0))
+    return g, h, float(-loss / (steps * full))
 
 
 def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float = 0.15, past: dict | None = None) -> dict:
@@ -385,9 +415,10 @@ def train(w: dict, v: Vocabulary, y: np.ndarray, length: np.ndarray, rate: float
     length = np.where(ragged(np.zeros(len(cuts), np.int64), cuts) + 1 < np.repeat(cuts, cuts), SEGMENT, np.repeat(length - (cuts - 1) * SEGMENT, cuts))
     grid = Grid(y, length, int(np.clip(len(y) // (WINDOW * 200), 4, LANES)), v.end)
     lanes_n = len(grid.total)
-    h = np.zeros((lanes_n, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes_n), np.float32)
     for source, target, _, live in grid.slices(WINDOW):
-        g, h, _ = gradients(w, v, source, target, live, h[: source.shape[1]], lanes_n)
+        with np.errstate(over="ignore"):
+            g, h, _ = gradients(w, v, source, target, live, h[:, : source.shape[1]], lanes_n)
         for k, x in g.items():
             if k == "x":
                 rows, x = x

@@ -360,7 +360,7 @@ def test_lm_gradients_and_normalisation():
     assert total == pytest.approx(1)
     x, y = (rng.integers(0, v.size, (6, 3)).astype(np.int16) for _ in range(2))
     x[2, 1] = v.end
-    live, h0 = np.ones((6, 3), bool), rng.standard_normal((3, gru_lm.HIDDEN))
+    live, h0 = np.ones((6, 3), bool), rng.standard_normal((gru_lm.HIDDEN, 3))
     g, _, _ = gru_lm.gradients(w, v, x, y, live, h0, 3)
     for name, at in (("u", (2, 3)), ("c", (1, 0)), ("cb", (0,)), ("o", (int(y[0, 0]), 3)), ("ob", (int(y[0, 0]),)), ("x", (int(g["x"][0][1]), 5))):
         own = g["x"][1][1, 5] if name == "x" else g[name][at]
@@ -382,10 +382,10 @@ def test_lm_state_is_carried_through_whole_documents():
     got = gru_lm.score(w, v, y, length, hold=64)
     at = 0
     for k, n in enumerate(length):
-        h, x, total = np.zeros((1, gru_lm.HIDDEN), np.float32), v.end, 0.0
+        h, x, total = np.zeros((gru_lm.HIDDEN, 1), np.float32), v.end, 0.0
         for t in y[at : at + n]:
-            h = gru_lm.cell(w, np.array([x]), h)[0]
-            total += gru_lm.output_log(w, v, h, np.array([t]))[0]
+            h = gru_lm.cell(gru_lm.inputs(w, np.array([[x]]))[0], w["u"].T, h)[0]
+            total += gru_lm.output_log(w, v, h.T, np.array([t]))[0]
             x = t
         at += n
         assert got[k] == pytest.approx(total, rel=1e-4)
