@@ -5,16 +5,20 @@ are taken as mu-law codes (one byte is one sample) and stored as a WAV file of
 8 kHz, format 7.  Decoding reads the file back, expands the codes through a
 table of 256 samples, resamples to 16 kHz PCM, and also reads the same bytes as
 A-law codes and as ADPCM blocks of 64 bytes.  ADPCM is sequential inside a block
-only, so numpy decodes all blocks of a batch side by side.
+only, so numpy decodes all blocks of a batch side by side.  The resampled PCM is
+stored as a column of a table.
 
-Null text counts as empty and gives 64 zero bytes.  Equal texts give equal
-values; repeated rows stay; null ids stay null; an empty table gives no rows.
+Null text counts as empty and gives 64 zero bytes.  Very long texts are converted
+whole, alone in their chunk.  Equal texts give equal values; repeated rows stay;
+null ids stay null; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare
+from .common import chunks, prepare, shared_dir
 
 BLOCK = 64
 RATE = 8000
@@ -115,41 +119,59 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, keep_pcm: bool = True) -> DataFrame:
-    """Read stored files back: their payload, PCM at twice the rate (16 bits, little-endian) and features."""
+def decoded(raw: bytes, offsets: np.ndarray) -> tuple[list[bytes], list[bytes], list[str]]:
+    """Payloads, PCM at twice the rate (16 bits, little-endian) and features of stored files."""
+    at = offsets.tolist()
+    payload = [load(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    size = np.array([len(x) for x in payload])
+    edge = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(payload), np.uint8)
+    mu, al = MULAW[flat], ALAW[flat]
+    ad = adpcm_blocks(flat.reshape(-1, BLOCK))
+    level = np.add.reduceat(np.abs(mu.astype(np.int64)), edge)
+    level_a = np.add.reduceat(np.abs(al.astype(np.int64)), edge)
+    level_d = np.add.reduceat(np.abs(ad.astype(np.int64)).sum(1), edge // BLOCK)
+    turn = np.zeros(len(mu), bool)
+    turn[1:] = (mu[1:] < 0) != (mu[:-1] < 0)
+    turn[edge] = False
+    turns = np.add.reduceat(turn.astype(np.int64), edge)
+    pcm = [resample2(mu[a : a + n]).astype("<i2").tobytes() for a, n in zip(edge.tolist(), size.tolist(), strict=True)]
+    feature = [f"rate=16000;samples={2 * n};mulaw={a};alaw={b};adpcm={d};turns={t};pcm={zlib.crc32(p):08x}" for n, a, b, d, t, p in zip(size.tolist(), level.tolist(), level_a.tolist(), level_d.tolist(), turns.tolist(), pcm, strict=True)]
+    return payload, pcm, feature
+
+
+def decode_media(media: DataFrame) -> DataFrame:
+    """Read stored files back: their payload, PCM and features."""
     prepare(media.sparkSession)
-    names = ["doc_id", "n_bytes", "media", "payload", "pcm16k", "feature"]
 
     def run(batches):
         for rows, data, offsets in chunks(batches, column="media"):
-            raw, at = data.tobytes(), offsets.tolist()
-            payload = [load(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            size = np.array([len(x) for x in payload])
-            edge = np.cumsum(size) - size
-            flat = np.frombuffer(b"".join(payload), np.uint8)
-            mu, al = MULAW[flat], ALAW[flat]
-            ad = adpcm_blocks(flat.reshape(-1, BLOCK))
-            level = np.add.reduceat(np.abs(mu.astype(np.int64)), edge)
-            level_a = np.add.reduceat(np.abs(al.astype(np.int64)), edge)
-            level_d = np.add.reduceat(np.abs(ad.astype(np.int64)).sum(1), edge // BLOCK)
-            turn = np.zeros(len(mu), bool)
-            turn[1:] = (mu[1:] < 0) != (mu[:-1] < 0)
-            turn[edge] = False
-            turns = np.add.reduceat(turn.astype(np.int64), edge)
-            pcm = [resample2(mu[a : a + n]).astype("<i2").tobytes() for a, n in zip(edge.tolist(), size.tolist(), strict=True)]
-            feature = [f"rate=16000;samples={2 * n};mulaw={a};alaw={b};adpcm={d};turns={t};pcm={zlib.crc32(p):08x}" for n, a, b, d, t, p in zip(size.tolist(), level.tolist(), level_a.tolist(), level_d.tolist(), turns.tolist(), pcm, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), rows.column("media"), pa.array(payload, pa.binary()), pa.array(pcm if keep_pcm else [None] * len(pcm), pa.binary()), pa.array(feature)], names)
+            payload, pcm, feature = decoded(data.tobytes(), offsets)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), rows.column("media"), pa.array(payload, pa.binary()), pa.array(pcm, pa.binary()), pa.array(feature)], ["doc_id", "n_bytes", "media", "payload", "pcm16k", "feature"])
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, pcm16k binary, feature string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Fixed-size columns of decoded media."""
+def convert(media: DataFrame) -> DataFrame:
+    """Decode stored files, store the PCM with what describes it, and read that table.
+
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm16k);
+    the table is in the shared folder, its pages compressed, as PCM has four bytes a code.
+    """
+    spark = prepare(media.sparkSession)
+    place = f"{shared_dir(spark)}/pcm-{uuid.uuid4().hex}"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm16k"]
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm16k binary"
 
     def run(batches):
-        for b in batches:
-            payload, media = b.column("payload").to_pylist(), b.column("media").to_pylist()
-            sha = lambda x: [hashlib.sha256(y).hexdigest() for y in x]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([len(x) for x in payload], pa.int64()), pa.array(sha(payload)), pa.array([zlib.crc32(x[-BLOCK:]) for x in payload], pa.int64()), pa.array([len(x) for x in media], pa.int64()), pa.array(sha(media)), b.column("feature")], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for rows, data, offsets in chunks(batches, column="media"):
+            raw, at = data.tobytes(), offsets.tolist()
+            payload, pcm, feature = decoded(raw, offsets)
+            sha = [hashlib.sha256(x).hexdigest() for x in payload]
+            own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array([len(x) for x in payload], pa.int64()), pa.array(sha), pa.array([zlib.crc32(x[-BLOCK:]) for x in payload], pa.int64()), pa.array(np.diff(offsets)), pa.array(own), pa.array(feature), pa.array(pcm, pa.binary())], names)
+
+    media.mapInArrow(run, kinds).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "5").option("parquet.enable.dictionary", "false").parquet(place)
+    return spark.read.schema(kinds).parquet(place)
+
 
-    return decoded.select("doc_id", "n_bytes", "media", "payload", "feature").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

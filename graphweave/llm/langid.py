@@ -10,17 +10,21 @@ code length per language is the exact sum over its bytes, whole text, and the
 shortest code names the language.  Its score is the posterior of that language
 under equal priors.
 
-Scoring is three table reads a byte: (order-3 context) -> row, (row, symbol) ->
-price of the four-byte string in all languages; strings unseen everywhere pay the
-escapes and the dense order-2 price.
+Scoring looks up every four-byte string in a hash table whose rows hold its price
+in all languages; strings unseen everywhere pay the escapes of their context and
+the price one order below.  The tables have a row for each string of the sample, so
+they grow with the sample and not with the alphabet.
 
 The sample bound: ``bytes_per_language`` (384 KiB) in expectation for each
 language, from whole documents picked by a hash of their id; only this sample
-reaches the driver.  Labels of held-out rows, sources and ids never reach a
-prediction.
-
-Null or letterless text: ``und`` with score 0.  No labelled rows: all ``und``.
-Ties: the alphabetically first language.  Repeated rows stay.
+reaches the driver.  Above ``LANGUAGES`` learned values the sample and the tables
+would not be bounded, so that is an error.  Labels of held-out rows, sources and
+ids never reach a prediction.
+
+Null or letterless text (no character of a letter category): ``und`` with score 0.
+No labelled rows: all ``und``.  Empty table: no rows.  Very long texts: whole, alone in
+their chunk.  Ties: the alphabetically first language.  Repeated rows and null ids
+stay.  Columns other than doc_id, text, lang and those asked for are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from .common import chunks, kept, prepare, strings
 
 ORDER = 3
 PAD = 10  # the byte that stands before a text
-SYMBOLS = 128
+LANGUAGES = 256
 
 
 def fold(doc_id: Column, m: int) -> Column:
@@ -48,9 +52,11 @@ def fold(doc_id: Column, m: int) -> Column:
 def sample(docs: DataFrame, bytes_per_language: int) -> dict[str, list[str]]:
     """Whole labelled texts per language, about the stated number of bytes."""
     rows = docs.where("text is not null and lang is not null")
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(LANGUAGES + 1).collect()}
     if not total:
         return {}
+    if len(total) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, min(scale, math.ceil(scale * bytes_per_language / max(1, n))))])
     picked = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(scale)) < share[F.col("lang")])
@@ -61,94 +67,118 @@ def sample(docs: DataFrame, bytes_per_language: int) -> dict[str, list[str]]:
 
 
 def count(texts: dict[str, list[str]]) -> dict:
-    """Gram counts of all orders per language, over an alphabet of the most frequent bytes and one for the others."""
-    raw = {k: [t.lower().encode() for t in v] for k, v in texts.items()}
-    freq = sum((np.bincount(np.frombuffer(b"".join(v), np.uint8), minlength=256) for v in raw.values()), np.zeros(256, np.int64))
-    top = [int(b) for b in np.argsort(-freq, kind="stable")[: SYMBOLS - 1] if freq[b]]
-    if PAD not in top:
-        top = [PAD, *top[: SYMBOLS - 2]]
-    code = np.full(256, len(top), np.uint8)
-    code[top] = np.arange(len(top))
-    size = len(top) + 1
+    """Counts of all strings of up to ORDER + 1 bytes per language, as sorted (string, number); strings are numbers of base 256."""
     grams = {}
-    for lang, docs in raw.items():
-        pad = np.full(ORDER, code[PAD])
-        data = [np.concatenate([pad, code[np.frombuffer(d, np.uint8)]]) for d in docs]
-        x = np.concatenate(data).astype(np.int64)
+    for lang, docs in texts.items():
+        pad = bytes([PAD]) * ORDER
+        data = [pad + t.lower().encode() for t in docs]
+        x = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
         own = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(d) - ORDER, bool)] for d in data])
         at = np.flatnonzero(own)
         key, out = np.zeros(len(at), np.int64), []
         for k in range(ORDER + 1):
-            key = key + x[at - k] * size**k
+            key = key + (x[at - k] << 8 * k)
             out.append(np.unique(key, return_counts=True))
         grams[lang] = out
-    return {"id": uuid.uuid4().hex, "langs": list(raw), "code": code, "size": size, "others": 256 - len(top), "grams": grams}
+    return {"id": uuid.uuid4().hex, "langs": list(texts), "grams": grams}
+
+
+class Node:
+    """The contexts of one order in all languages: an open-addressed table of strings and their prices."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], shorter: np.ndarray | None, k: int):
+        """grams: (string, number) of a language each; shorter: prices of the strings' last k bytes in the shorter contexts."""
+        self.keys = np.unique(np.concatenate([g for g, _ in grams]))
+        context = np.unique(self.keys >> 8)
+        self.context = context
+        self.escape = np.zeros((len(context) + 1, len(grams)), np.float32)  # the last row: an unseen context
+        self.price = shorter.astype(np.float32).copy()
+        at = np.searchsorted(context, self.keys >> 8)
+        for j, (g, n) in enumerate(grams):
+            c, first = np.unique(g >> 8, return_index=True)
+            total, distinct = np.add.reduceat(n, first), np.diff(np.r_[first, len(g)])
+            place = np.searchsorted(context, c)
+            self.escape[place, j] = -np.log2(distinct / (total + distinct))
+            self.price[:, j] += self.escape[at, j]
+            own = np.searchsorted(c, g >> 8)
+            self.price[np.searchsorted(self.keys, g), j] = -np.log2(n / (total + distinct)[own])
+        self.slots = Slots(self.keys)
+        self.contexts = Slots(context)
+
+
+class Slots:
+    """Where keys stand in a sorted array, by hashing; len(keys) for keys that aren't in it."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.n = np.uint64(64 - bits), len(keys)
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        # each key takes the first free slot from its home on
+        slot = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys))
+        size = max(1 << bits, int(slot.max(initial=0)) + 1) + 1  # the last slot stays free
+        self.key, self.at = np.full(size, -1, np.int64), np.full(size, len(keys), np.int32)
+        self.key[slot], self.at[slot] = keys[order], order
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._home(keys)
+        here = self.key[slot]
+        out = np.where(here == keys, self.at[slot], np.int32(self.n))
+        left = np.flatnonzero((here != keys) & (here != -1))
+        while len(left):
+            slot[left] += 1
+            here = self.key[slot[left]]
+            hit = here == keys[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[~hit & (here != -1)]
+        return out
 
 
 class Prices:
-    """Bits of every string of symbols in every language."""
+    """Bits of every byte after every context in every language."""
 
     def __init__(self, model: dict):
-        size, langs = model["size"], model["langs"]
-        self.size, self.code = size, model["code"]
-        low = np.full((size, len(langs)), 8.0, np.float32)
-        low[-1] = 8 - math.log2(model["others"])
-        self.rest = math.log2(model["others"])  # which byte of the others it is: alike in all languages
-        for k in range(ORDER):
-            table = np.tile(low, (size, 1)) if k else low.copy()
-            for j, lang in enumerate(langs):
-                self._fill(table[:, j], *model["grams"][lang][k], size, k)
-            low = table
-        self.low = low  # size ** 3 rows: order-2 prices
-        keys = np.unique(np.concatenate([model["grams"][x][ORDER][0] for x in langs]))
-        context = np.unique(keys // size)
-        self.row = np.zeros(size**ORDER, np.int32)
-        self.row[context] = np.arange(1, len(context) + 1)
-        self.slot = np.full((len(context) + 1, size), -1, np.int32)
-        self.slot[self.row[keys // size], keys % size] = np.arange(len(keys))
-        self.slot = self.slot.ravel()
-        self.escape = np.zeros((len(context) + 1, len(langs)), np.float32)
-        self.high = np.empty((len(keys), len(langs)), np.float32)
-        for j, lang in enumerate(langs):
-            g, n = model["grams"][lang][ORDER]
-            c, first = np.unique(g // size, return_index=True)
-            total = np.add.reduceat(n, first)
-            distinct = np.diff(np.r_[first, len(g)])
-            self.escape[self.row[c], j] = -np.log2(distinct / (total + distinct))
-            self.high[:, j] = self.escape[self.row[keys // size], j] + self.low[keys % size**ORDER, j]
-            own = np.searchsorted(c, g // size)
-            self.high[np.searchsorted(keys, g), j] = -np.log2(n / (total + distinct)[own])
-
-    @staticmethod
-    def _fill(price: np.ndarray, g: np.ndarray, n: np.ndarray, size: int, k: int) -> None:
-        c, first = np.unique(g // size, return_index=True)
-        total, distinct = np.add.reduceat(n, first), np.diff(np.r_[first, len(g)])
-        view = price.reshape(-1, size)
-        view[c] = view[c] - np.log2(distinct / (total + distinct))[:, None]
-        view[c[np.searchsorted(c, g // size)], g % size] = -np.log2(n / (total + distinct)[np.searchsorted(c, g // size)])
-        price[:] = view.ravel()
+        langs = model["langs"]
+        self.langs = len(langs)
+        self.nodes: list[Node] = []
+        for k in range(ORDER + 1):
+            grams = [model["grams"][x][k] for x in langs]
+            keys = np.unique(np.concatenate([g for g, _ in grams]))
+            shorter = np.full((len(keys), len(langs)), 8.0, np.float32) if k == 0 else self._price(keys & ((1 << 8 * k) - 1), k - 1)
+            self.nodes.append(Node(grams, shorter, k))
+
+    def _price(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """Prices of strings of k + 1 bytes: those of the table, else the escape and the price one order below."""
+        node = self.nodes[k]
+        at = node.slots.find(keys)
+        miss = np.flatnonzero(at == len(node.keys))
+        at[miss] = 0
+        out = node.price[at]
+        if len(miss):
+            low = np.full((len(miss), self.langs), 8.0, np.float32) if k == 0 else self._price(keys[miss] & ((1 << 8 * k) - 1), k - 1)
+            out[miss] = node.escape[node.contexts.find(keys[miss] >> 8)] + low
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths of texts: one row per text, one column per language."""
         n, docs = len(data), len(offsets) - 1
-        out = np.zeros((docs, self.high.shape[1]))
+        out = np.zeros((docs, self.langs))
         if not n:
             return out
-        size = self.size
         # ORDER pads stand before each text
-        x = np.full(n + ORDER * docs, self.code[PAD], np.int32)
+        x = np.full(n + ORDER * docs, PAD, np.uint32)
         at = np.arange(n) + np.repeat(ORDER * (1 + np.arange(docs)), np.diff(offsets))
-        x[at] = self.code[data]
-        context = (x[at - 3] * size + x[at - 2]) * size + x[at - 1]
-        row, sym = self.row[context], x[at]
-        slot = self.slot[row * np.int64(size) + sym]
-        miss = np.flatnonzero(slot < 0)
-        slot[miss] = 0
-        price = self.high[slot]
-        price[miss] = self.escape[row[miss]] + self.low[(context[miss] % size**2) * np.int64(size) + sym[miss]]
+        x[at] = data
+        key = np.zeros(len(x), np.uint32)
+        for k in range(ORDER + 1):
+            key[ORDER:] |= x[ORDER - k : len(x) - k] << np.uint32(8 * k)
+        price = self._price(key[at].astype(np.int64), ORDER)
         full = np.flatnonzero(np.diff(offsets))
         out[full] = np.add.reduceat(price, offsets[full], axis=0, dtype=np.float64)
-        out[full] += np.add.reduceat((sym == size - 1).astype(np.float64), offsets[full])[:, None] * self.rest
         return out
 
 
@@ -163,11 +193,13 @@ def train(docs: DataFrame, bytes_per_language: int = 384 << 10) -> dict | None:
 
 
 def has_letter(texts: list[str | None]) -> np.ndarray:
-    return np.fromiter((t is not None and (t[:64].upper() != t[:64].lower() or any(map(str.isalpha, t))) for t in texts), bool, len(texts))
+    return np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts), bool, len(texts))
 
 
 def predict(docs: DataFrame, model: dict | None, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, bits) and the columns of ``keep``; bits: the code length in the named language."""
+    """(doc_id, lang_pred, score, bits) and the columns of ``keep``, which must have other names; bits: the code length in the named language."""
+    if clash := {"doc_id", "lang_pred", "score", "bits"} & set(keep):
+        raise ValueError(f"columns to keep that have names of the result: {sorted(clash)}")
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text", *[c for c in keep if c != "text"])

@@ -39,8 +39,7 @@ def op5_lm_score(spark, sf_dir):
 
 
 def op6_telephony_audio(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return audio.digest(audio.decode_media(audio.encode_media(docs), keep_pcm=False))
+    return audio.convert(audio.encode_media(table(spark, sf_dir, "documents"))).drop("pcm16k")
 
 
 def op7_html_text(spark, sf_dir):

@@ -31,8 +31,8 @@ def texts_of(df):
 
 def slow_prices(model, text):
     """Code lengths by the definition, symbol by symbol."""
-    size, code = model["size"], model["code"]
-    x = [int(code[langid.PAD])] * 3 + [int(code[b]) for b in text.lower().encode()]
+    size = 256
+    x = [langid.PAD] * 3 + list(text.lower().encode())
     out = []
     for lang in model["langs"]:
         tables = []
@@ -56,9 +56,7 @@ def slow_prices(model, text):
                     break
                 bits -= np.log2(len(seen) / total)
             else:
-                bits += 8 if x[at] != size - 1 else 8 - np.log2(model["others"])
-            if x[at] == size - 1:
-                bits += np.log2(model["others"])
+                bits += 8
         out.append(bits)
     return out
 
@@ -66,12 +64,26 @@ def slow_prices(model, text):
 def test_prices_by_definition():
     model = langid.count({"de": ["der die das und nicht der", "die und"], "en": ["the and of the", "that is it"]})
     p = langid.Prices(model)
-    for text in ("the die und", "", "zzz!?", "ä the", "a"):
+    for text in ("the die und", "", "zzz!?", "ä the", "a", "漢字 и the \x00"):
         raw = text.lower().encode()
         got = p.bits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
         assert got == pytest.approx(slow_prices(model, text), rel=1e-4, abs=1e-4)
 
 
+def test_letters():
+    assert langid.has_letter([None, "", "12 !", "Ⓐ Ⅷ", "é", "漢", "x" * 9, "9" * 99 + "x"]).tolist() == [False] * 4 + [True] * 4
+
+
+def test_slots():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(rng.integers(0, 1 << 32, n))
+        ask = np.concatenate([keys, rng.integers(0, 1 << 32, 500)])
+        want = np.searchsorted(keys, ask)
+        want = np.where((want < len(keys)) & (np.append(keys, -1)[np.minimum(want, len(keys))] == ask), want, len(keys))
+        assert langid.Slots(keys).find(ask).tolist() == want.tolist()
+
+
 def test_language_id(edge_docs, no_docs):
     out = langid.identify(edge_docs).toPandas().set_index("doc_id", drop=False)
     assert len(out) == edge_docs.count()
@@ -116,7 +128,7 @@ def test_adpcm_and_tables():
 
 
 def test_media_round_trip(edge_docs, no_docs):
-    out = {r.doc_id: r for r in audio.digest(audio.decode_media(audio.encode_media(edge_docs))).collect()}
+    out = {r.doc_id: r for r in audio.convert(audio.encode_media(edge_docs)).collect()}
     for d, text in texts_of(edge_docs):
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -125,10 +137,13 @@ def test_media_round_trip(edge_docs, no_docs):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         media = audio.store(payload)
         assert audio.load(media) == payload and r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media)
+        own = audio.MULAW[np.frombuffer(payload, np.uint8)].astype(int)
+        assert np.frombuffer(r.pcm16k, "<i2").tolist() == [x for a, b in zip(own, [*own[1:], own[-1]], strict=True) for x in (a, (a + b) >> 1)]
+        assert f"pcm={zlib.crc32(r.pcm16k):08x}" in r.feature
     assert out[103].feature == out[104].feature
-    pcm = audio.decode_media(audio.encode_media(edge_docs.where("doc_id = 108"))).first().pcm16k
-    assert len(pcm) == 2 * 2 * 64
-    assert audio.digest(audio.decode_media(audio.encode_media(no_docs))).count() == 0
+    again = {r.doc_id: r for r in audio.decode_media(audio.encode_media(edge_docs)).collect()}
+    assert all((again[d].pcm16k, again[d].feature) == (out[d].pcm16k, out[d].feature) for d in out)
+    assert audio.convert(audio.encode_media(no_docs)).count() == audio.decode_media(audio.encode_media(no_docs)).count() == 0
 
 
 # ---------------------------------------------------------------- byte BPE
