@@ -23,9 +23,10 @@ between them don't matter.  A passage is a window of 32 words; windows start eve
 The benchmark is the query set.  It is taken in slices of ``SLICE`` items, so what
 is broadcast is bounded; more items mean more passes.
 
-Null or wordless text: no leak.  Repeated rows: each reported.  Repeated items:
-each reported.  Items without words match nothing.  Empty tables give no rows.
-Other columns are ignored.
+Null or wordless text: no leak.  Very long texts: searched whole.  Repeated rows: each
+reported.  Repeated items: each reported.  Of equally good stretches the first counts.
+Items without words match nothing.  Empty tables give no rows.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, hashes, parts, prepare, ragged, release, shared_dir
+from .common import LOWER, Slots, chunks, hashes, parts, prepare, ragged, release, shared_dir
 
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE = 48, 8
@@ -261,21 +262,21 @@ def _search(spark, place: str, items: Items, idf: np.ndarray, basis: np.ndarray,
     n = len(items.ids)
     size = items.size
     vector = np.zeros((n, basis.shape[1]), np.float32)
-    weight = np.zeros((n, size + 1), np.float32)  # idf of the item's own words
     least = np.zeros(n, np.float32)
     for j, own in enumerate(items.words):
         vector[j] = (basis[own] * idf[own][:, None]).sum(0)
-        weight[j, own] = idf[own]
         # the least weight that a window inside a leak must share: the item's part in a window, kept to the lower threshold
         part = np.sort(idf[own])
         inside = min(len(own), WINDOW)
         least[j] = 0.6 * need["lcs_answer"] * part.sum() * inside / len(own)
     vector /= np.maximum(1e-9, np.linalg.norm(vector, axis=1, keepdims=True))
-    shared = spark.sparkContext.broadcast((items, basis * idf[:-1, None], vector, weight, least))
+    # the (item, word) pairs that there are
+    pairs = Slots(np.unique(np.concatenate([j * (size + 1) + own.astype(np.int64) for j, own in enumerate(items.words)])))
+    shared = spark.sparkContext.broadcast((items, basis * idf[:-1, None], vector, idf, pairs, least))
 
     def run(batches):
         release()
-        items, table, vector, weight, least = shared.value
+        items, table, vector, idf, pairs, least = shared.value
         kind = np.uint16 if items.size < 1 << 16 else np.uint32
         for rows, data, offsets in chunks(batches, CHUNK // 2, "body"):
             word = np.frombuffer(data.tobytes(), kind).astype(np.int32)
@@ -294,7 +295,11 @@ def _search(spark, place: str, items: Items, idf: np.ndarray, basis: np.ndarray,
                     bb, jj = b[c : c + (1 << 15)], j[c : c + (1 << 15)]
                     index = start[bb][:, None] + np.arange(WINDOW)
                     inside = index < (first[own[bb]] + number[own[bb]])[:, None]
-                    share = (weight[jj[:, None], padded[index]] * inside).sum(1)
+                    near = padded[index]
+                    own_word = np.flatnonzero((inside & (near < items.size)).ravel())
+                    near = near.ravel()[own_word]
+                    there = pairs.find(jj[own_word // WINDOW] * np.int64(items.size + 1) + near) < pairs.n
+                    share = np.bincount(own_word[there] // WINDOW, weights=idf[near[there]], minlength=len(jj))
                     ok = share >= least[jj]
                     for x, y in zip(bb[ok].tolist(), jj[ok].tolist(), strict=True):
                         d = int(own[x])

@@ -18,9 +18,11 @@
    A block pair returns a spanning forest of its links.
 4. Components of the links give the smallest doc_id that links reach.
 
-The join is exact: candidate runs lose no pair, and the products decide.
+The join is exact: candidate runs lose no pair, and the products decide.  Words and
+shingles are told apart by 64-bit hashes, sets by their size and 112 bits.
 
-Null text or no words: empty set, linked with nothing, its own component.  Fewer
+Very long texts: whole, alone in their chunk.  Ties: the smallest doc_id names a
+component, and rows of equal doc_id keep their own sets.  Null text or no words: empty set, linked with nothing, its own component.  Fewer
 than 4 words: one shingle.  Repeated rows are linked copies.  Null doc_ids keep
 their row; an empty table gives no rows.  Other columns are ignored.
 """
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, hashes, mix, parts, prepare, ragged, shared_dir, shingles, spans
+from .common import LOWER, chunks, hashes, mix, parts, prepare, ragged, release, shared_dir, shingles, spans
 from .components import components
 
 RUN = 4
@@ -141,26 +143,44 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
-    """(slot, body): packed pairs of run hash and class; a slot holds a share of all runs."""
+    """(slot, body): packed pairs of run hash and class; a slot holds a share of all runs.
+
+    Of the classes of one size code that share a run, one goes on with the run; the
+    others are linked to it here.  Such links (pairs of classes) have slots below 0.
+    """
 
     def run(batches):
-        seen: set[int] = set()
+        release()
+        seen: set[tuple[int, int]] = set()
         keys, owners, held = [], [], 0
 
         def flush():
             key, owner = np.concatenate(keys), np.concatenate(owners)
-            slot = (key % np.uint64(slots)).astype(np.int64)
+            order = np.lexsort((owner.view(np.uint64) & np.uint64(0xFFFF), key))
+            key, owner = key[order], owner[order]
+            code = owner.view(np.uint64) & np.uint64(0xFFFF)
+            twice = np.zeros(len(key), bool)
+            twice[1:] = (key[1:] == key[:-1]) & (code[1:] == code[:-1])
+            link = np.flatnonzero(twice[1:] & (owner[1:] != owner[:-1]))
+            if len(link):
+                u, v = forest(owner[link], owner[link + 1])
+                yield packed(-1 - (v % slots), np.column_stack([u, v]).view(np.uint64)[u != v], u != v)
+            key, owner = key[~twice], owner[~twice].view(np.uint64)
+            yield packed((key % np.uint64(slots)).astype(np.int64), np.column_stack([key, owner]))
+
+        def packed(slot, pair, of=slice(None)):
+            slot = slot[of]
             order = np.argsort(slot, kind="stable")
-            cut = np.searchsorted(slot[order], np.arange(slots + 1))
-            pair = np.column_stack([key[order], owner[order].view(np.uint64)])
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([pair[cut[s] : cut[s + 1]].tobytes() for s in full.tolist()], pa.binary())], ["slot", "body"])
+            slot, pair = slot[order], pair[order]
+            first = np.flatnonzero(np.diff(slot, prepend=slots))
+            cut = np.append(first, len(slot)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.array([pair[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["slot", "body"])
 
         for _, data, offsets in chunks(batches):
             h, number = document_sets(data, offsets, k)
-            a, _ = signatures(h, number)
+            a, b = signatures(h, number)
             new = np.zeros(len(a), bool)
-            for j, x in enumerate(a.tolist()):
+            for j, x in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
                 if number[j] and x not in seen:
                     seen.add(x)
                     new[j] = True
@@ -228,6 +248,10 @@ def _shared_runs(packed: DataFrame, percent: int) -> DataFrame:
 
         def close():
             pair = np.frombuffer(b"".join(body), np.uint64).reshape(-1, 2)
+            if now < 0:
+                us.append(pair[:, 0].view(np.int64))
+                vs.append(pair[:, 1].view(np.int64))
+                return len(us[-1])
             u, v = shared_edges(pair[:, 0].copy(), pair[:, 1].copy().view(np.int64), percent)
             if len(u):
                 u, v = forest(u, v)
@@ -283,7 +307,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 
 def _verify(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks: key, side (0: both, 1, 2), a, body, sorted by key inside partitions."""
+    """blocks: key, side (0: both, 1, 2), id, body, sorted by key inside partitions."""
 
     def links(rows):
         reps = np.array([r[1] for r in rows], np.int64)
@@ -304,7 +328,7 @@ def _verify(blocks: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         now, rows, us, vs = None, [], [], []
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "side", "a", "body")), strict=True):
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "side", "id", "body")), strict=True):
                 if key != now:
                     if len(rows) > 1:
                         u, v = links(rows)
@@ -365,13 +389,13 @@ def _bodies(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
 
 
 def _block_keys(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, keys): the block pairs that each class meets others in."""
+    """(a, b, id, keys): the block pairs that each class meets others in."""
     step = float(np.log(100 / percent))
     members = members.withColumn("bin", F.floor(F.log(F.col("n")) / step).cast("int"))
     per_bin = members.groupBy("cluster", "bin").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
     info = per_bin.withColumn("blocks", blocks).groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("of")).checkpoint()
-    rows = members.select("a", "b", "bin", "cluster").join(info, "cluster")
+    rows = members.select("a", "b", "id", "bin", "cluster").join(info, "cluster")
     row = F.struct
     mine = F.pmod(F.xxhash64("b"), F.col("of")[F.col("bin")]).cast("int")
     span = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -383,7 +407,7 @@ def _block_keys(members: DataFrame, percent: int) -> DataFrame:
     whole = F.array(row(name(F.lit("all")).alias("key"), F.lit(0).alias("side")))
     kind = "array<struct<key:string,side:int>>"
     keys = F.when((F.col("docs") <= BLOCK_DOCS) & (F.col("all_n") <= BLOCK_SHINGLES), whole.cast(kind)).otherwise(F.concat(same.cast(kind), up.cast(kind), down.cast(kind)))
-    return rows.withColumn("r", mine).select("a", "b", keys.alias("keys"))
+    return rows.withColumn("r", mine).select("a", "b", "id", keys.alias("keys"))
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,22 +418,24 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     sets = _classes(docs, k).checkpoint()
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
 
-    # many slots, so that each is small, and few tasks, each of which merges the links of its slots
-    packed = _runs(docs, k, percent, 8 * n).repartition(n, "slot").coalesce(max(1, n // 4)).sortWithinPartitions("slot")
+    # many slots, so that each is small; a task merges the links of its slots
+    packed = _runs(docs, k, percent, 8 * n).repartition(n, "slot").sortWithinPartitions("slot")
     edges = _shared_runs(packed, percent)
     cluster = components(edges.checkpoint())
     roots = cluster.select(F.col("root").alias("a")).distinct().select("a", F.col("a").alias("cluster"))
     member = cluster.select(F.col("node").alias("a"), F.col("root").alias("cluster")).union(roots)
-    members = member.join(classes, "a").where("rep is not null").select("a", "b", "n", "rep", "cluster").checkpoint()
+    # candidates go by the first signature; from here on a class is told apart by both, under a number of its own
+    members = member.join(classes, "a").where("rep is not null").select("a", "b", "n", "rep", "cluster", F.monotonically_increasing_id().alias("id")).checkpoint()
 
     place = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
     bodies = _bodies(docs, k, _filter(members, n))
     bodies.join(_block_keys(members, percent), ["a", "b"]).write.parquet(place)
-    blocks = spark.read.parquet(place).select("a", "body", F.explode("keys").alias("x")).select(F.col("x.key").alias("key"), F.col("x.side").alias("side"), "a", "body")
+    blocks = spark.read.parquet(place).select("id", "body", F.explode("keys").alias("x")).select(F.col("x.key").alias("key"), F.col("x.side").alias("side"), "id", "body")
     links = _verify(blocks.repartition(n, "key").sortWithinPartitions("key"), percent)
-    joined = components(links.checkpoint()).select(F.col("node").alias("a"), "root")
+    joined = components(links.checkpoint()).select(F.col("node").alias("id"), "root")
 
-    rooted = classes.join(joined, "a", "left").select("a", "b", "n", "rep", F.coalesce("root", "a").alias("root")).checkpoint()
+    rooted = members.join(joined, "id", "left").select("a", "b", "n", "rep", F.coalesce("root", "id").alias("root")).checkpoint()
     least = rooted.groupBy("root").agg(F.min("rep").alias("component")).checkpoint()
-    found = rooted.join(least, "root").select("a", "b", "n", "component").checkpoint()
+    found = rooted.join(least, "root").select("a", "b", "n", "component")
+    found = classes.join(found, ["a", "b", "n"], "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component")).checkpoint()
     return sets.join(found, ["a", "b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, kept, prepare, strings
+from .common import Slots, chunks, kept, prepare, strings
 
 ORDER = 3
 PAD = 10  # the byte that stands before a text
@@ -106,38 +106,6 @@ class Node:
         self.contexts = Slots(context)
 
 
-class Slots:
-    """Where keys stand in a sorted array, by hashing; len(keys) for keys that aren't in it."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, (4 * len(keys)).bit_length())
-        self.shift, self.n = np.uint64(64 - bits), len(keys)
-        home = self._home(keys)
-        order = np.argsort(home, kind="stable")
-        # each key takes the first free slot from its home on
-        slot = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys))
-        size = max(1 << bits, int(slot.max(initial=0)) + 1) + 1  # the last slot stays free
-        self.key, self.at = np.full(size, -1, np.int64), np.full(size, len(keys), np.int32)
-        self.key[slot], self.at[slot] = keys[order], order
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._home(keys)
-        here = self.key[slot]
-        out = np.where(here == keys, self.at[slot], np.int32(self.n))
-        left = np.flatnonzero((here != keys) & (here != -1))
-        while len(left):
-            slot[left] += 1
-            here = self.key[slot[left]]
-            hit = here == keys[left]
-            out[left[hit]] = self.at[slot[left[hit]]]
-            left = left[~hit & (here != -1)]
-        return out
-
-
 class Prices:
     """Bits of every byte after every context in every language."""
 

@@ -75,13 +75,15 @@ def test_letters():
 
 
 def test_slots():
+    from graphweave.llm import common
+
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 3000):
         keys = np.unique(rng.integers(0, 1 << 32, n))
         ask = np.concatenate([keys, rng.integers(0, 1 << 32, 500)])
         want = np.searchsorted(keys, ask)
         want = np.where((want < len(keys)) & (np.append(keys, -1)[np.minimum(want, len(keys))] == ask), want, len(keys))
-        assert langid.Slots(keys).find(ask).tolist() == want.tolist()
+        assert common.Slots(keys).find(ask).tolist() == want.tolist()
 
 
 def test_language_id(edge_docs, no_docs):

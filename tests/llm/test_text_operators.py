@@ -198,6 +198,21 @@ def test_blocks_of_large_clusters(spark, monkeypatch):
     assert out == slow_components(rows)
 
 
+def test_clashing_signatures_and_words(spark, monkeypatch):
+    """Classes whose first signatures are all alike but for the size are told apart; so are words that a polynomial hash confuses."""
+    real = jaccard.signatures
+
+    def weak(h, number):
+        a, b = real(h, number)
+        return a & np.int64(0xFFFF), b
+
+    monkeypatch.setattr(jaccard, "signatures", weak)
+    rows = [(k, prose("en", 30, f"s{k // 2}") + (" more" if k % 2 else "")) for k in range(40)] + [(100 + k, t) for k, t in enumerate(clash(2048))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect())
+    assert out == slow_components(rows)
+
+
 def test_prefix_bound():
     """Whatever the sizes, sets at the threshold share a run inside both prefixes."""
     rng = np.random.default_rng(3)
@@ -274,6 +289,31 @@ def test_leaks(spark, edge_docs, no_docs):
     assert decontam.find_leaks(no_docs, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_exhaustive_search(spark):
+    """Paraphrases of a quarter of their words less: what an exhaustive search of all documents finds is found, 9 of 10 at least, and nothing else."""
+    import random
+
+    rng = random.Random(3)
+    texts = [prose("en" if k % 2 else "de", 20 + 3 * (k % 8), f"item{k}") + ". " + prose("en", 6, f"answer{k}") + "." for k in range(30)]
+    docs = [(k, prose("de" if k % 3 else "en", 120, f"doc{k}")) for k in range(40)]
+    for k, t in enumerate(texts):
+        for j in range(3):
+            w = [x if rng.random() > 0.08 * (j + 1) else rng.choice(["quite", "other", "words"]) for x in t.split()]
+            docs.append((100 + 3 * k + j, f"{prose('en', 50, f'a{k}{j}')} {' '.join(w)} {prose('de', 50, f'b{k}{j}')}"))
+    need = {"lcs": 0.75, "lcs_answer": 0.6, "answer": 0.75}
+    items = decontam.Items([(k, t.lower()) for k, t in enumerate(texts)])
+    want = set()
+    for d, t in docs:
+        raw = np.frombuffer(t.lower().encode(), np.uint8)
+        h, number = decontam.word_hashes(raw, np.array([0, len(raw)]))
+        word = items.look(h)
+        for j in range(len(texts)):
+            if any(decontam._verify(items, j, word, at, (0, int(number[0])), need) for at in range(0, int(number[0]), 8)):
+                want.add((d, j))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()}
+    assert len(want) >= 60 and got <= want and len(got) >= 0.9 * len(want), (len(got), len(want), sorted(got - want)[:5])
+
+
 def test_lcs_by_definition():
     import random
 
