@@ -1,21 +1,33 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tokens in page order: words score positive, tags
-negative.  One linear scan finds the contiguous run of the largest total, the
-content region; its blocks are the text.  The weights come from labelled pages,
-here those whose markup names their article: a tag's penalty is the log ratio of
-its rates outside and inside articles, a word's gain is the log ratio of text
-rates.  Words of elements that are boilerplate by tag, role, class or id (menus,
-forms, adverts, notices, comments, ...) never reach the text; they only weigh on
-the region.  Where a page names an article, words outside it score negative.
+A page becomes a sequence of tokens in page order: words and tags.  Tags score
+negative.  A word scores its gain, less what the elements around it weigh against
+it: every element has features (its tag, the parts of its class and id, its role),
+every feature a weight, and the worst element around a word counts.  One linear scan
+finds the contiguous run of the largest total, the content region; its text is that
+of the words in it that score positive.
+
+Weights come from labelled pages, here those whose markup names their article.  A
+tag's penalty is the log ratio of its rates outside and inside articles, a word's
+gain is the log ratio of word rates, and a feature's weight is the log ratio of the
+words inside and outside articles in elements that stand where both meet (their
+parents hold words of both kinds).  Few or no labelled words leave a feature near
+its usual weight: below 0 for menus, forms, adverts, notices or comments, above 0
+for articles, 0 for all that isn't listed.  Nothing is banned: labels outweigh it.
+
+Where an element above 0 (``POSITIVE``) holds words, words outside of such elements
+score negative, at little cost for the region, so that several articles of a page
+are kept.  Elsewhere what surrounds a block decides whether the region reaches it.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by one space.
 
 Null or empty html: empty text.  Broken markup: a tag without an end is dropped,
 an open comment or script runs to the end, unclosed elements end with their
-parents.  A page that is boilerplate only: empty text.  Repeated rows stay;
-null ids and urls stay; an empty table gives no rows.
+parents; time and memory grow with the page, so very long pages are taken whole.
+A page that is boilerplate only: empty text.  Ties: the first region.  Repeated rows
+stay; null ids and urls stay; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +43,27 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
-DROPPED = RAW | {"nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "head", "input", "label", "datalist"}
 #: Uses of a tag that the usual penalty counts for.
 PRIOR = 50
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KNOWN = INLINE | {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "section", "article", "main", "header", "footer", "nav", "aside", "form", "blockquote", "pre", "hr", "figure", "figcaption", "dl", "dt", "dd", "body", "head", "html", "script", "style", "meta", "link", "title"}
-BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert(?:s|isement|ising)?|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|paywall|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|topbar|toolbar|pagination|pager|footer|masthead|site-?header|page-?header|comments?|commentlist|comment-?(?:list|section|area|body)|disqus|replies|respond|reactions?|share|sharing|social|related|recommend(?:ed|ations)?|trending|widgets?|copyright|disclaimer|skip-?link|search)(?:$|[\s_-])", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar", "alertdialog"}
+PARTS = re.compile(r"[\s_-]+")
+#: Usual weights of tags and roles, and of parts of classes and ids; WEAK ones count for less beside other parts.
+USUAL = dict.fromkeys(["nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "input", "label", "datalist", "head", "=hidden"], -3.0)
+USUAL |= dict.fromkeys(["=navigation", "=banner", "=contentinfo", "=complementary", "=search", "=form", "=alert", "=dialog", "=menu", "=menubar", "=toolbar", "=alertdialog"], -3.0)
+USUAL |= {"article": 2.0, "main": 2.0, "=main": 2.0, "=articlebody": 2.0, "header": -2.5, ".header": -2.5}
+USUAL |= dict.fromkeys(
+    [".ad", ".ads", ".adv", ".advert", ".adverts", ".advertisement", ".advertising", ".adsense", ".banner", ".banners", ".sponsor", ".sponsored", ".sponsors", ".promo", ".promos", ".promotion", ".promotions", ".cookie", ".cookies", ".consent", ".gdpr", ".popup", ".popups", ".modal", ".newsletter", ".subscribe", ".subscription", ".signup", ".login", ".paywall", ".sidebar", ".menu", ".menus", ".nav", ".navbar", ".navigation", ".breadcrumb", ".breadcrumbs", ".topbar", ".toolbar", ".pagination", ".pager", ".footer", ".masthead", ".comment", ".comments", ".commentlist", ".disqus", ".replies", ".widget", ".widgets", ".copyright", ".disclaimer", ".skiplink"],
+    -2.5,
+)
+WEAK = dict.fromkeys([".notice", ".notices", ".alert", ".alerts", ".overlay", ".respond", ".reaction", ".reactions", ".share", ".sharing", ".social", ".related", ".recommend", ".recommended", ".recommendations", ".trending", ".search", ".side"], -2.5)
+PART = 0.3  # of a weak weight beside other parts
+POSITIVE = 1.0
+#: Labelled words that the usual weight of a feature counts for; features that are learned at most, those of the most words.
+FEATURE_PRIOR, FEATURES = 50, 20_000
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 TAG_END = re.compile(r"""(?>[^"'>]*)(?>(?:"[^"]*"|'[^']*')[^"'>]*)*>""")
 ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -92,118 +115,222 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(rest)} if rest else {}
 
 
-def flow(page: str):
-    """Events (kind, value, inside an article, dropped): words of a run of text ('w'), block ends ('b'), tags ('t')."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, article, dropped
+def features(tag: str, rest: str) -> list[str]:
+    """Tag, parts of class and id ('.part'; all of them as one name too), and role, item property or hiding ('=value')."""
+    if not rest or rest.isspace():
+        return [tag]
+    own = attributes(rest)
+    out = [tag]
+    for key in ("class", "id"):
+        if key in own:
+            for name in CAMEL.sub("-", own[key]).split():
+                found = [x for x in PARTS.split(name.lower()) if x]
+                out += [f".{x}" if len(found) == 1 else f".{x}+" for x in found]
+    for key in ("role", "itemprop"):
+        if own.get(key):
+            out.append(f"={own[key].lower()}")
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
+        out.append("=hidden")
+    return out
+
+
+def usual(feature: str) -> float:
+    """The weight of a feature that no label tells of; '+' marks one of several parts."""
+    name = feature.rstrip("+")
+    return USUAL.get(name, 0.0) or WEAK.get(name, 0.0) * (PART if feature.endswith("+") else 1.0)
 
-    def inside() -> tuple[bool, bool]:
-        return any(x[1] for x in stack), any(x[2] for x in stack)
 
-    article = dropped = False
+def flow(page: str, enter):
+    """Events (kind, value, state): runs of text ('w'), block ends ('b'), tags ('t').
+
+    ``enter(state, tag, attributes)`` gives the state inside an element from that outside;
+    each open element keeps its own, so ends cost no search.
+    """
+    state = enter(None, "", "")
+    stack: list[tuple[str, int, object]] = []  # tag, place of the innermost block, state outside
+    number: dict[str, int] = {}  # open elements by tag
+
+    def leave(k: int):
+        nonlocal state
+        while len(stack) > k:
+            tag, _, state = stack.pop()
+            number[tag] -= 1
+
     for kind, value, rest in tokens(page):
         if kind == "t":
-            yield "w", value, article, dropped
+            yield "w", value, state
             continue
         if value not in INLINE:
-            yield "b", "", article, dropped
+            yield "b", "", state
         if kind == "o":
             if value in CLOSES or (value not in INLINE and value not in VOID):
-                ends = CLOSES.get(value, {"p"})
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        article, dropped = inside()
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            yield "t", value, article, dropped
+                k = stack[-1][1] if stack else -1
+                if k >= 0 and stack[k][0] in CLOSES.get(value, {"p"}):
+                    leave(k)
+            yield "t", value, state
             if value in VOID:
                 continue
-            own = attributes(rest)
-            marks = CAMEL.sub("-", f"{own.get('class', '')} {own.get('id', '')}")
-            names_it = value == "main" or own.get("role", "").lower() == "main" or own.get("itemprop", "").lower() == "articlebody" or value == "article"
-            hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-            bad = value in DROPPED or own.get("role", "").lower() in BAD_ROLE or hidden or (value not in ("html", "body") and bool(BAD.search(marks))) or not article and (value == "header" or "header" in marks.lower().split())
-            stack.append((value, names_it and not bad, bad))
-            article, dropped = article or stack[-1][1], dropped or bad
+            outside, state = state, enter(state, value, rest)
+            stack.append((value, len(stack) if value not in INLINE else stack[-1][1] if stack else -1, outside))
+            number[value] = number.get(value, 0) + 1
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == value:
-                    del stack[k:]
-                    article, dropped = inside()
-                    break
-            yield "t", value, article, dropped
-    yield "b", "", article, dropped
+            if number.get(value):
+                k = len(stack) - 1
+                while stack[k][0] != value:
+                    k -= 1
+                leave(k)
+            yield "t", value, state
+    yield "b", "", state
+
+
+class Element:
+    """Words of a labelled page in an element, inside and outside articles."""
+
+    __slots__ = ("features", "inside", "article", "parent", "words")
+
+    def __init__(self, parent: Element | None, tag: str, rest: str):
+        self.features, self.parent = features(tag, rest), parent
+        self.article = tag in ("article", "main") or "=main" in self.features or "=articlebody" in self.features
+        self.inside = self.article or parent is not None and parent.inside
+        self.words = [0, 0]
 
 
 def tally(page: str) -> dict[tuple[str, bool], int]:
-    """Words ('') and tags inside and outside the article of a labelled page; empty if the page names none."""
+    """Words (''), tags ('<tag') and words by feature, inside and outside the article of a labelled page; empty if it names none.
+
+    A feature counts in elements of words of one kind whose parent has both; the tag counts where nothing else is known of the element.
+    """
     found: dict[tuple[str, bool], int] = {}
-    for kind, value, article, dropped in flow(page):
-        if kind != "b":
-            key = ("" if kind == "w" else value if value in KNOWN else "other", article and not dropped)
-            found[key] = found.get(key, 0) + (len(value.split()) if kind == "w" else 1)
-    return found if any(k[1] for k in found) else {}
+    elements: list[Element] = []
+
+    def enter(outside, tag, rest):
+        elements.append(Element(outside, tag, rest))
+        return elements[-1]
+
+    for kind, value, state in flow(page, enter):
+        if kind == "w":
+            n = len(value.split())
+            state.words[state.inside] += n
+            found["", state.inside] = found.get(("", state.inside), 0) + n
+        elif kind == "t":
+            key = (f"<{value if value in KNOWN else 'other'}", state.inside)
+            found[key] = found.get(key, 0) + 1
+    if not found.get(("", True)):
+        return {}
+    for e in reversed(elements):  # children come after their parents
+        if e.parent is not None:
+            e.parent.words = [x + y for x, y in zip(e.parent.words, e.words, strict=True)]
+    for e in elements:
+        if e.parent is not None and all(e.parent.words) and sum(map(bool, e.words)) == 1:
+            inside = e.words[1] > 0
+            for f in e.features[1:] or e.features:
+                found[f, inside] = found.get((f, inside), 0) + e.words[inside]
+    return found
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """'' : a word's gain; others: a tag's penalty, both positive."""
-    total = {i: sum(n for (_, j), n in counts.items() if i == j) + 1 for i in (True, False)}
-    rate = lambda t, i: (counts.get((t, i), 0) + 0.5) / total[i]
-    out = {"": min(3.0, max(0.25, math.log(rate("", True) / rate("", False))))} if counts else {"": 1.0}
+    """'': a word's gain; '<tag': its penalty, both positive; others: the weights of features."""
+    tags = {k: n for k, n in counts.items() if k[0] == "" or k[0][0] == "<"}
+    total = {i: sum(n for (_, j), n in tags.items() if i == j) + 1 for i in (True, False)}
+    rate = lambda t, i: (tags.get((t, i), 0) + 0.5) / total[i]
+    out = {"": min(3.0, max(0.25, math.log(rate("", True) / rate("", False))))} if tags else {"": 1.0}
     for t in sorted(KNOWN | {"other"}):
-        usual = 0.3 if t in INLINE or t in ("p", "br", "h1", "h2", "h3", "h4", "blockquote") else 2.0
-        n = sum(counts.get((t, i), 0) for i in (True, False))
-        measured = min(6.0, max(0.05, 1.0 + math.log(rate(t, False) / rate(t, True)))) if n else usual
-        out[t] = (n * measured + PRIOR * usual) / (n + PRIOR)  # few labelled uses: near the usual penalty
+        often = 0.3 if t in INLINE or t in ("p", "br", "h1", "h2", "h3", "h4", "blockquote") else 2.0
+        n = sum(tags.get((f"<{t}", i), 0) for i in (True, False))
+        measured = min(6.0, max(0.05, 1.0 + math.log(rate(f"<{t}", False) / rate(f"<{t}", True)))) if n else often
+        out[f"<{t}"] = (n * measured + PRIOR * often) / (n + PRIOR)  # few labelled uses: near the usual penalty
+    for f in sorted({f for f, _ in counts if f and f[0] != "<"}):
+        odds = math.exp(usual(f))
+        inside, outside = (counts.get((f, i), 0) + FEATURE_PRIOR * x / (1 + odds) for i, x in ((True, odds), (False, 1.0)))
+        out[f] = max(-4.0, min(4.0, math.log(inside / outside)))
     return out
 
 
-def extract_text(page: str | None, weight: dict[str, float]) -> str:
-    if not page:
-        return ""
-    events = list(flow(page))
-    named = any(a and not d and k == "w" and v.strip() for k, v, a, d in events)
+def scored(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, str, bool]], list[float]]:
+    """Events (kind, value, whether its words are text) and their scores."""
     gain = weight[""]
-    best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, value, article, dropped) in enumerate(events):
+
+    def enter(outside, tag, rest):
+        """(worst weight around, inside a positive element)"""
+        if outside is None:
+            return 0.0, False
+        worst, positive = outside
+        own = 0.0
+        for f in features(tag, rest):
+            if f not in ("header", ".header", ".header+") or not positive:  # an article's own header is part of it
+                own += weight[f] if f in weight else usual(f)
+        return min(worst, own), worst > -gain and (positive or own >= POSITIVE)
+
+    events = list(flow(page, enter))
+    named = any(k == "w" and s[1] and s[0] > -gain and v.strip() for k, v, s in events)
+    out, scores = [], []
+    for kind, value, (worst, positive) in events:
+        text = worst > -gain and (positive or not named)
         if kind == "w":
             n = len(value.split())
-            x = 0.0 if not n else -0.01 * n if dropped else n * (gain if article or not named else -gain)
+            scores.append(n * (gain + worst) if text else -0.01 * n if named else -n * min(gain, -gain - worst + 0.1))
         elif kind == "t":
-            x = -weight.get(value, weight["other"]) * (0.02 if dropped or named and article else 1.0)
+            scores.append(-weight.get(f"<{value}", weight["<other"]) * (0.02 if named else 1.0))
         else:
-            continue
+            scores.append(0.0)
+        out.append((kind, value, text))
+    return out, scores
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """First and end of the contiguous run of the largest total; (0, 0) if none is positive.  Ties: the first that ends."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for k, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, k
         total += x
         if total > best:
-            best, best_span = total, (start, k + 1)
+            best, span = total, (start, k + 1)
+    return span
+
+
+def extract_text(page: str | None, weight: dict[str, float]) -> str:
+    if not page:
+        return ""
+    events, scores = scored(page, weight)
+    first, end = best_region(scores)
     blocks, run = [], []
-    for kind, value, article, dropped in [*events[best_span[0] : best_span[1]], ("b", "", False, False)]:
+    for kind, value, text in [*events[first:end], ("b", "", False)]:
         if kind == "b":
             if words := entities.unescape("".join(run)).split():
                 blocks.append(" ".join(words))
             run = []
-        elif kind == "w" and not dropped and (article or not named):
+        elif kind == "w" and text:
             run.append(value)
     return " ".join(blocks)
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
-    """Weights from all pages that name their article; counts by tag only, so a bounded table reaches the driver."""
+    """Weights from all pages that name their article; counts of tags and of the ``FEATURES`` commonest features reach the driver."""
 
     def run(batches):
         total: dict[tuple[str, bool], int] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_pydict({"tag": [k[0] for k in total], "inside": [k[1] for k in total], "n": list(total.values())})
+            total.clear()
+            return out
+
         for b in batches:
             for page in b.column("html").to_pylist():
                 for k, n in tally(page or "").items():
                     total[k] = total.get(k, 0) + n
+                if len(total) > 1 << 16:
+                    yield flush()
         if total:
-            yield pa.RecordBatch.from_pydict({"tag": [k[0] for k in total], "inside": [k[1] for k in total], "n": list(total.values())})
+            yield flush()
 
     rows = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(run, "tag string, inside boolean, n long")
-    return weights({(r["tag"], r["inside"]): r["n"] for r in rows.groupBy("tag", "inside").agg(F.sum("n").alias("n")).collect()})
+    sums = rows.groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("inside"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("outside"))
+    size = F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))
+    mark = (F.col("tag") == "") | F.col("tag").startswith("<")
+    found = sums.orderBy(F.desc(mark), F.desc(size), "tag").limit(FEATURES).collect()
+    return weights({(r["tag"], i): n for r in found for i, n in ((True, r["inside"]), (False, r["outside"])) if n is not None})
 
 
 def extract(pages: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:

@@ -135,6 +135,55 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_best_region_by_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for n in [0, 1, 2, *range(3, 40)] * 4:
+        x = [rng.randrange(-4, 4) / 2 for _ in range(n)]
+        a, b = html_extract.best_region(x)
+        assert sum(x[a:b]) == max([0.0, *(sum(x[i:j]) for i in range(n) for j in range(i + 1, n + 1))])
+
+
+def test_html_weights_decide():
+    """Labelled pages teach the class of what isn't the article; nothing is lost for its name alone."""
+    words = " ".join(["plain words of the text"] * 8)
+    page = "<body><div class=zzz>junk words stand here and there, quite a few of them</div><article><p>" + words + "</p></article><div class=qqq>more junk</div></body>"
+    counts = collections.Counter()
+    for _ in range(30):
+        counts.update(html_extract.tally(page))
+    w, blank = html_extract.weights(counts), html_extract.weights({})
+    assert w[".zzz"] < -1 and w[".qqq"] < -1 and w["article"] > 1 and "div" not in w
+    bare = page.replace("article>", "section>")
+    assert html_extract.extract_text(bare, w) == words and "junk" in html_extract.extract_text(bare, blank)
+    for e in ("div class='related-work'", "article class='search-result'", "div class='social-contract'", "section id='share-price'"):
+        assert html_extract.extract_text(f"<body><{e}><p>{words}</p></{e.split()[0]}></body>", blank) == words
+    two = f"<body><article><p>one two</p></article><nav><a>{words}</a></nav><article><p>three</p><div class=comments>{words}</div><p class='social-contract'>four</p></article></body>"
+    assert html_extract.extract_text(two, blank) == "one two three four"
+
+
+def test_html_scan_decides_without_names():
+    """No article is named and no class is known: the scan leaves out what links and tags surround."""
+    links = "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(12))
+    body = "<h1>Head</h1>" + "".join(f"<p>Paragraph {k} of a text that is long enough to count.</p>" for k in range(5))
+    page = f"<body><ul>{links}</ul><div>{body}</div><ul>{links}</ul><table><tr><td>x</td></tr></table></body>"
+    w = html_extract.weights({})
+    events, scores = html_extract.scored(page, w)
+    a, b = html_extract.best_region(scores)
+    assert 0 < a < b < len(events) and all(t for k, _, t in events if k == "w")
+    assert html_extract.extract_text(page, w) == " ".join(["Head", *(f"Paragraph {k} of a text that is long enough to count." for k in range(5))])
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    w = html_extract.weights({})
+    for page in ("<div>" * 60000 + "x" + "</p>" * 60000 + "</i>" * 60000, ("<b>" * 40000 + "<li>x</li>" * 40000), "<p><i>" * 80000):
+        began = time.process_time()
+        html_extract.extract_text(page, w)
+        assert time.process_time() - began < 6  # a second or two on an idle machine; minutes if it were quadratic
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 
