@@ -251,26 +251,27 @@ def scored(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, str, bo
     gain = weight[""]
 
     def enter(outside, tag, rest):
-        """(worst weight around, inside a positive element)"""
+        """(worst weight around, text of a positive element, anywhere in one)"""
         if outside is None:
-            return 0.0, False
-        worst, positive = outside
+            return 0.0, False, False
+        worst, positive, within = outside
         own = 0.0
         for f in features(tag, rest):
             if f not in ("header", ".header", ".header+") or not positive:  # an article's own header is part of it
                 own += weight[f] if f in weight else usual(f)
-        return min(worst, own), worst > -gain and (positive or own >= POSITIVE)
+        positive = worst > -gain and own > -gain and (positive or own >= POSITIVE)
+        return min(worst, own), positive, within or positive
 
     events = list(flow(page, enter))
-    named = any(k == "w" and s[1] and s[0] > -gain and v.strip() for k, v, s in events)
+    named = any(k == "w" and s[1] and v.strip() for k, v, s in events)
     out, scores = [], []
-    for kind, value, (worst, positive) in events:
+    for kind, value, (worst, positive, within) in events:
         text = worst > -gain and (positive or not named)
         if kind == "w":
             n = len(value.split())
-            scores.append(n * (gain + worst) if text else -0.01 * n if named else -n * min(gain, -gain - worst + 0.1))
+            scores.append(n * (gain if named else gain + worst) if text else -n * min(gain, 0.1 - gain - worst) if not named else 0.0 if within else -0.01 * n)
         elif kind == "t":
-            scores.append(-weight.get(f"<{value}", weight["<other"]) * (0.02 if named else 1.0))
+            scores.append(-weight.get(f"<{value}", weight["<other"]) * (0.001 if within and named else 0.02 if named else 1.0))
         else:
             scores.append(0.0)
         out.append((kind, value, text))
