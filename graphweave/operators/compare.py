@@ -77,3 +77,9 @@ def query_order(paf: DataFrame, reference_rank: DataFrame) -> DataFrame:
 def net_reversed(paf: DataFrame) -> DataFrame:
     """(queryID, flip): queries with more reversed than forward aligned length."""
     return paf.groupBy("queryID").agg((F.sum(F.when(F.col("strand") == "-", F.col("lenAln")).otherwise(-F.col("lenAln"))) > 0).alias("flip"))
+
+
+def mask_summary(runs: DataFrame, by: str) -> DataFrame:
+    """Per ``by``: how many masked runs there are, and their groups in all, on average, at least and at most.  runs: by, mask_id, n_groups."""
+    n = "n_groups"
+    return runs.groupBy(by).agg(F.count("*").alias("runs"), F.sum(n).alias("total_groups"), F.avg(n).alias("mean_groups"), F.min(n).alias("least_groups"), F.max(n).alias("most_groups"))

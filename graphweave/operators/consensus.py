@@ -96,3 +96,65 @@ def consensus(groupings: DataFrame, threshold: float = 0.5) -> DataFrame:
 def majority_elements(groupings: DataFrame, n_methods: int) -> DataFrame:
     """(class, element) where more than half of the methods agree; classes are named alike by all methods."""
     return groupings.groupBy("class", "element").agg(F.countDistinct("method").alias("votes")).where(F.col("votes") * 2 > n_methods)
+
+
+def triple_overlaps(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
+    """(a, b, c, common) of classes of three groupings that share elements: equi-joins on the element.  Inputs: class, element."""
+    of = lambda x, name: x.select(F.col("class").alias(name), "element").distinct()
+    return of(a, "a").join(of(b, "b"), "element").join(of(c, "c"), "element").groupBy("a", "b", "c").agg(F.count("*").alias("common"))
+
+
+def pick_greedily(rows: list[tuple]) -> list[tuple]:
+    """Of (a, b, c, common): the largest first, each class once; ties by name."""
+    out, used = [], (set(), set(), set())
+    for r in sorted(rows, key=lambda r: (-r[3], r[:3])):
+        if not any(x in u for x, u in zip(r, used, strict=False)):
+            out.append(r)
+            for x, u in zip(r, used, strict=False):
+                u.add(x)
+    return out
+
+
+def pick_best(rows: list[tuple]) -> list[tuple]:
+    """Of (a, b, c, common): disjoint triplets of the largest total, by branch and bound; ties: the greedy order's first."""
+    by: dict = {}
+    for r in sorted(rows, key=lambda r: (-r[3], r[:3])):
+        by.setdefault(r[0], []).append(r)
+    order = sorted(by, key=lambda x: (-by[x][0][3], x))
+    rest = [0] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        rest[k] = rest[k + 1] + by[order[k]][0][3]
+    best: list = [sum(r[3] for r in pick_greedily(rows)), pick_greedily(rows)]
+
+    def go(k: int, total: int, chosen: list, b: frozenset, c: frozenset) -> None:
+        if total > best[0]:
+            best[:] = [total, list(chosen)]
+        if k == len(order) or total + rest[k] <= best[0]:
+            return
+        for r in by[order[k]]:
+            if r[1] not in b and r[2] not in c:
+                go(k + 1, total + r[3], [*chosen, r], b | {r[1]}, c | {r[2]})
+        go(k + 1, total, chosen, b, c)
+
+    go(0, 0, [], frozenset(), frozenset())
+    return best[1]
+
+
+def _picked(triples: DataFrame, pick) -> DataFrame:
+    schema = triples.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(*(pdf[x].tolist() for x in ("a", "b", "c", "common")), strict=True))
+        return pd.DataFrame(sorted(pick(rows)), columns=["a", "b", "c", "common"])
+
+    return triples.select("a", "b", "c", "common").groupBy(F.lit(0).alias("all")).applyInPandas(run, schema)
+
+
+def greedy_triplets(triples: DataFrame) -> DataFrame:
+    """The greedy choice; the table of triples (of classes, not elements) goes to one task."""
+    return _picked(triples, pick_greedily)
+
+
+def best_triplets(triples: DataFrame) -> DataFrame:
+    """The exact choice, for few classes: its time grows with the permutations in the worst case."""
+    return _picked(triples, pick_best)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -184,3 +184,8 @@ def dominant_chromosome(votes: DataFrame, least: float = 0.5) -> DataFrame:
     rows = votes.groupBy("ctg", "chr").agg(F.count("*").alias("n"))
     total = rows.groupBy("ctg").agg(F.sum("n").alias("all"), F.max_by("chr", F.struct("n", "chr")).alias("top"), F.max("n").alias("best"))
     return total.select("ctg", F.when(F.col("best") >= least * F.col("all"), F.col("top").cast("string")).otherwise("unreliable").alias("chr"))
+
+
+def names_chromosome(ctg: Column) -> Column:
+    """Whether an id carries a chromosome's name; assemblers' own ids (scaffold, Contig, tig, numbers) don't."""
+    return ~ctg.rlike(r"^(scaffold|Contig|tig|\d)")

@@ -68,6 +68,26 @@ def rank_sums(both: DataFrame, top: int = 10) -> DataFrame:
     return pairs.join(mutual, ["a", "b"]).groupBy("u").agg(F.sum("rank").cast("long").alias("rank_sum"))
 
 
+def filter_nodes(nodes: DataFrame, both: DataFrame | None = None, share: float = 100, sites: int = 0, density: tuple[float, float] | None = None, density_mode: str = "multiple", depth: float | None = None, ranks: float | None = None, top: int = 10, whitelist: Column | None = None) -> DataFrame:
+    """The five filters in a row; nodes of the whitelist come back at the end.
+
+    nodes: ctg, len, re_sites, degree, density.  In turn: the longest up to ``share``
+    per cent of the length; more than ``sites`` sites; density between bounds; degree
+    up to q3 + ``depth`` times the interquartile range of those that have the sites;
+    rank sum up to the like (``ranks``) over the neighbours in ``both``.
+    """
+    passing = nx_select(nodes, share).where(F.col("re_sites") > sites)
+    kept = density_filter(passing, *density, density_mode) if density else passing
+    if depth is not None:
+        kept = kept.crossJoin(F.broadcast(iqr_limit(passing, "degree", depth).select("high"))).where(F.col("degree") <= F.col("high")).drop("high")
+    if ranks is not None:
+        sums = rank_sums(both, top)
+        fine = iqr_filter(sums.join(passing.select(F.col("ctg").alias("u")), "u", "left_semi"), "rank_sum", ranks)
+        kept = kept.join(fine.select(F.col("u").alias("ctg")), "ctg", "left_semi")
+    columns = nodes.columns
+    return kept.select(*columns) if whitelist is None else kept.select(*columns).union(nodes.where(whitelist).select(*columns)).distinct()
+
+
 def sample_bins(fragments: DataFrame, share: float, seed: int) -> DataFrame:
     """A reproducible sample of each contig's bins: max(1, n * share) of those with at least 1 / share bins."""
     of = W.partitionBy("ctg")

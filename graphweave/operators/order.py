@@ -208,14 +208,35 @@ def heaviest_share(order: list, weights: dict) -> float:
 
 
 def increasing_weights(rows: DataFrame, key: str, position: str, value: str, weight: str) -> DataFrame:
-    """(key, weight): the heaviest increasing subsequence of each group, by position."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "lis_weight": [heaviest_increasing(pdf[value].tolist(), pdf[weight].tolist())[0]]})
+    """(key, weight): the heaviest increasing subsequence of each group, by position.
 
-    return rows.select(key, position, value, weight).groupBy(key).applyInPandas(run, f"{key} {kind}, lis_weight double")
+    Groups stand one after another in sorted partitions, so one Python call serves many.
+    """
+    kind = dict(rows.dtypes)[key]
+    one, schema = [key, position, value, weight], f"{key} {kind}, lis_weight double"
+
+    def run(batches):
+        held: list = []  # the last group, which may go on in the next batch
+        for pdf in batches:
+            keys, own = pdf[key].tolist(), list(zip(pdf[value].tolist(), pdf[weight].tolist(), strict=True))
+            out, start = [], 0
+            for k in range(1, len(keys) + 1):
+                if k < len(keys) and keys[k] == keys[start]:
+                    continue
+                if held and held[0] != keys[start]:
+                    out.append(close(held))
+                    held = []
+                held = [keys[start], (held[1] if held else []) + own[start:k]]
+                start = k
+            if out:
+                yield pd.DataFrame(out, columns=[key, "lis_weight"])
+        if held:
+            yield pd.DataFrame([close(held)], columns=[key, "lis_weight"])
+
+    def close(held):
+        return held[0], float(heaviest_increasing([v for v, _ in held[1]], [w for _, w in held[1]])[0])
+
+    return rows.select(*one).repartition(key).sortWithinPartitions(key, position).mapInPandas(run, schema)
 
 
 def choose_order(fast: list, other: list, lengths: dict, skew: float = 50, agree: float = 0.9) -> str:

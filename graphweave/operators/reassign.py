@@ -207,3 +207,9 @@ def within_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges whose ends share a group, with it."""
     a, b = groups.select(F.col("ctg").alias("i"), "grp"), groups.select(F.col("ctg").alias("j"), F.col("grp").alias("other"))
     return edges.join(a, "i").join(b, "j").where("grp = other").drop("other")
+
+
+def mock_groups(contigs: DataFrame) -> DataFrame:
+    """(grp, ctg, re_sites, len, rank): a group for each haplotype, the longest contig first."""
+    rank = F.row_number().over(W.partitionBy("hap").orderBy(F.desc("len"), "ctg"))
+    return contigs.select(F.concat(F.lit("hap"), F.col("hap").cast("string")).alias("grp"), "ctg", "re_sites", "len", rank.alias("rank"))

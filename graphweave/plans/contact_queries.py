@@ -136,11 +136,7 @@ e AS (SELECT c.* FROM c, m2 WHERE density >= 0.8 * m AND density <= 1.2 * m), q
 SELECT ctg, degree FROM (SELECT e.ctg, degree FROM e, q WHERE degree <= b + 1.5 * (b - a)) UNION SELECT ctg, degree FROM n WHERE ctg % 50 = 7""")
 def filter_chain(spark, d):
     """Length share, sites, density, depth over all that pass the sites; the whitelist comes back at the end."""
-    all_nodes = nodes(spark, d)
-    passing = L.nx_select(all_nodes, 95).where("re_sites > 100")
-    dense = L.density_filter(passing, 0.8, 1.2)
-    deep = dense.crossJoin(F.broadcast(L.iqr_limit(passing, "degree", 1.5))).where(F.col("degree") <= F.col("high"))
-    return deep.select("ctg", "degree").union(all_nodes.where("ctg % 50 = 7").select("ctg", "degree")).distinct()
+    return L.filter_nodes(nodes(spark, d), share=95, sites=100, density=(0.8, 1.2), depth=1.5, whitelist=F.col("ctg") % 50 == 7).select("ctg", "degree")
 
 
 _FRAG = "fragments AS (SELECT s_suppkey AS ctg, unnest(range(1, 6)) AS bin_no FROM supplier), picked AS (SELECT ctg, bin_no FROM (SELECT *, row_number() OVER (PARTITION BY ctg ORDER BY md5('42:' || ctg || ':' || bin_no), bin_no) AS k FROM fragments) WHERE k <= 1)"
@@ -208,12 +204,3 @@ def int_width(spark, d):
 def length_drops(spark, d):
     w = W.partitionBy("hap").orderBy(F.desc("len"), "ctg")
     return P.contigs(spark, d).withColumn("longer", F.lag("len").over(w)).where("longer is null or len * 100 < longer * 99").select("ctg", "len", "longer")
-
-
-@query("SELECT s_suppkey AS ctg, s_nationkey::BIGINT AS hap, CAST(round(s_acctbal) AS BIGINT) AS depth, s_suppkey % 7 = 0 AS mismatch FROM supplier WHERE s_suppkey % 7 = 0 OR s_acctbal < 0")
-def gfa_check(spark, d):
-    """Segments whose length disagrees with the sequence, or whose depth is below zero."""
-    s = P.table(spark, d, "supplier")
-    segments = s.select(F.col("s_suppkey").alias("ctg"), F.col("s_nationkey").cast("long").alias("hap"), F.expr("cast(round(s_acctbal) as bigint)").alias("depth"), "s_acctbal", F.when(F.col("s_suppkey") % 7 == 0, P.SPAN + 1).otherwise(P.SPAN).alias("seg_len"))
-    rows = segments.join(P.spans(spark, d), "ctg", "left")
-    return rows.where(F.col("len").isNull() | (F.col("len") != F.col("seg_len")) | (F.col("s_acctbal") < 0)).select("ctg", "hap", "depth", (F.col("len") != F.col("seg_len")).alias("mismatch"))

@@ -30,10 +30,13 @@ def motif_flank_sites(spark, d):
     return P.sequences(spark, d).select("ctg", S.flank_count(F.col("seq"), F.col("len"), 200, MOTIFS).alias("sites"))
 
 
-@query("SELECT doc_id AS ctg, md5(reverse(translate(text, 'ATCGNatcgn', 'TAGCNtagcn'))) AS digest FROM documents WHERE ascii(text) < 128 AND length(text) = strlen(text)")
+#: Code points in reverse; DuckDB's own reverse() keeps combined characters together.
+_reverse = lambda x: f"array_to_string(list_reverse(regexp_extract_all(translate({x}, 'ATCGNatcgn', 'TAGCNtagcn'), '(?s).')), '')"
+
+
+@query(f"SELECT doc_id AS ctg, md5({_reverse('text')}) AS digest FROM documents")
 def revcomp(spark, d):
-    s = P.sequences(spark, d).where(F.octet_length("seq") == F.length("seq"))
-    return s.select("ctg", F.md5(S.reverse_complement(F.col("seq"))).alias("digest"))
+    return P.sequences(spark, d).select("ctg", F.md5(S.reverse_complement(F.col("seq"))).alias("digest"))
 
 
 @query("WITH b AS (SELECT doc_id AS ctg, length(text) AS len, CASE WHEN length(text) > 500 THEN CAST(ceil(length(text) / 500) AS INT) ELSE 1 END AS n FROM documents), e AS (SELECT ctg, len, n, unnest(range(1, n + 1)) AS k FROM b) SELECT ctg, k::BIGINT AS bin_no, CASE WHEN n = 1 THEN len ELSE least(500, len - (k - 1) * 500) END::BIGINT AS frag_len, CASE WHEN n = 1 THEN ctg::VARCHAR ELSE ctg || '_bin' || k END AS frag FROM e")
@@ -42,13 +45,12 @@ def bin_split(spark, d):
     return out.select("ctg", F.col("bin_no").cast("long").alias("bin_no"), "frag_len", "frag")
 
 
-_ASCII = "length(text) = strlen(text) AND doc_id % 10 >= 0"
-_KMERS = "WITH k AS (SELECT doc_id AS ctg, lang AS source, i, substr(text, i + 1, 6) AS m FROM (SELECT doc_id, lang, text, unnest(range(0, length(text) - 5)) AS i FROM documents WHERE length(text) >= 6 AND length(text) = strlen(text))), c AS (SELECT ctg, source, i, least(m, reverse(translate(m, 'ATCGNatcgn', 'TAGCNtagcn'))) AS kmer FROM k WHERE m NOT LIKE '%N%')"
+# characters in rows, each with the five that follow, so that places in texts beyond ASCII are found at once
+_KMERS = "WITH t AS (SELECT doc_id AS ctg, lang AS source, regexp_extract_all(text, '(?s).') AS p FROM documents WHERE length(text) >= 6), h AS (SELECT ctg, source, unnest(p) AS a, unnest(range(len(p))) AS i FROM t), k AS (SELECT ctg, source, i, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d, lead(a, 4) OVER w AS e, lead(a, 5) OVER w AS f FROM h WINDOW w AS (PARTITION BY ctg, source ORDER BY i)), u AS (SELECT ctg, source, i, a || b || c || d || e || f AS m, translate(f || e || d || c || b || a, 'ATCGNatcgn', 'TAGCNtagcn') AS r FROM k WHERE f IS NOT NULL), c AS (SELECT ctg, source, i, least(m, r) AS kmer FROM u WHERE m NOT LIKE '%N%')"
 
 
 def _kmers(spark, d):
-    s = P.sequences(spark, d).where(F.octet_length("seq") == F.length("seq"))
-    return S.kmers(s.select("ctg", F.col("lang").alias("source"), "seq"), 6).select("ctg", "source", "start", "kmer")
+    return S.kmers(P.sequences(spark, d).select("ctg", F.col("lang").alias("source"), "seq"), 6).select("ctg", "source", "start", "kmer")
 
 
 @query(_KMERS + " SELECT kmer, count(*) AS cnt FROM c GROUP BY 1")
@@ -80,12 +82,6 @@ def auto_bin_size(spark, d):
     return s.select(S.auto_bin_size(F.col("total"), 20, 1000, 20000).alias("auto_size"), F.explode(F.array(*[F.lit(float(x)) for x in (1, 2, 1.5, 0.5, 0.25)])).alias("factor"), "mean").select("auto_size", "factor", F.round(F.col("mean") * F.col("factor"), 6).alias("size"))
 
 
-@query("SELECT doc_id AS ctg, length(text) AS len FROM documents WHERE length(text) > 0 AND source NOT IN ('src1', 'src2')")
-def fasta_lengths(spark, d):
-    """Lengths; empty sequences and those of excluded sources leave."""
-    return P.sequences(spark, d).where("len > 0 and source not in ('src1', 'src2')").select("ctg", "len")
-
-
 @query("WITH s AS (SELECT avg(length(text)) AS m FROM documents) SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_len, round(stddev_samp(length(text)), 6) AS stdev, median(length(text)) AS median_len, min(length(text)) AS min_len, max(length(text)) AS max_len, round(avg((length(text) < m)::INT), 9) AS below_mean FROM documents, s")
 def contig_stats(spark, d):
     out = V.length_statistics(P.sequences(spark, d).select("ctg", "len"))
@@ -109,10 +105,9 @@ def _doc_tours(spark, d):
     return s.select(F.col("source").alias("grp"), F.row_number().over(W.partitionBy("source").orderBy("ctg")).alias("pos"), "ctg", F.when(F.col("ctg") % 2 == 0, "+").otherwise("-").alias("orient"))
 
 
-@query("SELECT source AS grp, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(translate(text, 'ATCGNatcgn', 'TAGCNtagcn')) END, repeat('N', 100) ORDER BY doc_id)) AS digest, (sum(length(text)) + 100 * (count(*) - 1))::BIGINT AS len FROM documents WHERE length(text) = strlen(text) GROUP BY 1")
+@query(f"SELECT source AS grp, md5(string_agg(CASE WHEN doc_id % 2 = 0 THEN text ELSE {_reverse('text')} END, repeat('N', 100) ORDER BY doc_id)) AS digest, (sum(length(text)) + 100 * (count(*) - 1))::BIGINT AS len FROM documents GROUP BY 1")
 def scaffold_sequence(spark, d):
-    s = P.sequences(spark, d).where(F.octet_length("seq") == F.length("seq"))
-    out = B.sequences(_doc_tours(spark, d), s)
+    out = B.sequences(_doc_tours(spark, d), P.sequences(spark, d))
     return out.select("grp", F.md5("seq").alias("digest"), F.length("seq").cast("long").alias("len"))
 
 

@@ -151,6 +151,51 @@ def write_clusters(groups: DataFrame, contigs: DataFrame, path: str) -> None:
     rows.orderBy(F.desc("total"), "grp").select(F.concat_ws("\t", F.col("grp").cast("string"), F.col("n").cast("string"), F.array_join("c", " ")).alias("value")).coalesce(1).write.text(path)
 
 
+def write_named(lines: DataFrame, folder: str, ending: str) -> None:
+    """A file ``folder/<name><ending>`` for each name of (name, ord, value), its lines by ord.
+
+    Each name's lines are written by one task; the files get their names after that,
+    one rename a name.
+    """
+    spark = lines.sparkSession
+    lines.repartition("name").sortWithinPartitions("name", "ord").select("name", "value").write.partitionBy("name").text(f"{folder}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for own in fs.listStatus(path(f"{folder}/parts")):
+        if own.isDirectory():
+            name = own.getPath().getName().split("=", 1)[1]
+            for f in fs.listStatus(own.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), path(f"{folder}/{name}{ending}"))
+    fs.delete(path(f"{folder}/parts"), True)
+
+
+def write_group_files(groups: DataFrame, contigs: DataFrame, folder: str) -> None:
+    """A file per group (grp, ctg): contigs with sites and lengths, the longest first."""
+    rows = groups.join(contigs.select("ctg", "re_sites", "len"), "ctg")
+    body = rows.select(F.col("grp").alias("name"), F.struct(-F.col("len"), F.col("ctg").cast("string")).alias("ord"), F.concat_ws("\t", F.col("ctg").cast("string"), F.col("re_sites").cast("string"), F.col("len").cast("string")).alias("value"))
+    head = groups.select(F.col("grp").alias("name")).distinct().select("name", F.struct(F.lit(None).cast(rows.schema["len"].dataType), F.lit(None).cast("string")).alias("ord"), F.lit("#Contig\tRECounts\tLength").alias("value"))
+    write_named(body.union(head), folder, ".txt")
+
+
+def write_tour_files(tours: DataFrame, folder: str) -> None:
+    """A file per group of (grp, pos, ctg, orient): one line of oriented members."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.col("ctg").cast("string"), "orient").alias("m")))), lambda x: x["m"]), " ")
+    write_named(tours.groupBy("grp").agg(line.alias("line")).select(F.concat(F.col("grp").cast("string"), F.lit("_1")).alias("name"), F.lit(0).alias("ord"), F.concat(F.lit(">INIT\n"), F.col("line")).alias("value")), folder, ".tour")
+
+
+def write_annotation(rows: DataFrame, path: str) -> None:
+    """(contig, start, end, primary_source, alpha, stats) as lines; stats as ``{'name': number, ...}``."""
+    stats = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("stats"), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))), ", "), F.lit("}"))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("contig", "start", "end", "primary_source", "alpha")]
+    rows.select(F.concat_ws("\t", *cells, stats).alias("value")).write.text(path)
+
+
+def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """A table with a header in every file."""
+    rows.write.option("header", True).option("sep", sep).csv(path)
+
+
 def read_clm(spark: SparkSession, path) -> DataFrame:
     """(i, j, ori, n, d): distances per pair and orientation."""
     c = F.split("line", "\t")
