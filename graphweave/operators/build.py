@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import positions
+
 from graphweave.functions.sequence import reverse_complement
 
 GAP = 100
@@ -56,7 +58,7 @@ def scaffold_order(tours: DataFrame, contigs: DataFrame, gap: int = GAP) -> Data
     """(rank, name, len): scaffolds by length, then unplaced contigs by length."""
     made = tours.join(contigs.select("ctg", "len"), "ctg").groupBy(F.col("grp").cast("string").alias("name")).agg((F.sum("len") + (F.count("*") - 1) * gap).cast("long").alias("len")).withColumn("kind", F.lit(0))
     rest = unplaced(tours, contigs).select(F.col("ctg").cast("string").alias("name"), F.col("len").cast("long").alias("len"), F.lit(1).alias("kind"))
-    return made.union(rest).select(F.row_number().over(W.orderBy("kind", F.desc("len"), "name")).cast("long").alias("rank"), "name", "len")
+    return positions(made.union(rest), ["kind", F.desc("len"), "name"], "before").select((F.col("before") + 1).alias("rank"), "name", "len")
 
 
 def tour_rows(ends: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import carried, positions, running_sum
+
 
 def long_form(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return table.unpivot(keys, metrics, "metric", "value")
@@ -46,8 +48,7 @@ def group_means(rows: DataFrame, method: str = "method") -> DataFrame:
 
 def fill_down(lines: DataFrame, order: str, value: str, is_head: Column, name: str) -> DataFrame:
     """Block text: each row takes the value of the last header row before it."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(F.when(is_head, F.col(value)), ignorenulls=True).over(w))
+    return carried(lines, order, F.when(is_head, F.col(value)), name)
 
 
 # ------------------------------------------------------------ alignments
@@ -61,8 +62,7 @@ def paf_filter(paf: DataFrame, query_total: float = 400_000, least: float = 10_0
 
 def axis_offsets(lengths: DataFrame, key: str, order: list) -> DataFrame:
     """(key, len, shift): the summed lengths before each sequence."""
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return lengths.withColumn("shift", F.coalesce(F.sum("len").over(w), F.lit(0)))
+    return running_sum(lengths, order, F.col("len"), "shift")
 
 
 def query_order(paf: DataFrame, reference_rank: DataFrame) -> DataFrame:
@@ -70,8 +70,8 @@ def query_order(paf: DataFrame, reference_rank: DataFrame) -> DataFrame:
     by_ref = paf.groupBy("queryID", "refID").agg(F.sum("lenAln").alias("t"))
     top = by_ref.withColumn("k", F.row_number().over(W.partitionBy("queryID").orderBy(F.desc("t"), "refID"))).where("k = 1").select("queryID", "refID")
     longest = paf.join(top, ["queryID", "refID"]).groupBy("queryID", "refID").agg(F.max_by("refStart", F.struct("lenAln", -F.col("refStart"))).alias("at"))
-    rows = longest.join(reference_rank.select("refID", "ref_rank"), "refID")
-    return rows.select("queryID", "refID", "at", F.row_number().over(W.orderBy("ref_rank", "at", "queryID")).cast("long").alias("rank"))
+    rows = positions(longest.join(reference_rank.select("refID", "ref_rank"), "refID"), ["ref_rank", "at", "queryID"], "before")
+    return rows.select("queryID", "refID", "at", (F.col("before") + 1).alias("rank"))
 
 
 def net_reversed(paf: DataFrame) -> DataFrame:

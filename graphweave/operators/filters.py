@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import positions
+
 
 def nx_select(nodes: DataFrame, percent: float, whitelist: Column | None = None) -> DataFrame:
     """Longest nodes until their lengths reach ``percent`` of the total, the one that crosses included.
@@ -44,9 +46,7 @@ def mean_density(nodes: DataFrame) -> DataFrame:
 def density_filter(nodes: DataFrame, low: float, high: float, mode: str = "multiple") -> DataFrame:
     if mode == "multiple":
         return nodes.crossJoin(F.broadcast(mean_density(nodes))).where((F.col("density") >= low * F.col("mean_density")) & (F.col("density") <= high * F.col("mean_density"))).drop("mean_density")
-    at = F.row_number().over(W.orderBy("density", "ctg")) - 1
-    n = F.count("*").over(W.partitionBy())
-    ranked = nodes.select("ctg", "density").withColumn("at", at).withColumn("n", n)
+    ranked = positions(nodes.select("ctg", "density"), ["density", "ctg"], "at").crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n"))))
     kept = ranked.where((F.col("at") >= F.floor(F.col("n") * low)) & (F.col("at") < F.floor(F.col("n") * high))).select("ctg")
     return nodes.join(kept, "ctg", "left_semi")
 

@@ -55,8 +55,8 @@ def prune(m: DataFrame, threshold: float) -> DataFrame:
     return normalise_columns(kept)
 
 
-def mcl_joins(edges: DataFrame, inflation: float, nodes: DataFrame | None = None, expansion: int = 2, rounds: int = 60, threshold: float = 1e-4) -> DataFrame:
-    """(row, col, val) after convergence, by joins."""
+def mcl_joins(edges: DataFrame, inflation: float, nodes: DataFrame | None = None, expansion: int = 2, rounds: int = 100, threshold: float = 1e-4) -> DataFrame:
+    """(row, col, val) after convergence or the last round, by joins; the rounds and the test are those of ``mcl_dense``."""
     m = normalise_columns(adjacency(edges, nodes))
     m = expand(m, expansion).checkpoint()
     for k in range(rounds):
@@ -94,11 +94,17 @@ def read_clusters(m: np.ndarray) -> list[list[int]] | None:
 
 
 def interpret(m: DataFrame) -> DataFrame:
-    """(cluster, ctg) from a limit matrix in long form; a cluster is named by its least member."""
-    attractors = m.where("row = col").select("row")
-    rows = m.join(attractors, "row", "left_semi")
-    name = rows.groupBy("row").agg(F.min("col").alias("cluster"))
-    return rows.join(name, "row").select("cluster", F.col("col").alias("ctg")).distinct()
+    """(cluster, ctg) from a limit matrix in long form; a cluster is named by its least member.
+
+    No rows, as with ``read_clusters``, unless the clusters part all nodes.  Clusters are
+    told apart by size, least member and two sums of hashes, so that none is gathered.
+    """
+    rows = m.join(m.where("row = col").select("row"), "row", "left_semi").select("row", "col")
+    name = rows.groupBy("row").agg(F.min("col").alias("cluster"), F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("col", F.lit(k))).alias(f"h{k}") for k in range(2)])
+    found = rows.join(name, "row").select("cluster", "size", "h0", "h1", F.col("col").alias("ctg")).distinct()
+    of = m.select(F.col("col").alias("ctg")).distinct().join(found.groupBy("ctg").agg(F.count("*").alias("clusters")), "ctg", "left")
+    parted = of.agg(F.bool_and(F.coalesce(F.col("clusters") == 1, F.lit(False))).alias("parted")).where("parted")
+    return found.crossJoin(F.broadcast(parted)).select("cluster", "ctg")
 
 
 def mcl_grid(edges: DataFrame, inflations: list[float], keys: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
