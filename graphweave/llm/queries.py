@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, decontam, gru_lm, html_extract, jaccard, langid, secret_scan, token_files
+from . import audio, bpe, chat, decontam, gru_lm, html_extract, jaccard, langid, periodic, secret_scan, spotsigs, token_files, whitening
 from .common import table
 
 
@@ -59,5 +59,17 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_decontamination, op4_secret_scan, op5_lm_score, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.find_runs(periodic.looped(table(spark, sf_dir, "documents"))))
+
+
+def op12_spotsigs(spark, sf_dir):
+    return spotsigs.digest(spotsigs.compare_edits(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_decontamination, op4_secret_scan, op5_lm_score, op6_telephony_audio, op7_html_text, op8_byte_bpe, op9_ngram_jaccard, op10_token_files, op11_periodic_runs, op12_spotsigs, op13_whitening)}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
