@@ -102,11 +102,12 @@ def _place(value: Column, cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """Adds next_text and next_sigs: those of the following row by doc_id (after the last: the first).
+    """Adds sigs, next_text and next_sigs: the signatures, and those of the following row by doc_id (after the last: the first).
 
-    docs: doc_id, text, sigs.  Null ids come last, by a hash of their texts; equal ids are in that
+    docs: doc_id, text.  Null ids come last, by a hash of their texts; equal ids are in that
     order too.  Rows are dealt into ranges of ids, sorted there, and each range also gets the first
-    row of the next one, so texts move once and no range depends on another.
+    row of the next one, so texts move once and no range depends on another.  Signatures are made
+    after that move, as they shrink less than texts on their way.
     """
     spark = prepare(docs.sparkSession)
     n_buckets = n_buckets or 4 * parts(spark)
@@ -121,16 +122,18 @@ def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     nulls = rows.where("doc_id is null").groupBy("bucket").agg(F.lit(None).cast("long").alias("doc_id"), F.min("tie").alias("tie"))
     firsts = sorted(known.union(nulls).collect())  # a row a range
     if not firsts:
-        return docs.withColumn("next_text", F.lit("")).withColumn("next_sigs", F.array().cast("array<bigint>"))
+        none = F.array().cast("array<bigint>")
+        return docs.select("*", none.alias("sigs"), F.lit("").alias("next_text"), none.alias("next_sigs"))
     guests = [(firsts[k - 1]["bucket"], k == 0, f["doc_id"], f["tie"]) for k, f in enumerate(firsts)]
     guests = spark.createDataFrame(guests, "host int, wraps boolean, g_id long, g_tie long")
     match = F.when(F.col("g_id").isNotNull(), F.col("g_id") == F.col("doc_id")).otherwise(F.col("doc_id").isNull() & (F.col("g_tie") == F.col("tie")))
     key = F.coalesce(F.col("doc_id"), F.col("tie"))
     visiting = rows.withColumn("k", key).join(F.broadcast(guests.withColumn("k", F.coalesce("g_id", "g_tie"))), "k").where(match)
     both = rows.select("*", F.lit(0).alias("guest")).unionByName(visiting.select(*[c for c in rows.columns if c != "bucket"], F.col("host").alias("bucket"), F.lit(1).alias("guest")))
+    both = both.repartition(parts(spark), "bucket").withColumn("sigs", signatures(F.col("text")))
     order = W.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_last(), "tie", "text")
     after = both.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("guest = 0")
-    return after.select(*docs.columns, F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
+    return after.select(*docs.columns, "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -139,16 +142,20 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) of every row; null text is empty."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, sigs) of every row."""
     prepare(docs.sparkSession)
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text")).withColumn("sigs", signatures(F.col("text")))
+    return texts(docs, id_col, text_col).withColumn("sigs", signatures(F.col("text")))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, sigs, edited, edited_sigs, near_edited, near_next): each document beside its edited text and the next document."""
-    rows = with_next(fingerprints(docs, id_col, text_col)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(texts(docs, id_col, text_col)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select("doc_id", "text", "sigs", "edited", "edited_sigs", likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 

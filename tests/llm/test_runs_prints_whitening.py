@@ -169,12 +169,12 @@ def test_op12_edges(spark, edge_docs, no_docs):
     assert spotsigs.digest(spotsigs.compare_edits(no_docs)).count() == 0
     many = spark.createDataFrame([(None if k % 3 else k, f"The text {k} of this table was it {k * k}") for k in range(300)], "doc_id long, text string")
     for n in (1, 2, 40):
-        found = spotsigs.with_next(spotsigs.fingerprints(many), n).collect()
+        found = spotsigs.with_next(spotsigs.texts(many), n).collect()
         order = slow_order([(r.doc_id, r.text) for r in many.collect()])
         after = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
         assert len(found) == 300 and all(after[r.text] == r.next_text for r in found)
     one = spark.createDataFrame([(5, "abcdefgh the end of it")], "doc_id long, text string")
-    assert [r.next_text for r in spotsigs.with_next(spotsigs.fingerprints(one)).collect()] == ["abcdefgh the end of it"]
+    assert [r.next_text for r in spotsigs.with_next(spotsigs.texts(one)).collect()] == ["abcdefgh the end of it"]
 
 
 def test_anchors_fill_stretches_without_common_words():
