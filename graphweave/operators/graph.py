@@ -1,8 +1,7 @@
-"""Markov clustering of contact graphs, over a grid of inflations.
+"""Contact graphs as matrices, Markov clustering of small ones, and allele groups.
 
-Small graphs run dense in numpy, one task per grid point; large ones as joins
-over (row, col, val) with a checkpoint per round.  ``choose`` takes the first
-where the dense matrix fits a task.
+Matrices are tables (row, col, val).  Small graphs cluster dense in numpy, one task per
+grid point; ``blocks`` has the form for large ones and ``clustering`` the whole run.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DENSE_NODES = 4000
+DENSE_NODES = 2000  # a task holds four such matrices, of 32 MB each
 
 
 def adjacency(edges: DataFrame, nodes: DataFrame | None = None, loops: float = 1.0) -> DataFrame:
@@ -31,19 +30,6 @@ def normalise_columns(m: DataFrame) -> DataFrame:
     return m.join(total, "col").select("row", "col", (F.col("val") / F.col("total")).alias("val"))
 
 
-def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
-    a, b = left.select("row", F.col("col").alias("k"), F.col("val").alias("a")), right.select(F.col("row").alias("k"), "col", F.col("val").alias("b"))
-    return a.join(b, "k").groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
-
-
-def expand(m: DataFrame, power: int = 2) -> DataFrame:
-    """The matrix to a power."""
-    out = m
-    for _ in range(power - 1):
-        out = multiply(out, m)
-    return out
-
-
 def inflate(m: DataFrame, r: float) -> DataFrame:
     return normalise_columns(m.select("row", "col", F.pow("val", F.lit(float(r))).alias("val")))
 
@@ -55,21 +41,6 @@ def prune(m: DataFrame, threshold: float) -> DataFrame:
     return normalise_columns(kept)
 
 
-def mcl_joins(edges: DataFrame, inflation: float, nodes: DataFrame | None = None, expansion: int = 2, rounds: int = 100, threshold: float = 1e-4) -> DataFrame:
-    """(row, col, val) after convergence or the last round, by joins; the rounds and the test are those of ``mcl_dense``."""
-    m = normalise_columns(adjacency(edges, nodes))
-    m = expand(m, expansion).checkpoint()
-    for k in range(rounds):
-        new = prune(inflate(expand(m, expansion) if k else m, inflation), threshold).checkpoint()
-        if k > 1:
-            a, b = new.withColumnRenamed("val", "a"), m.withColumnRenamed("val", "b")
-            moved = a.join(b, ["row", "col"], "full").where(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))) > 1e-8 + 1e-5 * F.abs(F.coalesce("b", F.lit(0.0))))
-            if moved.limit(1).count() == 0:
-                return new
-        m = new
-    return m
-
-
 def mcl_dense(a: np.ndarray, inflation: float, expansion: int = 2, rounds: int = 100, threshold: float = 1e-4) -> tuple[np.ndarray, bool]:
     """The limit matrix and whether it settled.  a: symmetric weights with loops."""
     norm = lambda m: m / np.maximum(m.sum(0, keepdims=True), 1e-300)
@@ -93,24 +64,10 @@ def read_clusters(m: np.ndarray) -> list[list[int]] | None:
     return sorted(map(list, found)) if members == list(range(len(m))) else None
 
 
-def interpret(m: DataFrame) -> DataFrame:
-    """(cluster, ctg) from a limit matrix in long form; a cluster is named by its least member.
-
-    No rows, as with ``read_clusters``, unless the clusters part all nodes.  Clusters are
-    told apart by size, least member and two sums of hashes, so that none is gathered.
-    """
-    rows = m.join(m.where("row = col").select("row"), "row", "left_semi").select("row", "col")
-    name = rows.groupBy("row").agg(F.min("col").alias("cluster"), F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("col", F.lit(k))).alias(f"h{k}") for k in range(2)])
-    found = rows.join(name, "row").select("cluster", "size", "h0", "h1", F.col("col").alias("ctg")).distinct()
-    of = m.select(F.col("col").alias("ctg")).distinct().join(found.groupBy("ctg").agg(F.count("*").alias("clusters")), "ctg", "left")
-    parted = of.agg(F.bool_and(F.coalesce(F.col("clusters") == 1, F.lit(False))).alias("parted")).where("parted")
-    return found.crossJoin(F.broadcast(parted)).select("cluster", "ctg")
-
-
-def mcl_grid(edges: DataFrame, inflations: list[float], keys: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
+def mcl_grid(edges: DataFrame, inflations: list[float], keys: list[str] = (), **options) -> DataFrame:
     """(keys, inflation, cluster, ctg): dense runs, one task for each key and inflation; invalid ones give no rows.
 
-    edges: keys, i, j, w; every graph must fit a task (see ``choose``).
+    edges: keys, i, j, w; every graph must fit a task.  options: those of ``mcl_dense``.
     """
     grid = edges.select(*keys, "i", "j", F.col("w").cast("double").alias("w"), F.explode(F.array(*[F.lit(float(r)) for r in inflations])).alias("inflation"))
     kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
@@ -122,7 +79,7 @@ def mcl_grid(edges: DataFrame, inflations: list[float], keys: list[str] = (), no
         i, j = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])
         a[i, j] = a[j, i] = pdf["w"]
         np.fill_diagonal(a, 1.0)
-        found = read_clusters(mcl_dense(a, float(pdf["inflation"].iloc[0]))[0]) or []
+        found = read_clusters(mcl_dense(a, float(pdf["inflation"].iloc[0]), **options)[0]) or []
         rows = [(names[c[0]], names[x]) for c in found for x in c]
         out = pd.DataFrame(rows, columns=["cluster", "ctg"])
         for k in reversed(by):
@@ -133,14 +90,6 @@ def mcl_grid(edges: DataFrame, inflations: list[float], keys: list[str] = (), no
     return grid.groupBy(*by).applyInPandas(run, f"{head}, cluster {kinds['i']}, ctg {kinds['i']}")
 
 
-def choose(edges: DataFrame, inflation: float) -> DataFrame:
-    """(cluster, ctg) by the dense or the join form, by the number of nodes."""
-    n = edges.select(F.explode(F.array("i", "j")).alias("n")).distinct().count()
-    if n <= DENSE_NODES:
-        return mcl_grid(edges, [inflation]).select("cluster", "ctg")
-    return interpret(mcl_joins(edges, inflation))
-
-
 def majority(fragments: DataFrame) -> DataFrame:
     """(run, ctg, cluster): the cluster that holds most of a contig's fragment length, the least on a tie.
 

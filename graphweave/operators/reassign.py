@@ -66,86 +66,6 @@ def snapshot_round(edges: DataFrame, groups: DataFrame, contigs: DataFrame, limi
     return best.select("ctg", "own", "grp", action.alias("action"))
 
 
-def sequential_round(contigs: list[tuple], edges: list[tuple], groups: dict, limits: Limits, formal: bool = True) -> tuple[dict, dict]:
-    """Contigs in order of length; each move changes what later contigs see.
-
-    contigs: (ctg, len, re_sites); edges: (i, j, links); (ctg -> group, counts of actions).
-    """
-    size = {c: (n, s) for c, n, s in contigs}
-    near: dict = {}
-    for i, j, w in edges:
-        near.setdefault(i, []).append((j, w))
-        near.setdefault(j, []).append((i, w))
-    state, sites = dict(groups), {}
-    for c, g in state.items():
-        sites[g] = sites.get(g, 1) + size[c][1] - 1
-    count = {"rescue": 0, "stay": 0, "move": 0, "keep": 0}
-    for c in sorted(size, key=lambda c: (-size[c][0], c)):
-        links: dict = {}
-        for o, w in near.get(c, ()):
-            if o in state:
-                links[state[o]] = links.get(state[o], 0) + w
-        own, action = state.get(c), "keep"
-        if links and size[c][1] - 1 >= limits.sites:
-            order = sorted(links, key=lambda g: (-links[g], g))
-            top = own if own in links and links[own] == links[order[0]] else order[0]
-            density = {g: links[g] / (sites[g] if g == own else sites[g] + size[c][1] - 1) for g in links}
-            clear = not formal or len(order) < 2 or links[order[1]] / links[order[0]] < limits.ambiguity
-            if links[top] >= limits.links and density[top] >= limits.density and clear:
-                rest = (sum(density.values()) - density[top]) / max(1, len(sites) - 1)
-                ratio = density[top] / rest if rest > 1e-12 else 1e6
-                if own is None:
-                    action = "rescue" if ratio >= limits.ratio else "keep"
-                elif own == top:
-                    action = "stay"
-                elif formal and size[c][0] <= limits.longest and ratio >= limits.ratio:
-                    action = "move"
-                if action in ("rescue", "move"):
-                    if own is not None:
-                        sites[own] -= size[c][1] - 1
-                    state[c] = top
-                    sites[top] += size[c][1] - 1
-        count[action] += 1
-    return state, count
-
-
-def dissolve(groups: dict, lengths: dict, least: float) -> dict:
-    total: dict = {}
-    for c, g in groups.items():
-        total[g] = total.get(g, 0) + lengths[c]
-    return {c: g for c, g in groups.items() if total[g] >= least}
-
-
-def reassign(edges: DataFrame, groups: DataFrame, contigs: DataFrame, limits: Limits, rounds: int = 5, least_length: float = 0, final_rescue: bool = True) -> DataFrame:
-    """(ctg, grp) after rounds of sequential reassignment, until nothing changes; then a round that only rescues.
-
-    Order decides here, so one task holds the graph of contigs (not of contacts).
-    """
-    kind, gkind = dict(contigs.dtypes)["ctg"], dict(groups.dtypes)["grp"]
-    c = contigs.select(F.lit(0).alias("t"), F.col("ctg").alias("a"), F.lit(None).cast(kind).alias("b"), F.col("len").cast("double").alias("x"), F.col("re_sites").cast("double").alias("y"), F.lit(None).cast(gkind).alias("grp"))
-    e = edges.select(F.lit(1), "i", "j", F.col("links").cast("double"), F.lit(None).cast("double"), F.lit(None).cast(gkind))
-    g = groups.select(F.lit(2), "ctg", F.lit(None).cast(kind), F.lit(None).cast("double"), F.lit(None).cast("double"), "grp")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, links, own = (pdf[pdf["t"] == k] for k in (0, 1, 2))
-        contigs_ = list(zip(nodes["a"], nodes["x"], nodes["y"], strict=True))
-        edges_ = list(zip(links["a"], links["b"], links["x"], strict=True))
-        state = dict(zip(own["a"], own["grp"], strict=True))
-        lengths = {a: x for a, x, _ in contigs_}
-        for k in range(rounds):
-            if k:
-                state = dissolve(state, lengths, least_length)
-            new, _ = sequential_round(contigs_, edges_, state, limits)
-            if new == state:
-                break
-            state = new
-        if final_rescue:
-            state, _ = sequential_round(contigs_, edges_, state, limits, formal=False)
-        return pd.DataFrame(sorted(state.items()), columns=["ctg", "grp"])
-
-    return c.union(e).union(g).groupBy(F.lit(0).alias("all")).applyInPandas(run, f"ctg {kind}, grp {gkind}")
-
-
 def group_statistics(groups: DataFrame, contigs: DataFrame, original: DataFrame) -> DataFrame:
     """Per group: contigs, total length, and sites of the contigs that were grouped at first."""
     rows = groups.join(contigs, "ctg").join(original.select("ctg", F.lit(True).alias("first")), "ctg", "left")

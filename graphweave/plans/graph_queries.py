@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphweave.operators import blocks as B
+from graphweave.operators import clustering as M
 from graphweave.operators import consensus as K
 from graphweave.operators import contacts as C
 from graphweave.operators import filters as L
 from graphweave.operators import graph as G
 from graphweave.operators import reassign as R
+from graphweave.operators import sequential as S
 
 from . import proxies as P
 from .book import Book
@@ -24,15 +27,19 @@ def edges(spark, d):
     return C.edge_counts(P.contacts(spark, d))
 
 
-def nation_edges(spark, d):
-    """Edges between nations: a small weighted graph for the matrix queries."""
-    side = lambda c, n: P.contigs(spark, d).select(F.col("ctg").alias(c), F.col("nation").alias(n))
-    rows = edges(spark, d).join(side("i", "a"), "i").join(side("j", "b"), "j").where("a <> b")
-    return rows.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg((F.sum("links") / 100).alias("w"))
+def weighted(spark, d):
+    """Edges of all suppliers; those between nations keep a fiftieth of their links."""
+    return L.downweight_between(edges(spark, d), P.contigs(spark, d).select("ctg", F.col("nation").alias("hap")), 0.98)
 
 
-_NATION = sql("contacts", "edges", "contigs") + ", ne AS (SELECT least(a.nation, b.nation) AS i, greatest(a.nation, b.nation) AS j, sum(links) / 100 AS w FROM edges JOIN contigs a ON a.ctg = i JOIN contigs b ON b.ctg = j WHERE a.nation <> b.nation GROUP BY 1, 2), m AS (SELECT i AS row, j AS col, w AS val FROM ne UNION ALL SELECT j, i, w FROM ne UNION ALL SELECT n, n, 1.0 FROM (SELECT i AS n FROM ne UNION SELECT j FROM ne))"
-_NORM = _NATION + ", nm AS (SELECT row, col, val / sum(val) OVER (PARTITION BY col) AS val FROM m)"
+def _checkpointed(spark):
+    P.checkpoints(spark)
+    return spark
+
+
+_WEIGHTED = sql("contacts", "edges", "contigs").replace("WITH ", "WITH RECURSIVE ", 1) + ", dw AS (SELECT i, j, links * (CASE WHEN a.nation = b.nation THEN 1 ELSE 1 - 0.98::DOUBLE END) AS w FROM edges JOIN contigs a ON a.ctg = i JOIN contigs b ON b.ctg = j)"
+_MATRIX = _WEIGHTED + ", m AS (SELECT i AS row, j AS col, w AS val FROM dw UNION ALL SELECT j, i, w FROM dw UNION ALL SELECT n, n, 1.0 FROM (SELECT i AS n FROM dw UNION SELECT j FROM dw))"
+_NORM = _MATRIX + ", nm AS (SELECT row, col, val / sum(val) OVER (PARTITION BY col) AS val FROM m)"
 _EXPAND = _NORM + ", e AS (SELECT a.row, b.col, sum(a.val * b.val) AS val FROM nm a JOIN nm b ON a.col = b.row GROUP BY 1, 2)"
 _out = ' SELECT "row", col, round(val, 8) AS val FROM '
 
@@ -41,42 +48,90 @@ def rounded(m):
     return m.select("row", "col", F.round("val", 8).alias("val"))
 
 
-@query(_NATION + _out + "m")
+@query(_MATRIX + _out + "m")
 def adjacency(spark, d):
-    return rounded(G.adjacency(nation_edges(spark, d)))
+    return rounded(G.adjacency(weighted(spark, d)))
 
 
 @query(_NORM + _out + "nm")
 def column_normalise(spark, d):
-    return rounded(G.normalise_columns(G.adjacency(nation_edges(spark, d))))
+    return rounded(G.normalise_columns(G.adjacency(weighted(spark, d))))
+
+
+def _expanded(spark, d):
+    return B.expand(G.normalise_columns(G.adjacency(weighted(_checkpointed(spark), d))))
 
 
 @query(_EXPAND + _out + "e")
 def mcl_expand(spark, d):
-    return rounded(G.expand(G.normalise_columns(G.adjacency(nation_edges(spark, d)))))
+    """The square of the column-normalised matrix of all suppliers, by blocks."""
+    return rounded(_expanded(spark, d))
 
 
 @query(_EXPAND + ", p AS (SELECT row, col, pow(val, 1.5) / sum(pow(val, 1.5)) OVER (PARTITION BY col) AS val FROM e), k AS (SELECT * FROM (SELECT *, max(val) OVER (PARTITION BY col) AS top FROM p) WHERE val >= 0.02 OR val = top), f AS (SELECT row, col, val / sum(val) OVER (PARTITION BY col) AS val FROM k)" + _out + "f")
 def mcl_inflate_prune(spark, d):
-    m = G.expand(G.normalise_columns(G.adjacency(nation_edges(spark, d))))
-    return rounded(G.prune(G.inflate(m, 1.5), 0.02))
+    return rounded(G.prune(G.inflate(_expanded(spark, d), 1.5), 0.02))
+
+
+def _mcl(inflations: list[float], rounds: int = 100) -> str:
+    """SQL of whole runs over we(mask, i, j, w): it (all rounds), lim (the last of each run) and cl(mask, inflation, cluster, ctg) of valid runs."""
+    def refine(source: str) -> str:
+        part = "PARTITION BY mask, r, col"
+        return f"(SELECT mask, r, row, col, val / sum(val) OVER ({part}) AS val FROM (SELECT * FROM (SELECT *, max(val) OVER ({part}) AS top FROM (SELECT mask, r, row, col, pow(val, r) / sum(pow(val, r)) OVER ({part}) AS val FROM {source})) WHERE val >= 1e-4 OR val = top))"
+
+    return f"""
+am AS (SELECT mask, i AS row, j AS col, w AS val FROM we UNION ALL SELECT mask, j, i, w FROM we UNION ALL SELECT mask, n, n, 1.0 FROM (SELECT mask, i AS n FROM we UNION SELECT mask, j FROM we)),
+an AS (SELECT mask, row, col, val / sum(val) OVER (PARTITION BY mask, col) AS val FROM am),
+ae AS MATERIALIZED (SELECT a.mask, a.row, b.col, sum(a.val * b.val) AS val FROM an a JOIN an b ON a.mask = b.mask AND a.col = b.row GROUP BY 1, 2, 3),
+it AS (
+  SELECT 0 AS k, mask, r, row, col, val, FALSE AS done FROM {refine(f"(SELECT mask, r, row, col, val FROM ae, (SELECT unnest({inflations}::DOUBLE[]) AS r))")}
+  UNION ALL
+  SELECT k, mask, r, row, col, val, done FROM (
+    SELECT k, mask, r, row, col, a AS val, k > 1 AND NOT bool_or(abs(a - b) > 1e-8 + 1e-5 * abs(b)) OVER (PARTITION BY mask, r) AS done
+    FROM (SELECT max(k) AS k, mask, r, row, col, sum(a) AS a, sum(b) AS b FROM (
+      SELECT (SELECT max(k) + 1 FROM it) AS k, mask, r, row, col, val AS a, 0.0 AS b FROM {refine("(SELECT a.mask, a.r, a.row, b.col, sum(a.val * b.val) AS val FROM it a JOIN it b ON a.mask = b.mask AND a.r = b.r AND a.col = b.row WHERE NOT a.done GROUP BY 1, 2, 3, 4)")}
+      UNION ALL SELECT NULL, mask, r, row, col, 0.0, val FROM it WHERE NOT done) GROUP BY 2, 3, 4, 5))
+  WHERE k < {rounds}),
+lim AS (SELECT * FROM (SELECT *, max(k) OVER (PARTITION BY mask, r) AS last FROM it) WHERE k = last AND val <> 0),
+cs AS (SELECT DISTINCT mask, r, min(col) AS cluster, list(col ORDER BY col) AS cols FROM (SELECT l.* FROM lim l SEMI JOIN (SELECT mask, r, row FROM lim WHERE row = col) d USING (mask, r, row)) GROUP BY mask, r, row),
+cm AS (SELECT mask, r, cluster, unnest(cols) AS ctg FROM cs),
+cl AS (SELECT mask, r AS inflation, cluster, ctg FROM cm SEMI JOIN (
+  SELECT mask, r FROM (SELECT n.mask, n.r, n.col, count(c.ctg) AS times FROM (SELECT DISTINCT mask, r, col FROM lim) n LEFT JOIN cm c ON c.mask = n.mask AND c.r = n.r AND c.ctg = n.col GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING bool_and(times = 1)) v USING (mask, r))"""
+
+
+GRID = [1.2, 1.4, 1.6, 1.8, 2.0, 3.0]
+_ONE = _WEIGHTED + ", we AS (SELECT 0 AS mask, * FROM dw), "
+
+
+@query(_ONE + _mcl(GRID) + " SELECT inflation, cluster, ctg FROM cl")
+def mcl_clusters(spark, d):
+    """Clusters of suppliers over a grid of inflations; every valid run parts all nodes."""
+    return M.clusters(weighted(_checkpointed(spark), d), GRID)
 
 
-def _checkpointed(spark):
-    P.checkpoints(spark)
-    return spark
+@query(_ONE + _mcl([1.6, 2.0]) + " SELECT inflation, cluster, ctg FROM cl")
+def mcl_join_clusters(spark, d):
+    """The same at two inflations by joins of blocks."""
+    return M.interpret(B.mcl_blocks(weighted(_checkpointed(spark), d), [1.6, 2.0]), ["inflation"])
 
 
-@query()
-def mcl_clusters(spark, d):
-    """Clusters of nations over a grid of inflations; every valid run parts all nodes."""
-    return G.mcl_grid(nation_edges(spark, d), [1.2, 1.4, 1.6, 1.8, 2.0, 3.0])
+_MASKS = "we AS (SELECT mask, dw.* FROM dw, (SELECT unnest([0, 1, 2])::BIGINT AS mask) WHERE i % 5 <> mask AND j % 5 <> mask), "
+_TOTALS = ", t AS (SELECT mask, inflation, ctg // 2 AS ctg, cluster, sum(len) AS total FROM cl JOIN contigs USING (ctg) GROUP BY 1, 2, 3, 4), a AS (SELECT mask, inflation, ctg, cluster FROM (SELECT *, row_number() OVER (PARTITION BY mask, inflation, ctg ORDER BY total DESC, cluster) AS k FROM t) WHERE k = 1), z AS (SELECT mask, inflation, cluster, count(*) AS n_ctg, sum(len)::BIGINT AS len FROM a JOIN (SELECT ctg // 2 AS ctg, sum(len) AS len FROM contigs GROUP BY 1) USING (ctg) GROUP BY 1, 2, 3)"
+_BESTS = ", g AS (SELECT {'m': mask, 'i': inflation} AS run, mask, inflation, cluster, len FROM z), q AS (" + " UNION ALL ".join(f"SELECT {k} AS k, {r} AS ratio, run.m AS mask, run.i AS inflation FROM (SELECT run, coalesce(min(k) FILTER (nx / len < {r}), count(*)) AS main FROM (SELECT *, row_number() OVER w AS k, lead(len) OVER w AS nx FROM g WINDOW w AS (PARTITION BY run ORDER BY len DESC, cluster)) GROUP BY 1) WHERE main >= 3" for k, r in enumerate(G.RATIOS)) + "), b AS (SELECT mask, arg_min(inflation, (k, inflation)) AS best FROM q GROUP BY 1)"
 
 
-@query()
-def mcl_join_clusters(spark, d):
-    """The same at one inflation by joins."""
-    return G.interpret(G.mcl_joins(nation_edges(_checkpointed(spark), d), 2.0))
+@query(_WEIGHTED + ", " + _MASKS + _mcl([1.4, 1.6, 2.0]) + _TOTALS + _BESTS + " SELECT z.mask, z.inflation, z.cluster, n_ctg, len, row_number() OVER (PARTITION BY z.mask, z.inflation ORDER BY len DESC, z.cluster) AS rank, coalesce(best, 0)::DOUBLE AS recommended FROM z LEFT JOIN b ON b.mask = z.mask")
+def cluster_run(spark, d):
+    """Masks by inflations: bins clustered, taken to contigs, totals and each mask's recommended inflation.
+
+    Suppliers are bins, two neighbours a contig; a mask leaves a fifth of the bins out.
+    """
+    own = P.contigs(_checkpointed(spark), d)
+    bins = own.select(F.col("ctg").alias("frag"), F.floor(F.col("ctg") / 2).alias("ctg"), F.col("len").alias("frag_len"))
+    masks = spark.range(3).select(F.col("id").alias("mask"))
+    links = weighted(spark, d).crossJoin(F.broadcast(masks)).where("i % 5 <> mask and j % 5 <> mask")
+    out = M.run(links, bins, bins.groupBy("ctg").agg(F.sum("frag_len").alias("len")), [1.4, 1.6, 2.0], 3, ["mask"])
+    return out.sizes.join(out.best.select("mask", F.col("inflation").alias("recommended")), "mask")
 
 
 _FRAG = sql("contacts") + ", f AS (SELECT i AS ctg, CAST(ceil(x / 10) AS BIGINT) AS bin_no, j % 4 AS cluster, count(*) AS frag_len FROM contacts GROUP BY 1, 2, 3)"
@@ -168,9 +223,40 @@ def reassign_snapshot(spark, d):
     return R.snapshot_round(edges(spark, d), P.groups(spark, d), P.contigs(spark, d), LIMITS, 25)
 
 
-@query()
+#: One contig a step: five rounds with moves, then one that only rescues.
+_SEQUENTIAL = sql("contacts", "contigs", "edges", "both", "groups").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+turns AS (SELECT ctg, len, re_sites, row_number() OVER (ORDER BY len DESC, ctg) - 1 AS turn, count(*) OVER () AS n FROM contigs),
+near AS MATERIALIZED (SELECT t.turn, b.v AS other, sum(b.w)::BIGINT AS w FROM both_ b JOIN turns t ON t.ctg = b.u GROUP BY 1, 2),
+st AS (
+  SELECT 0::BIGINT AS step, t.ctg, t.turn, t.len, t.re_sites, t.n, g.grp, (SELECT count(DISTINCT grp) FROM groups_) AS n_groups FROM turns t LEFT JOIN groups_ g USING (ctg)
+  UNION ALL
+  SELECT s.step + 1, s.ctg, s.turn, s.len, s.re_sites, s.n, CASE WHEN s.turn = s.step % s.n AND d.top IS NOT NULL THEN d.top ELSE s.grp END,
+    CASE WHEN (s.step + 1) % s.n = 0 THEN (SELECT count(DISTINCT CASE WHEN x.turn = x.step % x.n AND d.top IS NOT NULL THEN d.top ELSE x.grp END) FROM st x) ELSE s.n_groups END
+  FROM st s, (
+    SELECT max(CASE WHEN ok THEN top END) AS top FROM (
+      SELECT top, own, re_sites - 1 >= 100 AND top_links >= 5 AND value >= 0 AND own IS DISTINCT FROM top
+        AND (own IS NULL OR (step < 5 * n AND len <= 30000)) AND (step >= 5 * n OR second IS NULL OR second / top_links < 0.98)
+        AND CASE WHEN rest > 1e-12 THEN value / rest ELSE 1e6 END >= 1.2 AS ok
+      FROM (
+        SELECT *, CASE WHEN home = top_links THEN own ELSE first END AS top, CASE WHEN home = top_links THEN home_value ELSE first_value END AS value,
+          (total - CASE WHEN home = top_links THEN home_value ELSE first_value END) / greatest(1, n_groups - 1) AS rest
+        FROM (
+          SELECT any_value(own) AS own, any_value(step) AS step, any_value(n) AS n, any_value(n_groups) AS n_groups, any_value(len) AS len, any_value(re_sites) AS re_sites,
+            max(links) AS top_links, arg_min(grp, (-links, grp)) AS first, arg_min(density, (-links, grp)) AS first_value,
+            max(links) FILTER (grp = own) AS home, max(density) FILTER (grp = own) AS home_value, fsum(density) AS total, (max(links, 2))[2] AS second
+          FROM (
+            SELECT l.*, m.grp AS own, m.step, m.n, m.n_groups, m.len, m.re_sites, l.links / (z.sites + CASE WHEN l.grp = m.grp THEN 0 ELSE m.re_sites - 1 END) AS density
+            FROM (SELECT o.grp, sum(e.w)::BIGINT AS links FROM near e JOIN st o ON o.ctg = e.other WHERE o.grp IS NOT NULL AND e.turn = o.step % o.n GROUP BY 1) l
+            JOIN (SELECT grp, 1 + sum(re_sites - 1) AS sites FROM st WHERE grp IS NOT NULL GROUP BY 1) z USING (grp),
+            (SELECT * FROM st WHERE turn = step % n) m))))) d
+  WHERE s.step < 6 * s.n)
+SELECT ctg, grp FROM st WHERE step = 6 * n AND grp IS NOT NULL"""
+
+
+@query(_SEQUENTIAL)
 def reassign_sequential(spark, d):
-    return R.reassign(edges(spark, d), P.groups(spark, d), P.contigs(spark, d).select("ctg", "len", "re_sites"), LIMITS)
+    """Contigs in order of length, each seeing all earlier moves."""
+    return S.reassign(edges(_checkpointed(spark), d), P.groups(spark, d), P.contigs(spark, d).select("ctg", "len", "re_sites"), LIMITS)
 
 
 _BETWEEN = sql("contacts", "contigs", "edges", "groups", "sites") + ", bg AS (SELECT least(a.grp, b.grp) AS g, greatest(a.grp, b.grp) AS h, sum(links)::BIGINT AS links FROM edges JOIN groups_ a ON a.ctg = i JOIN groups_ b ON b.ctg = j WHERE a.grp <> b.grp GROUP BY 1, 2)"

@@ -12,6 +12,7 @@ from graphweave.operators import compare as M
 from graphweave.operators import contacts as C
 from graphweave.operators import evaluate as V
 from graphweave.operators import reassign as R
+from graphweave.sources import bam as BAM
 from graphweave.sources import formats as X
 
 from . import proxies as P
@@ -99,6 +100,37 @@ def sam_scan(spark, d):
     return first.join(dup, "ord").groupBy("ref").agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.count_if("duplicate").alias("dup"))
 
 
+_BAM = "WITH e AS (SELECT event_id, user_id::VARCHAR AS ref, ((user_id * 7 + event_id) % 1000)::VARCHAR AS mref, event_id + 1 AS pos, CAST(json_extract_string(props, '$.k') AS BIGINT) AS nm, 64 * (1 - event_id % 2) + 128 * (event_id % 2) + 1 AS flag, event_id % 61 AS mapq FROM events)"
+
+
+def _bam(spark, d):
+    """Events as alignments in BAM files; users are contigs."""
+    e = P.table(spark, d, "events")
+    odd = F.col("event_id") % 2
+    reads = e.select(
+        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("qname"), (64 * (1 - odd) + 128 * odd + 1).cast("int").alias("flag"), F.col("user_id").cast("string").alias("rname"), (F.col("event_id") + 1).alias("pos"),
+        (F.col("event_id") % 61).cast("int").alias("mapq"), ((F.col("user_id") * 7 + F.col("event_id")) % 1000).cast("string").alias("rnext"), F.lit(9).cast("long").alias("pnext"), F.get_json_object("props", "$.k").cast("long").alias("nm"),
+    )
+    users = e.agg(F.max("user_id")).first()[0]
+    place = folder(spark)
+    BAM.write_bam(reads, [(str(k), 1 << 30) for k in range(max(1000, (users or 0) + 1))], place).agg(F.sum("n_rows")).collect()
+    BAM.register(spark)
+    return spark.read.format("bam").option("split", 20_000).load(place)
+
+
+@query(_BAM + " SELECT ref, count(*) AS n, sum(pos)::BIGINT AS pos, sum(nm)::BIGINT AS nm, count(DISTINCT mref) AS mates, sum(mapq)::BIGINT AS mapq, bit_xor(flag)::BIGINT AS flags FROM e GROUP BY 1")
+def bam_scan(spark, d):
+    """All alignments of BAM files, read in splits of 20,000 bytes."""
+    return _bam(spark, d).groupBy(F.col("rname").alias("ref")).agg(F.count("*").alias("n"), F.sum("pos").alias("pos"), F.sum("nm").alias("nm"), F.countDistinct("rnext").alias("mates"), F.sum("mapq").alias("mapq"), F.bit_xor(F.col("flag").cast("long")).alias("flags"))
+
+
+@query(_BAM + " SELECT least(ref, mref) AS i, greatest(ref, mref) AS j, count(*) AS links FROM e WHERE flag & 64 <> 0 AND ref <> mref AND mapq >= 20 GROUP BY 1, 2")
+def bam_to_edges(spark, d):
+    """Edges of first reads of good quality, whose mates lie elsewhere: the filters reach the decoder."""
+    rows = _bam(spark, d).where("first_read = true and inter = true and mapq >= 20")
+    return C.edge_counts(C.canonical(rows.select(F.col("rname").alias("ref"), "pos", F.col("rnext").alias("mref"), F.col("pnext").alias("mpos"))))
+
+
 @query("WITH c AS (SELECT s_suppkey AS k, s_nationkey % 2 AS hap FROM supplier) SELECT k::VARCHAR AS ctg, CASE WHEN k % 11 = 0 THEN 'missing' ELSE 'length' END AS reason FROM c WHERE k % 11 = 0 OR k % 7 = 0 UNION ALL SELECT 'x' || n_nationkey, 'extra' FROM nation")
 def gfa_check(spark, d):
     """Segments of two files against contigs: missing, extra and of another length."""

@@ -62,14 +62,6 @@ def test_mcl_dense():
     assert len(cut(TRIANGLES, 6, 4.0)) == 6
 
 
-def test_mcl_joins_agree_with_dense(spark):
-    e = spark.createDataFrame(TRIANGLES, "i long, j long, w double".replace("double", "long"))
-    joined = sorted((r.cluster, r.ctg) for r in G.interpret(G.mcl_joins(e, 2.0)).collect())
-    dense = sorted((r.cluster, r.ctg) for r in G.mcl_grid(e, [2.0]).collect())
-    assert joined == dense == [(0, 0), (0, 1), (0, 2), (3, 3), (3, 4), (3, 5)]
-    assert sorted((r.cluster, r.ctg) for r in G.choose(e, 2.0).collect()) == dense
-
-
 def test_main_groups_and_recommendation(spark):
     rows = spark.createDataFrame([(1.0, k, n) for k, n in enumerate((100, 90, 80, 30, 5))], "run double, cluster int, len long")
     assert G.main_groups(rows, 0.75).first().main == 3
@@ -95,13 +87,6 @@ def test_allele_groups():
     assert all(len(g) <= 3 for g in G.allele_groups(clique, 3)) and set().union(*G.allele_groups(clique, 3)) == set(range(5))
 
 
-def test_reassignment():
-    contigs = [(0, 100, 11), (1, 90, 11), (2, 50, 6), (3, 40, 6)]
-    edges = [(0, 2, 10), (1, 2, 1), (1, 3, 8), (0, 3, 1)]
-    state, count = R.sequential_round(contigs, edges, {0: "x", 1: "y"}, R.Limits(ratio=1.5, ambiguity=0.9))
-    assert state == {0: "x", 1: "y", 2: "x", 3: "y"} and count["rescue"] == 2
-
-
 def test_average_linkage():
     d = np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0]], float)
     assert R.average_linkage(d, 2) == [[0, 1], [2, 3]]

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphweave.operators import clustering as M
 from graphweave.operators import graph as G
 from graphweave.operators import ordered as O
 
@@ -39,4 +40,4 @@ def test_interpret_rejects_as_read_clusters(spark):
         m = np.array([[float(x) for x in r] for r in case])
         long = spark.createDataFrame([(i, j, float(m[i, j])) for i, j in np.ndindex(m.shape) if m[i, j]] + [(99, j, 1.0) for j in range(len(m)) if not m[:, j].any()], "row long, col long, val double")
         found = G.read_clusters(m) or []
-        assert sorted((r.cluster, r.ctg) for r in G.interpret(long).collect()) == sorted((c[0], x) for c in found for x in c), case
+        assert sorted((r.cluster, r.ctg) for r in M.interpret(long, []).collect()) == sorted((c[0], x) for c in found for x in c), case

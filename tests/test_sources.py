@@ -4,7 +4,6 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from graphweave.sources import bam
 from graphweave.sources import formats as X
 
 
@@ -40,32 +39,6 @@ def test_pairs_and_sam(spark, tmp_path):
         X.sorting_order(spark.createDataFrame([("@HD\tVN:1\tSO:coordinate",)], "line string"))
 
 
-def bam_bytes(records, order="queryname"):
-    text = f"@HD\tVN:1.6\tSO:{order}\n".encode()
-    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 2)
-    for n in (b"c1\0", b"c2\0"):
-        out += struct.pack("<i", len(n)) + n + struct.pack("<i", 1000)
-    for name, flag, ref, pos, mref, mpos, nm in records:
-        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, 1, flag, 4, mref, mpos, 0) + name.encode() + b"\0" + struct.pack("<I", 4 << 4) + b"\x12\x48" + b"\xff" * 4 + b"NMC" + bytes([nm]) + b"XZZabc\0"
-        out += struct.pack("<i", len(body)) + body
-    blocks = b""
-    for k in range(0, len(out), 37):  # small blocks, so that records cross them
-        c = zlib.compressobj(6, zlib.DEFLATED, 31)
-        blocks += c.compress(out[k : k + 37]) + c.flush()
-    return blocks
-
-
-def test_bam(spark, tmp_path):
-    (tmp_path / "a.bam").write_bytes(bam_bytes([("r1", 65, 0, 9, 1, 69, 1), ("r1", 129, 1, 69, 0, 9, 3), ("r2", 65, 0, 4, 0, 8, 0)]))
-    bam.register(spark)
-    df = spark.read.format("bam").load(str(tmp_path / "a.bam"))
-    assert rows(df, "qname", "flag", "rname", "pos", "rnext", "nm") == [("r1", 65, "c1", 9, "c2", 1), ("r1", 129, "c2", 69, "c1", 3), ("r2", 65, "c1", 4, "c1", 0)]
-    assert spark.read.format("bam").option("inter_only", True).option("first_only", True).load(str(tmp_path / "a.bam")).count() == 1
-    (tmp_path / "b.bam").write_bytes(bam_bytes([], "coordinate"))
-    with pytest.raises(ValueError):
-        list(bam.read_records(str(tmp_path / "b.bam")))
-
-
 def test_groups_and_graphs(spark, tmp_path):
     g = X.read_clusters(spark, put(tmp_path / "c.txt", "#Group\tnContigs\tContigs\ng1\t2\ta b\ng2\t1\tc\n"))
     assert rows(g, "grp", "ctg") == [("g1", "a"), ("g1", "b"), ("g2", "c")]
