@@ -1,7 +1,8 @@
 """N-gram Jaccard join: an exact similarity join by blocked sparse matrix products.
 
 1. Every document becomes the set of its distinct 4-word shingles (64-bit
-   hashes).  Equal sets form a class with the smallest doc_id as representative.
+   hashes).  Equal sets form a class with the smallest doc_id as representative, if any
+   of its rows has one.
 2. Candidates.  If two sets reach the threshold, their overlap is at least o and
    at most d shingles differ.  In hash order each differing shingle breaks one
    run of common ones, so among the first (w - 1)(d + 1) + 1 common shingles
@@ -24,7 +25,8 @@ shingles are told apart by 64-bit hashes, sets by their size and 112 bits.
 Very long texts: whole, alone in their chunk.  Ties: the smallest doc_id names a
 component, and rows of equal doc_id keep their own sets.  Null text or no words: empty set, linked with nothing, its own component.  Fewer
 than 4 words: one shingle.  Repeated rows are linked copies.  Null doc_ids keep
-their row; an empty table gives no rows.  Other columns are ignored.
+their row and link others; a component of such rows alone has a null component_id.
+An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -389,13 +391,13 @@ def _bodies(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
 
 
 def _block_keys(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, id, keys): the block pairs that each class meets others in."""
+    """(a, b, named, id, keys): the block pairs that each class meets others in."""
     step = float(np.log(100 / percent))
     members = members.withColumn("bin", F.floor(F.log(F.col("n")) / step).cast("int"))
     per_bin = members.groupBy("cluster", "bin").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
     info = per_bin.withColumn("blocks", blocks).groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("of")).checkpoint()
-    rows = members.select("a", "b", "id", "bin", "cluster").join(info, "cluster")
+    rows = members.select("a", "b", "named", "id", "bin", "cluster").join(info, "cluster")
     row = F.struct
     mine = F.pmod(F.xxhash64("b"), F.col("of")[F.col("bin")]).cast("int")
     span = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -407,7 +409,7 @@ def _block_keys(members: DataFrame, percent: int) -> DataFrame:
     whole = F.array(row(name(F.lit("all")).alias("key"), F.lit(0).alias("side")))
     kind = "array<struct<key:string,side:int>>"
     keys = F.when((F.col("docs") <= BLOCK_DOCS) & (F.col("all_n") <= BLOCK_SHINGLES), whole.cast(kind)).otherwise(F.concat(same.cast(kind), up.cast(kind), down.cast(kind)))
-    return rows.withColumn("r", mine).select("a", "b", "id", keys.alias("keys"))
+    return rows.withColumn("r", mine).select("a", "b", "named", "id", keys.alias("keys"))
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,11 +427,14 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     roots = cluster.select(F.col("root").alias("a")).distinct().select("a", F.col("a").alias("cluster"))
     member = cluster.select(F.col("node").alias("a"), F.col("root").alias("cluster")).union(roots)
     # candidates go by the first signature; from here on a class is told apart by both, under a number of its own
-    members = member.join(classes, "a").where("rep is not null").select("a", "b", "n", "rep", "cluster", F.monotonically_increasing_id().alias("id")).checkpoint()
+    members = member.join(classes, "a").select("a", "b", "n", "rep", "cluster", F.col("rep").isNotNull().alias("named"), F.monotonically_increasing_id().alias("id")).checkpoint()
 
     place = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
-    bodies = _bodies(docs, k, _filter(members, n))
-    bodies.join(_block_keys(members, percent), ["a", "b"]).write.parquet(place)
+    wanted = _filter(members, n)
+    # a class's set comes from its representative; of a class whose rows all lack an id any row's does
+    named = _bodies(docs.where("doc_id is not null"), k, wanted).withColumn("named", F.lit(True))
+    nameless = _bodies(docs.where("doc_id is null"), k, wanted).dropDuplicates(["a", "b"]).withColumn("named", F.lit(False))
+    named.union(nameless).join(_block_keys(members, percent), ["a", "b", "named"]).write.parquet(place)
     blocks = spark.read.parquet(place).select("id", "body", F.explode("keys").alias("x")).select(F.col("x.key").alias("key"), F.col("x.side").alias("side"), "id", "body")
     links = _verify(blocks.repartition(n, "key").sortWithinPartitions("key"), percent)
     joined = components(links.checkpoint()).select(F.col("node").alias("id"), "root")

@@ -1,7 +1,8 @@
 """Language identification by prediction by partial matching (PPM) with frozen statistics.
 
 For every language a byte context tree of orders 0 to 3 is counted on a bounded
-sample of its labelled documents; texts are lower-cased first.  The statistics
+sample of its labelled documents; texts are lower-cased first, by the same function in
+training and in scoring.  The statistics
 are then frozen: a symbol seen n times in a context of total t with d distinct
 symbols costs -log2(n / (t + d)) bits, any other costs the escape
 -log2(d / (t + d)) and then its price in the next shorter context; an unseen
@@ -17,9 +18,9 @@ they grow with the sample and not with the alphabet.
 
 The sample bound: ``bytes_per_language`` (384 KiB) in expectation for each
 language, from whole documents picked by a hash of their id; only this sample
-reaches the driver.  Above ``LANGUAGES`` learned values the sample and the tables
-would not be bounded, so that is an error.  Labels of held-out rows, sources and
-ids never reach a prediction.
+reaches the driver.  Of more than ``languages`` (256) label values those with the most
+labelled bytes are learned (ties: by name), so sample and tables stay bounded.  Labels of
+held-out rows, sources and ids never reach a prediction.
 
 Null or letterless text (no character of a letter category): ``und`` with score 0.
 No labelled rows: all ``und``.  Empty table: no rows.  Very long texts: whole, alone in
@@ -49,17 +50,16 @@ def fold(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % m
 
 
-def sample(docs: DataFrame, bytes_per_language: int) -> dict[str, list[str]]:
-    """Whole labelled texts per language, about the stated number of bytes."""
+def sample(docs: DataFrame, bytes_per_language: int, languages: int = LANGUAGES) -> dict[str, list[str]]:
+    """Whole labelled texts per language, about the stated number of bytes, of the ``languages`` with the most labelled bytes."""
     rows = docs.where("text is not null and lang is not null")
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(LANGUAGES + 1).collect()}
+    by = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
+    total = {r["lang"]: r["n"] for r in by.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not total:
         return {}
-    if len(total) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, min(scale, math.ceil(scale * bytes_per_language / max(1, n))))])
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(scale)) < share[F.col("lang")])
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(scale)) < F.coalesce(share[F.col("lang")], F.lit(0)))
     out: dict[str, list[str]] = {k: [] for k in sorted(total)}
     for r in picked.select("lang", "text").orderBy("lang", "text").toLocalIterator():
         out[r["lang"]].append(r["text"])
@@ -71,7 +71,7 @@ def count(texts: dict[str, list[str]]) -> dict:
     grams = {}
     for lang, docs in texts.items():
         pad = bytes([PAD]) * ORDER
-        data = [pad + t.lower().encode() for t in docs]
+        data = [pad + t.encode() for t in pc.utf8_lower(pa.array(docs, pa.string())).to_pylist()]
         x = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
         own = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(d) - ORDER, bool)] for d in data])
         at = np.flatnonzero(own)
