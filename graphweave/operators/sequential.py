@@ -11,7 +11,8 @@ to the first contig that a pass changed is settled and isn't looked at again.  I
 worst case a pass settles one contig; mostly few contigs move and a handful of passes do.
 
 State is a row a contig; prefix sums go by group and block of turns, so neither a hot
-contig nor a hot group is one task's work.  Passes are checkpointed.
+contig nor a hot group is one task's work.  Each pass is a table
+of its own in the shared folder.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ordered
+from .tables import discard, written
 
 BLOCK = 4096  # turns of one prefix sum
 FINE = "decimal(38,18)"  # sums of densities that don't depend on the order of rows
@@ -39,18 +41,16 @@ def seen_links(edges: DataFrame, order: DataFrame) -> DataFrame:
     return both.join(mine, "ctg").join(theirs, "other").select("ctg", "turn", "len", "re_sites", "other", "links", (F.col("other_turn") < F.col("turn")).alias("earlier")).checkpoint()
 
 
-def versioned_sites(rows: DataFrame, moves: DataFrame, base: DataFrame) -> DataFrame:
+def versioned_sites(rows: DataFrame, moves: DataFrame, base: DataFrame, n_turns: int) -> DataFrame:
     """Adds ``sites``: those of the row's group just before its turn.
 
     rows: turn, grp; moves: turn, grp, change; base: grp, grp_sites before the first turn.
     """
     block = F.floor(F.col("turn") / BLOCK)
     by = moves.withColumn("block", block).groupBy("grp", "block").agg(F.sum("change").alias("change"))
-    last = rows.sparkSession.range(1).crossJoin(rows.agg(F.floor(F.max("turn") / BLOCK).alias("last"))).select("last")  # one row
     w = W.partitionBy("grp").orderBy("block")
-    kept = by.select("grp", (F.col("block") + 1).alias("first"), F.lead("block").over(w).alias("next"), F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("before"))
-    kept = kept.crossJoin(F.broadcast(last)).withColumn("to", F.coalesce("next", "last")).where("first <= to")
-    before = kept.select("grp", F.explode(F.sequence("first", "to")).alias("block"), "before")
+    kept = by.select("grp", (F.col("block") + 1).alias("first"), F.lead("block", 1, n_turns // BLOCK).over(w).alias("to"), F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("before"))
+    before = kept.where("first <= to").select("grp", F.explode(F.sequence("first", "to")).alias("block"), "before")
     own = rows.columns
     asked = rows.select(F.struct(*own).alias("row"), "grp", "turn", block.alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("change"))
     made = moves.select(F.lit(None).cast(asked.schema["row"].dataType).alias("row"), "grp", "turn", block.alias("block"), F.lit(1).alias("kind"), "change")
@@ -90,14 +90,15 @@ def one_round(order: DataFrame, links: DataFrame, state: DataFrame, limits, form
 
     order: from ``turns``; links: from ``seen_links``; state: (ctg, grp) of grouped contigs.
     """
-    guess = order.join(state.withColumnRenamed("grp", "own"), "ctg", "left").withColumn("grp", F.col("own")).checkpoint()
-    own = guess.select("ctg", "own")
+    guess = order.join(state.withColumnRenamed("grp", "own"), "ctg", "left").withColumn("grp", F.col("own"))
+    guess = written(guess, "guess")
+    own = written(guess.select("ctg", "own"), "own")
     base = guess.where("own is not null").groupBy(F.col("own").alias("grp")).agg((1 + F.sum(F.col("re_sites") - 1)).alias("grp_sites")).checkpoint()
-    n_groups = base.count()
+    n_groups, n_turns = base.count(), guess.count()
     row = ["ctg", "turn", "len", "re_sites", "own"]
     # links to groups as they were; a pass adds what its moves change in later contigs' links
     before = links.join(own.where("own is not null").select(F.col("ctg").alias("other"), F.col("own").alias("grp")), "other").groupBy("ctg", "turn", "len", "re_sites", "grp").agg(F.sum("links").alias("links"))
-    before = before.join(own, "ctg").select(*row, "grp", "links").checkpoint()
+    before = written(before.join(own, "ctg").select(*row, "grp", "links"), "links")
     settled = -1
     for k in range(1, most + 1):
         seen = before.where(F.col("turn") > settled)
@@ -109,15 +110,18 @@ def one_round(order: DataFrame, links: DataFrame, state: DataFrame, limits, form
             seen = seen.union(touched.select(*row, "c.grp", "c.links")).groupBy(*row, "grp").agg(F.sum("links").alias("links")).where("links > 0")
             sites = (F.col("re_sites") - 1).cast("long")
             moves = moved.where("own is not null").select("turn", F.col("own").alias("grp"), (-sites).alias("change")).union(moved.select("turn", "grp", sites.alias("change")))
-            dense = versioned_sites(seen, moves, base)
+            dense = versioned_sites(seen, moves, base, n_turns)
         else:
             dense = seen.join(base.withColumnRenamed("grp_sites", "sites"), "grp")
         found = decide(dense, limits, n_groups, formal).select("ctg", F.col("grp").alias("decided"), F.lit(True).alias("hit"))
         kept = F.when(F.col("turn") > settled, F.when(F.col("hit"), F.col("decided")).otherwise(F.col("own"))).otherwise(F.col("grp"))
-        new = guess.join(found, "ctg", "left").select(*row, kept.alias("grp"), (~kept.eqNullSafe(F.col("grp"))).alias("changed")).checkpoint()
+        new = written(guess.join(found, "ctg", "left").select(*row, kept.alias("grp"), (~kept.eqNullSafe(F.col("grp"))).alias("changed")), "guess")
         first, moved_now = new.agg(F.min(F.when(F.col("changed"), F.col("turn"))), F.count_if(~F.col("own").eqNullSafe(F.col("grp")))).first()
+        discard(guess)
         guess = new.drop("changed")
         if first is None:
+            discard(before)
+            discard(own)
             return guess.select("ctg", "own", "grp"), moved_now, k
         settled = first
     raise RuntimeError(f"reassignment did not settle in {most} passes")
