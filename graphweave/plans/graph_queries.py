@@ -224,7 +224,7 @@ def reassign_snapshot(spark, d):
 
 
 #: One contig a step: five rounds with moves, then one that only rescues.
-_SEQUENTIAL = sql("contacts", "contigs", "edges", "both", "groups").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+_TURNS = """,
 turns AS (SELECT ctg, len, re_sites, row_number() OVER (ORDER BY len DESC, ctg) - 1 AS turn, count(*) OVER () AS n FROM contigs),
 near AS MATERIALIZED (SELECT t.turn, b.v AS other, sum(b.w)::BIGINT AS w FROM both_ b JOIN turns t ON t.ctg = b.u GROUP BY 1, 2),
 st AS (
@@ -251,6 +251,7 @@ st AS (
             (SELECT * FROM st WHERE turn = step % n) m))))) d
   WHERE s.step < 6 * s.n)
 SELECT ctg, grp FROM st WHERE step = 6 * n AND grp IS NOT NULL"""
+_SEQUENTIAL = sql("contacts", "contigs", "edges", "both", "groups").replace("WITH ", "WITH RECURSIVE ", 1) + _TURNS
 
 
 @query(_SEQUENTIAL)
