@@ -13,11 +13,14 @@ gain is the log ratio of word rates, and a feature's weight is the log ratio of
 words inside and outside articles in elements that stand where both meet (their
 parents hold words of both kinds).  Few or no labelled words leave a feature near
 its usual weight: below 0 for menus, forms, adverts, notices or comments, above 0
-for articles, 0 for all that isn't listed.  Nothing is banned: labels outweigh it.
+for articles, 0 for all that isn't listed.  Labels outweigh that.  Wrappers don't count
+against what they hold (``freed``): the document and its body, what surrounds the main
+article, and compound names around most of a page.
 
 Where an element above 0 (``POSITIVE``) holds words, words outside of such elements
-score negative, at little cost for the region, so that several articles of a page
-are kept.  Elsewhere what surrounds a block decides whether the region reaches it.
+score negative, at a cost that no gap between articles can add up to a word's gain, so
+that all articles of a page are kept, and these names decide more than the scan does.
+Elsewhere what surrounds a block decides whether the region reaches it.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by one space.
@@ -52,7 +55,7 @@ KNOWN = INLINE | {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARTS = re.compile(r"[\s_-]+")
 #: Usual weights of tags and roles, and of parts of classes and ids; WEAK ones count for less beside other parts.
-USUAL = dict.fromkeys(["nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "input", "label", "datalist", "head", "=hidden"], -3.0)
+USUAL = dict.fromkeys(["nav", "footer", "aside", "form", "button", "select", "fieldset", "menu", "dialog", "input", "datalist", "head", "=hidden"], -3.0)
 USUAL |= dict.fromkeys(["=navigation", "=banner", "=contentinfo", "=complementary", "=search", "=form", "=alert", "=dialog", "=menu", "=menubar", "=toolbar", "=alertdialog"], -3.0)
 USUAL |= {"article": 2.0, "main": 2.0, "=main": 2.0, "=articlebody": 2.0, "header": -2.5, ".header": -2.5}
 USUAL |= dict.fromkeys(
@@ -62,6 +65,7 @@ USUAL |= dict.fromkeys(
 WEAK = dict.fromkeys([".notice", ".notices", ".alert", ".alerts", ".overlay", ".respond", ".reaction", ".reactions", ".share", ".sharing", ".social", ".related", ".recommend", ".recommended", ".recommendations", ".trending", ".search", ".side"], -2.5)
 PART = 0.3  # of a weak weight beside other parts
 POSITIVE = 1.0
+BETWEEN = 1e-9  # cost of words and tags between articles: less than any article's gain
 #: Labelled words that the usual weight of a feature counts for; features that are learned at most, those of the most words.
 FEATURE_PRIOR, FEATURES = 50, 20_000
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
@@ -246,32 +250,66 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
+def freed(parent: list[int], tags: list[str], found: list[list[str]], words: list[int], own: list[float]) -> set[int]:
+    """Elements whose weight doesn't count against what they hold.
+
+    The document and its body; what surrounds the largest positive element, if that has a third of the
+    page's words; and elements with half of the words that only parts of compound names weigh against,
+    such as ``has-sidebar`` or ``comments-open``.
+    """
+    out = {k for k, t in enumerate(tags) if t in ("html", "body")}
+    whole = words[0]
+    best = max((k for k, x in enumerate(own) if x >= POSITIVE and 3 * words[k] >= whole), key=lambda k: words[k], default=0)
+    while best:
+        best = parent[best]
+        out.add(best)
+    for k, x in enumerate(own):
+        if x < 0 and 2 * words[k] >= whole and all(f.endswith("+") or usual(f) >= 0 for f in found[k]):
+            out.add(k)
+    return out
+
+
 def scored(page: str, weight: dict[str, float]) -> tuple[list[tuple[str, str, bool]], list[float]]:
     """Events (kind, value, whether its words are text) and their scores."""
     gain = weight[""]
+    parent: list[int] = []
+    tags: list[str] = []
+    found: list[list[str]] = []
 
     def enter(outside, tag, rest):
-        """(worst weight around, text of a positive element, anywhere in one)"""
-        if outside is None:
-            return 0.0, False, False
-        worst, positive, within = outside
-        own = 0.0
-        for f in features(tag, rest):
-            if f not in ("header", ".header", ".header+") or not positive:  # an article's own header is part of it
-                own += weight[f] if f in weight else usual(f)
-        positive = worst > -gain and own > -gain and (positive or own >= POSITIVE)
-        return min(worst, own), positive, within or positive
+        parent.append(0 if outside is None else outside)
+        tags.append(tag)
+        found.append(features(tag, rest) if tag else [])
+        return len(parent) - 1
 
     events = list(flow(page, enter))
-    named = any(k == "w" and s[1] and v.strip() for k, v, s in events)
+    words = [0] * len(parent)
+    for kind, value, k in events:
+        if kind == "w":
+            words[k] += len(value.split())
+    for k in range(len(parent) - 1, 0, -1):  # children come after their parents
+        words[parent[k]] += words[k]
+    known = lambda f: weight[f] if f in weight else usual(f)
+    free = freed(parent, tags, found, words, [sum(map(known, x)) for x in found])
+    states = [(0.0, False, False)]  # worst weight around, text of a positive element, anywhere in one
+    for k in range(1, len(parent)):
+        worst, positive, within = states[parent[k]]
+        # an article's own header is part of it
+        own = sum(known(f) for f in found[k] if f not in ("header", ".header", ".header+") or not positive)
+        if own < 0 and k in free:
+            own = 0.0
+        positive = worst > -gain and own > -gain and (positive or own >= POSITIVE)
+        states.append((min(worst, own), positive, within or positive))
+    named = any(k == "w" and states[s][1] and v.strip() for k, v, s in events)
     out, scores = [], []
-    for kind, value, (worst, positive, within) in events:
+    for kind, value, k in events:
+        worst, positive, within = states[k]
         text = worst > -gain and (positive or not named)
         if kind == "w":
             n = len(value.split())
-            scores.append(n * (gain if named else gain + worst) if text else -n * min(gain, 0.1 - gain - worst) if not named else 0.0 if within else -0.01 * n)
+            scores.append(n * (gain if named else gain + worst) if text else -n * min(gain, 0.1 - gain - worst) if not named else 0.0 if within else -n * BETWEEN)
         elif kind == "t":
-            scores.append(-weight.get(f"<{value}", weight["<other"]) * (0.001 if within and named else 0.02 if named else 1.0))
+            scores.append(-weight.get(f"<{value}", weight["<other"]) * (1.0 if not named else 0.0 if within else BETWEEN))
         else:
             scores.append(0.0)
         out.append((kind, value, text))

@@ -94,3 +94,41 @@ def test_rows_without_an_id_link_others(spark):
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
     assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2)} == {1: 1, 2: 1}
+
+
+# ---------------------------------------------------------------- main text of pages
+
+BODY = " ".join(f"<p>Sentence {k} of the article has some words in it.</p>" for k in range(12))
+TEXT = " ".join(f"Sentence {k} of the article has some words in it." for k in range(12))
+PAGE = "<html{h}><body{b}>{w}<nav><a href=x>menu one two</a></nav><{a}>" + BODY + "</{a}><footer>footer words</footer>{v}</body></html>"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "comments-open", "nav-open", "with-menu", "no-footer has-sidebar", "single-post cookie-consent-shown", "sidebar"])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_names_of_wrappers_lose_nothing(name, article):
+    from graphweave.llm import html_extract as H
+
+    w = H.weights({})
+    of = lambda **x: H.extract_text(PAGE.format(**({"h": "", "b": "", "w": "", "v": "", "a": article} | x)), w)
+    assert of() == TEXT and of(h=f' class="{name}"') == TEXT and of(b=f' class="{name}"') == TEXT
+    if name != "sidebar" or article == "article":
+        assert of(w=f'<div class="{name}">', v="</div>") == TEXT
+
+
+def test_boilerplate_with_most_words_stays_out():
+    from graphweave.llm import html_extract as H
+
+    w = H.weights({})
+    menu = "<ul>" + "".join(f"<li>entry {k} of a very long menu</li>" for k in range(60)) + "</ul>"
+    assert H.extract_text(f"<body><nav>{menu}</nav><article>{BODY}</article></body>", w) == TEXT
+    assert H.extract_text(f'<body><div class="sidebar">{menu}</div><article>{BODY}</article></body>', w) == TEXT
+    assert H.extract_text(f"<body><nav>{menu}</nav></body>", w) == ""
+
+
+def test_labels_and_far_articles_are_kept():
+    from graphweave.llm import html_extract as H
+
+    w = H.weights({})
+    assert H.extract_text("<body><article><p>Choose <label>this word</label> now</p></article><form><label>Your name</label></form></body>", w) == "Choose this word now"
+    gap = "".join(f"<div>filler {k}</div>" for k in range(2000))
+    assert H.extract_text(f"<body><main>one two three four five</main>{gap}<main>six seven</main></body>", w) == "one two three four five six seven"
