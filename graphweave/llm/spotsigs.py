@@ -7,11 +7,9 @@ signatures, by a rule that looks at near words only.  A document's fingerprint i
 the set of the hashes of its signatures, sorted, in hexadecimal; a text of marks
 without any word has one, that of the whole text.
 
-``likeness`` is the Jaccard similarity of two fingerprints; with a least value, pairs whose
-sizes alone rule it out aren't compared.  ``near_pairs`` finds all pairs above such a value:
-equal fingerprints are one class; classes are partitioned by their size so that only
-neighbouring partitions can match; within these, classes meet on the rarest of their
-signatures (as many as a match can't miss), and the remaining ones are compared.
+``likeness`` is the Jaccard similarity of two fingerprints; with a least value, pairs whose set
+sizes alone rule it out aren't compared (0.0).  ``compare_edits`` sets every document beside its edited
+text and the next document; it looks at these pairs only and joins no others.
 
 Null text: empty; an empty text has an empty fingerprint, which is like another empty one
 (1.0) and unlike all others.  Very long texts are taken whole.  Equal texts have equal
