@@ -1,11 +1,9 @@
-"""Contig-to-group links, reassignment rounds and merging of groups."""
+"""Contig-to-group links, a round of reassignment on one snapshot, and tables of groups."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,41 +79,6 @@ def between_groups(edges: DataFrame, groups: DataFrame, sites: DataFrame) -> Dat
     return total.join(own("g", "sg"), "g").join(own("h", "sh"), "h").select("g", "h", "links", (F.col("links") / (F.col("sg") * F.col("sh"))).alias("density"))
 
 
-def average_linkage(distance: np.ndarray, groups: int) -> list[list[int]]:
-    """Merges the nearest clusters (average distance, least indices on a tie) until ``groups`` are left."""
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, members = np.ones(len(d)), [[k] for k in range(len(d))]
-    alive = np.ones(len(d), bool)
-    while alive.sum() > groups:
-        i, j = sorted(divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), len(d)))
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        size[i] += size[j]
-        members[i] += members[j]
-        alive[j] = False
-    return sorted(sorted(members[k]) for k in np.flatnonzero(alive))
-
-
-def merge_groups(density: DataFrame, names: DataFrame, groups: int) -> DataFrame:
-    """(grp, merged): average-linkage merging of groups down to ``groups`` (the table of groups is small: one task)."""
-    kind = dict(names.dtypes)["grp"]
-    rows = density.select(F.col("g").alias("a"), F.col("h").alias("b"), F.col("density").cast("double").alias("w")).union(names.select("grp", F.lit(None).cast(kind), F.lit(None).cast("double")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(pdf[pdf["b"].isna()]["a"])
-        at = {g: k for k, g in enumerate(own)}
-        d = np.zeros((len(own), len(own)))
-        links = pdf[pdf["b"].notna()]
-        for a, b, w in zip(links["a"], links["b"], links["w"], strict=True):
-            d[at[a], at[type(a)(b)]] = d[at[type(a)(b)], at[a]] = w
-        found = average_linkage(d.max() - d, groups)
-        return pd.DataFrame([(own[x], own[c[0]]) for c in found for x in c], columns=["grp", "merged"])
-
-    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"grp {kind}, merged {kind}")
-
-
 def rename_groups(groups: DataFrame, contigs: DataFrame) -> DataFrame:
     """(grp, name, n_ctg, len): groups ranked by length, named group<rank>_<length>bp."""
     total = groups.join(contigs.select("ctg", "len"), "ctg").groupBy("grp").agg(F.count("*").alias("n_ctg"), F.sum("len").cast("long").alias("len"))

@@ -11,6 +11,7 @@ from graphweave.operators import consensus as K
 from graphweave.operators import contacts as C
 from graphweave.operators import filters as L
 from graphweave.operators import graph as G
+from graphweave.operators import linkage as H
 from graphweave.operators import reassign as R
 from graphweave.operators import sequential as S
 
@@ -273,10 +274,23 @@ def group_pair_density(spark, d):
     return _between(spark, d).withColumn("density", F.round("density", 12))
 
 
-@query()
+_HAC = _BETWEEN.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+st AS (
+  SELECT 0 AS step, 0 AS kind, g AS a, h AS b, links / (s.grp_sites * t.grp_sites) AS s, (SELECT count(DISTINCT grp) FROM groups_) AS n FROM bg JOIN sites s ON s.grp = g JOIN sites t ON t.grp = h
+  UNION ALL SELECT DISTINCT 0, 1, grp, grp, 0.0, (SELECT count(DISTINCT grp) FROM groups_) FROM groups_
+  UNION ALL
+  SELECT step + 1, kind, CASE WHEN kind = 0 THEN least(x, y) ELSE a END, CASE WHEN kind = 0 THEN greatest(x, y) ELSE y END, sum(s), any_value(n)
+  FROM (SELECT st.*, CASE WHEN a = p.other THEN p.own ELSE a END AS x, CASE WHEN b = p.other THEN p.own ELSE b END AS y FROM st, (
+    SELECT a AS own, b AS other FROM st JOIN (SELECT b AS a, count(*) AS na FROM st WHERE kind = 1 GROUP BY 1) USING (a) JOIN (SELECT b, count(*) AS nb FROM st WHERE kind = 1 GROUP BY 1) USING (b)
+    WHERE kind = 0 ORDER BY s / (na * nb) DESC, a, b LIMIT 1) p)
+  WHERE step < n - 8 AND (kind = 1 OR x <> y) GROUP BY 1, 2, 3, 4)
+SELECT a AS grp, b AS merged FROM st WHERE kind = 1 AND step = greatest(n - 8, 0)"""
+
+
+@query(_HAC)
 def hac_merge(spark, d):
     """Average-linkage merging of the groups down to eight."""
-    return R.merge_groups(_between(spark, d), P.groups(spark, d).select("grp").distinct(), 8)
+    return H.merge_groups(_between(_checkpointed(spark), d), P.groups(spark, d).select("grp"), 8)
 
 
 @query(sql("contigs", "groups") + " SELECT grp, count(*) AS n_ctg, sum(len)::BIGINT AS len, (1 + sum(CASE WHEN ctg % 3 = 0 THEN re_sites - 1 ELSE 0 END))::BIGINT AS sites FROM groups_ JOIN contigs USING (ctg) GROUP BY 1")

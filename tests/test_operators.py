@@ -87,11 +87,6 @@ def test_allele_groups():
     assert all(len(g) <= 3 for g in G.allele_groups(clique, 3)) and set().union(*G.allele_groups(clique, 3)) == set(range(5))
 
 
-def test_average_linkage():
-    d = np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0]], float)
-    assert R.average_linkage(d, 2) == [[0, 1], [2, 3]]
-
-
 def test_consensus():
     m = {"a": {"A": frozenset({1, 2, 3}), "B": frozenset({4, 5})}, "x": {"X": frozenset({1, 2}), "Y": frozenset({3, 4, 5})}}
     tuples, left = K.greedy_tuples(m)
