@@ -15,8 +15,11 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return common.join(na, "a_class").join(nb, "b_class").select("a_class", "b_class", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
 
 
-def greedy_tuples(methods: dict[str, dict[str, frozenset]]) -> tuple[list[dict], list[tuple]]:
-    """Tuples of one class per method, each time that of the largest common set; what is left over, keyed by method and class."""
+def greedy_tuples(methods: dict[str, dict[str, frozenset]], size=len) -> tuple[list[dict], list[tuple]]:
+    """Tuples of one class per method, each time that of the largest common set; what is left over, keyed by method and class.
+
+    size: of a set of members.
+    """
     names = list(methods)
     free = {m: dict(sorted(methods[m].items())) for m in names}
     out = []
@@ -25,13 +28,13 @@ def greedy_tuples(methods: dict[str, dict[str, frozenset]]) -> tuple[list[dict],
         for first, own in free[names[0]].items():
             chain, common = [first], own
             for m in names[1:]:
-                pick = max(free[m], key=lambda c: len(common & free[m][c]), default=None) if free[m] else None
+                pick = max(free[m], key=lambda c: size(common & free[m][c]), default=None) if free[m] else None
                 if pick is None:
                     break
                 chain.append(pick)
                 common = common & free[m][pick]
-            if len(chain) == len(names) and (best is None or len(common) > len(best[1])):
-                best = (chain, common)
+            if len(chain) == len(names) and (best is None or size(common) > best[2]):
+                best = (chain, common, size(common))
         if best is None:
             break
         sets = [free[m].pop(c) for m, c in zip(names, best[0], strict=True)]
@@ -43,11 +46,11 @@ def greedy_tuples(methods: dict[str, dict[str, frozenset]]) -> tuple[list[dict],
     return out, [(m, c, s) for m in names for c, s in free[m].items()]
 
 
-def merge_similar(sets: list[frozenset], threshold: float = 0.5) -> list[frozenset]:
+def merge_similar(sets: list[frozenset], threshold: float = 0.5, size=len) -> list[frozenset]:
     """The most similar pair becomes its intersection while its Jaccard index reaches the threshold."""
     sets = [s for s in sets if s]
     while len(sets) > 1:
-        pairs = [(len(a & b) / len(a | b), -i, -j) for i, a in enumerate(sets) for j, b in enumerate(sets[i + 1 :], i + 1) if a & b]
+        pairs = [(size(a & b) / size(a | b), -i, -j) for i, a in enumerate(sets) for j, b in enumerate(sets[i + 1 :], i + 1) if a & b]
         if not pairs or max(pairs)[0] < threshold:
             break
         _, i, j = max(pairs)
@@ -56,41 +59,62 @@ def merge_similar(sets: list[frozenset], threshold: float = 0.5) -> list[frozens
     return sets
 
 
-def cover(sets: list[frozenset], taken: set) -> list[frozenset]:
+def cover(sets: list[frozenset], taken: set, size=len) -> list[frozenset]:
     """By size, what each set has beyond those before it."""
     out, seen = [], set(taken)
-    for s in sorted(sets, key=lambda s: (-len(s), sorted(s))):
+    for s in sorted(sets, key=lambda s: (-size(s), sorted(s))):
         if rest := s - seen:
             out.append(frozenset(rest))
             seen |= rest
     return out
 
 
+def agreed(methods: dict[str, dict[str, frozenset]], threshold: float = 0.5, size=len) -> list[tuple]:
+    """(group, member): majority sets of the greedy tuples, then groups of what is left until every member is covered."""
+    tuples, left = greedy_tuples(methods, size)
+    rows, taken, pool = [], set(), [s for _, _, s in left]
+    for k, t in enumerate(tuples):
+        own = t["majority"] - taken
+        if not own:
+            pool += [methods[m][c] for m, c in t["classes"].items()]
+        taken |= own
+        rows += [(f"g{k:04d}", x) for x in own]
+    for k, s in enumerate(cover([*merge_similar(pool, threshold, size), *pool, *[s for m in methods.values() for s in m.values()]], taken, size)):
+        rows += [(f"r{k:04d}", x) for x in s]
+    return sorted(rows)
+
+
+def cells(groupings: DataFrame) -> DataFrame:
+    """(element, cell): elements that all methods put into the same classes share a cell, named by its least element.
+
+    groupings: method, class, element.
+    """
+    own = groupings.groupBy("element").agg(F.array_sort(F.collect_set(F.struct("method", "class"))).alias("key"))
+    names = own.groupBy("key").agg(F.min("element").alias("cell"))
+    return own.join(names, "key").select("element", "cell")
+
+
 def consensus(groupings: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(grp, element): majority sets of the greedy tuples, then groups of what is left until every element is covered.
 
-    groupings: method, class, element; the table of classes goes to one task.
+    groupings: method, class, element.  Only cells reach the task that decides: one row for each combination of
+    classes that occurs, with the number of its elements; the elements are joined back to its result.
     """
     kind = dict(groupings.dtypes)["element"]
+    of = cells(groupings).checkpoint()
+    size = of.groupBy("cell").agg(F.count("*").alias("n"))
+    named = groupings.join(size.select(F.col("cell").alias("element"), "n"), "element").select("method", "class", F.col("element").alias("cell"), "n").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         methods: dict = {}
-        for m, c, x in zip(pdf["method"], pdf["class"], pdf["element"], strict=True):
+        for m, c, x in zip(pdf["method"], pdf["class"], pdf["cell"], strict=True):
             methods.setdefault(m, {}).setdefault(c, set()).add(x)
         methods = {m: {c: frozenset(s) for c, s in methods[m].items()} for m in sorted(methods)}
-        tuples, left = greedy_tuples(methods)
-        rows, taken, pool = [], set(), [s for _, _, s in left]
-        for k, t in enumerate(tuples):
-            own = t["majority"] - taken
-            if not own:
-                pool += [methods[m][c] for m, c in t["classes"].items()]
-            taken |= own
-            rows += [(f"g{k:04d}", x) for x in own]
-        for k, s in enumerate(cover([*merge_similar(pool, threshold), *pool, *[s for m in methods.values() for s in m.values()]], taken)):
-            rows += [(f"r{k:04d}", x) for x in s]
-        return pd.DataFrame(sorted(rows), columns=["grp", "element"])
-
-    return groupings.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"grp string, element {kind}")
+        weight = dict(zip(pdf["cell"], pdf["n"], strict=True))
+        return pd.DataFrame(agreed(methods, threshold, lambda s: sum(weight[x] for x in s)), columns=["grp", "cell"])
+
+    chosen = named.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"grp string, cell {kind}")
+    return of.join(chosen, "cell").select("grp", "element")
 
 
 def majority_elements(groupings: DataFrame, n_methods: int) -> DataFrame:

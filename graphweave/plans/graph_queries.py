@@ -358,7 +358,7 @@ def leftover_assign(spark, d):
 
 @query()
 def consensus_greedy(spark, d):
-    return K.consensus(_methods(spark, d))
+    return K.consensus(_methods(_checkpointed(spark), d))
 
 
 @query(_METHODS + ", n AS (SELECT method, class, count(*) AS n FROM m GROUP BY 1, 2) SELECT a.method AS ma, b.method AS mb, a.class AS ca, b.class AS cb, count(*) AS common, round(count(*) / (max(na.n) + max(nb.n) - count(*)), 9) AS jaccard FROM m a JOIN m b ON a.element = b.element AND a.method < b.method JOIN n na ON na.method = a.method AND na.class = a.class JOIN n nb ON nb.method = b.method AND nb.class = b.class GROUP BY 1, 2, 3, 4")
