@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,11 +45,45 @@ def half_edges(rich: DataFrame) -> DataFrame:
     return rich.where("i <> j").groupBy("i", half(F.col("x"), F.col("li")).alias("i_end"), "j", half(F.col("y"), F.col("lj")).alias("j_end")).agg(F.count("*").alias("links"))
 
 
-def distance_lists(rich: DataFrame, least: int = 2) -> DataFrame:
-    """Sorted distances per pair and orientation, each twice, of pairs with ``least`` contacts."""
+def distance_runs(rich: DataFrame) -> DataFrame:
+    """(i, j, ori, dist, times): how often each distance occurs, per pair and orientation; counts combine before they move."""
     rows = rich.where("i <> j").select("i", "j", F.inline(orientation_distances(F.col("x") - 1, F.col("y") - 1, F.col("li"), F.col("lj"))))
-    found = rows.groupBy("i", "j", "ori").agg(F.array_sort(F.collect_list("dist")).alias("d")).where(F.size("d") >= least)
-    return found.select("i", "j", "ori", (2 * F.size("d")).cast("long").alias("n"), F.flatten(F.transform("d", lambda v: F.array(v, v))).alias("d"))
+    return rows.groupBy("i", "j", "ori", "dist").agg(F.count("*").alias("times"))
+
+
+def distance_lines(runs: DataFrame, least: int = 2) -> DataFrame:
+    """(i, j, ori, n, line): sorted distances, each twice, of pairs with ``least`` contacts.
+
+    Runs are sorted inside partitions and read through once, so a pair is never gathered; only the
+    text of its own line is held.
+    """
+    kinds = dict(runs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, n, parts, out = None, 0, [], []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["i", "j", "ori", "n", "line"])
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in ("i", "j", "ori")] + [pa.int64(), pa.string()]
+            for i, j, ori, dist, times in zip(*[b[c].to_pylist() for c in ("i", "j", "ori", "dist", "times")], strict=True):
+                if key != (i, j, ori):
+                    if n >= least:
+                        out.append((*key, 2 * n, "".join(parts)[:-1]))
+                    key, n, parts = (i, j, ori), 0, []
+                n += times
+                parts.append(f"{dist} " * (2 * times))
+            if out:
+                yield batch()
+        if n >= least:
+            out.append((*key, 2 * n, "".join(parts)[:-1]))
+            yield batch()
+
+    dealt = runs.select("i", "j", "ori", "dist", "times").repartition("i", "j", "ori").sortWithinPartitions("i", "j", "ori", "dist")
+    return dealt.mapInArrow(run, f"i {kinds['i']}, j {kinds['j']}, ori string, n long, line string")
 
 
 def fragment_edges(rich: DataFrame, size: int) -> DataFrame:
@@ -55,6 +92,24 @@ def fragment_edges(rich: DataFrame, size: int) -> DataFrame:
     return rows.where("i <> j or bi <> bj").groupBy("i", "bi", "j", "bj").agg(F.count("*").alias("links"))
 
 
+def cells(rich: DataFrame, flank: int, size: int) -> DataFrame:
+    """(i, j, i_end, j_end, near, bi, bj, links): contacts by all that the aggregates tell apart, in one pass and one exchange."""
+    near = is_flank(F.col("x"), F.col("li"), flank) & is_flank(F.col("y"), F.col("lj"), flank)
+    rows = rich.select("i", "j", half(F.col("x"), F.col("li")).alias("i_end"), half(F.col("y"), F.col("lj")).alias("j_end"), near.alias("near"), bin_number(F.col("x"), size).alias("bi"), bin_number(F.col("y"), size).alias("bj"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("links"))
+
+
+def aggregates(found: DataFrame) -> dict[str, DataFrame]:
+    """Edges, flank edges, degrees, half edges and fragment edges from ``cells`` (best written first: all five read it)."""
+    total = lambda rows, *by: rows.groupBy(*by).agg(F.sum("links").alias("links"))
+    between = found.where("i <> j")
+    edges = total(between, "i", "j")
+    return {
+        "edges": edges, "flank": total(between.where("near"), "i", "j"), "degree": node_degree(edges),
+        "halves": total(between, "i", "i_end", "j", "j_end"), "fragments": total(found.where("i <> j or bi <> bj"), "i", "bi", "j", "bj"),
+    }
+
+
 def first_per_pair(contacts: DataFrame, order: list[str], most: int = 200) -> DataFrame:
     """The first ``most`` contacts of each pair in arrival order."""
     return contacts.withColumn("rank", F.row_number().over(W.partitionBy("i", "j").orderBy(*order))).where(F.col("rank") <= most)

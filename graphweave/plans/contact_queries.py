@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions import sequence as S
 from graphweave.operators import contacts as C
 from graphweave.operators import filters as L
+from graphweave.operators.tables import written
 
 from . import proxies as P
 from .book import Book
@@ -52,8 +53,30 @@ def ht_links(spark, d):
 @query(sql("contacts") + """, o AS (SELECT i, j, unnest([{'o': '++', 'd': 50 - (x - 1) + (y - 1)}, {'o': '+-', 'd': 50 - (x - 1) + 50 - (y - 1)}, {'o': '-+', 'd': (x - 1) + (y - 1)}, {'o': '--', 'd': (x - 1) + 50 - (y - 1)}]) AS r FROM contacts)
 SELECT i, j, r.o AS ori, 2 * count(*) AS n, string_agg(r.d || ' ' || r.d, ' ' ORDER BY r.d) AS line FROM o GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def clm_distances(spark, d):
-    out = C.distance_lists(P.rich(spark, d))
-    return out.select("i", "j", "ori", "n", F.array_join(F.transform("d", lambda v: v.cast("string")), " ").alias("line"))
+    return C.distance_lines(C.distance_runs(P.rich(spark, d)))
+
+
+_TAGGED = sql("contacts") + """, t AS (SELECT i, j, CASE WHEN 2 * x > 50 THEN 'T' ELSE 'H' END || CASE WHEN 2 * y > 50 THEN 'T' ELSE 'H' END AS ends, (x <= 10 OR x > 40) AND (y <= 10 OR y > 40) AS near, CAST(ceil(x / 10) AS BIGINT) || '/' || CAST(ceil(y / 10) AS BIGINT) AS bins FROM contacts)
+SELECT 'edges' AS kind, i, j, '' AS part, count(*) AS links FROM t GROUP BY 2, 3
+UNION ALL SELECT 'flank', i, j, '', count(*) FROM t WHERE near GROUP BY 2, 3
+UNION ALL SELECT 'degree', n, NULL, '', count(*) FROM (SELECT unnest([i, j]) AS n FROM t) GROUP BY 2
+UNION ALL SELECT 'halves', i, j, ends, count(*) FROM t GROUP BY 2, 3, 4
+UNION ALL SELECT 'fragments', i, j, bins, count(*) FROM t GROUP BY 2, 3, 4"""
+
+
+@query(_TAGGED)
+def contact_aggregates(spark, d):
+    """Five aggregates from one pass over the contacts."""
+    P.checkpoints(spark)
+    found = C.aggregates(written(C.cells(P.rich(spark, d), 10, 10), "cells"))
+    text = lambda *c: F.concat(*[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
+    parts = {"halves": text("i_end", "j_end"), "fragments": text("bi", F.lit("/"), "bj")}
+    out = None
+    for kind, rows in found.items():
+        ends = [F.col("ctg").alias("i"), F.lit(None).cast("long").alias("j"), F.lit("").alias("part"), F.col("degree").alias("links")] if kind == "degree" else ["i", "j", parts.get(kind, F.lit("")).alias("part"), "links"]
+        part = rows.select(F.lit(kind).alias("kind"), *ends)
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query(sql("contacts") + " SELECT i, CAST(ceil(x / 10) AS BIGINT) AS bi, j, CAST(ceil(y / 10) AS BIGINT) AS bj, count(*) AS links FROM contacts GROUP BY 1, 2, 3, 4")

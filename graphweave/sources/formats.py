@@ -205,10 +205,10 @@ def read_clm(spark: SparkSession, path) -> DataFrame:
     return _lines(spark, path).where("trim(line) <> ''").select(name(p[0]).alias("i"), name(p[1]).alias("j"), F.concat(sign(p[0]), sign(p[1])).alias("ori"), c[1].cast("long").alias("n"), F.transform(F.split(F.trim(c[2]), WHITE), lambda v: v.cast("long")).alias("d"))
 
 
-def write_clm(distances: DataFrame, path: str) -> None:
-    """One line per pair and orientation."""
+def write_clm(lines: DataFrame, path: str) -> None:
+    """One line per pair and orientation.  lines: i, j, ori, n, line (the distances as text)."""
     left = F.concat(F.col("i").cast("string"), F.substring("ori", 1, 1), F.lit(" "), F.col("j").cast("string"), F.substring("ori", 2, 1))
-    distances.select(F.concat_ws("\t", left, F.col("n").cast("string"), F.array_join(F.transform("d", lambda v: v.cast("string")), " ")).alias("value")).write.text(path)
+    lines.select(F.concat_ws("\t", left, F.col("n").cast("string"), "line").alias("value")).write.text(path)
 
 
 # ------------------------------------------------------------ tours and scaffolds

@@ -24,6 +24,19 @@ def test_concordance_and_aggregates(spark):
     assert [tuple(r) for r in C.edge_counts(C.canonical(raw)).collect()] == [("a", "b", 2)]
 
 
+def test_distances_of_hot_and_thin_pairs(spark):
+    """A pair with most contacts, pairs below the least number, and one whose name follows another's."""
+    rows = [("a", "b", 1 + k % 40, 1 + k % 7) for k in range(5000)] + [("a", "c", 3, 4), ("b", "c", 5, 5), ("b", "c", 6, 9)]
+    rich = spark.createDataFrame(rows, "i string, j string, x long, y long").withColumn("li", F.lit(50).cast("long")).withColumn("lj", F.lit(60).cast("long"))
+    got = {(r.i, r.j, r.ori): (r.n, r.line) for r in C.distance_lines(C.distance_runs(rich)).collect()}
+    want: dict = {}
+    for i, j, x, y in rows:
+        for ori, d in (("++", 50 - (x - 1) + y - 1), ("+-", 50 - (x - 1) + 60 - (y - 1)), ("-+", x - 1 + y - 1), ("--", x - 1 + 60 - (y - 1))):
+            want.setdefault((i, j, ori), []).append(d)
+    assert got == {k: (2 * len(v), " ".join(f"{d} {d}" for d in sorted(v))) for k, v in want.items() if len(v) > 1}
+    assert C.distance_lines(C.distance_runs(rich.limit(0))).count() == 0
+
+
 def test_nx_select(spark):
     nodes = spark.createDataFrame([(k, n) for k, n in enumerate((50, 30, 15, 5))], "ctg int, len long")
     assert sorted(r.len for r in L.nx_select(nodes, 80).collect()) == [30, 50]

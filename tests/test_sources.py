@@ -56,7 +56,7 @@ def test_groups_and_graphs(spark, tmp_path):
 
 
 def test_clm(spark, tmp_path):
-    d = spark.createDataFrame([("a", "b", "+-", 4, [1, 1, 7, 7])], "i string, j string, ori string, n long, d array<long>")
+    d = spark.createDataFrame([("a", "b", "+-", 4, "1 1 7 7")], "i string, j string, ori string, n long, line string")
     X.write_clm(d, str(tmp_path / "clm"))
     assert [tuple(r) for r in X.read_clm(spark, str(tmp_path / "clm")).collect()] == [("a", "b", "+-", 4, [1, 1, 7, 7])]
 
