@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -297,11 +299,64 @@ def edge_support(tours: DataFrame) -> DataFrame:
     return tour_edges(tours).groupBy("grp", "a", "b").agg(F.countDistinct("tour").alias("support"))
 
 
+def inversions(values: np.ndarray) -> int:
+    """Pairs whose earlier value is the larger one, bit by bit of the ranks: n log n."""
+    n = len(values)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(values, kind="stable")] = np.arange(n)
+    total = 0
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        # ranks that agree in all higher bits stand together, in their first order
+        one = (rank >> bit & 1).astype(np.int64)
+        head = np.flatnonzero(np.diff(rank >> (bit + 1), prepend=-1))
+        ones = np.cumsum(one) - one
+        before = ones - np.repeat(ones[head], np.diff(np.append(head, n)))
+        total += int(before[one == 0].sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
 def similarity_to_base(tours: DataFrame, base: DataFrame) -> DataFrame:
-    """(grp, tour, forward, backward): shares of common pairs in the base's order and against it."""
+    """(grp, tour, forward, backward): shares of common pairs in the base's order and against it.
+
+    Each tour is read in the base's order from a sorted partition and its inversions are counted;
+    pairs are never listed.
+    """
     both = tours.select("grp", "tour", "ctg", "pos").join(base.select("grp", "ctg", F.col("pos").alias("at")), ["grp", "ctg"])
-    pairs = both.alias("p").join(both.select("grp", "tour", F.col("pos").alias("pos2"), F.col("at").alias("at2")), ["grp", "tour"]).where("at < at2")
-    return pairs.groupBy("grp", "tour").agg(F.avg((F.col("pos") < F.col("pos2")).cast("double")).alias("forward"), F.avg((F.col("pos") > F.col("pos2")).cast("double")).alias("backward"))
+    kinds = dict(both.dtypes)
+
+    def shares(at: np.ndarray, pos: np.ndarray) -> tuple[float, float] | None:
+        tied = lambda *x: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(x), axis=1, return_counts=True)[1])
+        total = len(at) * (len(at) - 1) // 2 - tied(at)
+        back = inversions(pos)
+        return ((total - back - tied(pos) + tied(at, pos)) / total, back / total) if total else None
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, held = None, []
+        for batch in batches:
+            grp, tour = batch["grp"].to_pylist(), batch["tour"].to_pylist()
+            at, pos = (batch[c].to_numpy(zero_copy_only=False) for c in ("at", "pos"))
+            cut = [k for k in range(1, len(grp)) if grp[k] != grp[k - 1] or tour[k] != tour[k - 1]]
+            out = []
+            for a, b in zip([0, *cut], [*cut, len(grp)], strict=True):
+                if a == b:
+                    continue
+                if key is not None and key != (grp[a], tour[a]):
+                    out.append((key, shares(*map(np.concatenate, zip(*held, strict=True)))))
+                    held = []
+                key = (grp[a], tour[a])
+                held.append((at[a:b], pos[a:b]))
+            types = [batch.schema.field(c).type for c in ("grp", "tour")]
+            if rows := [(*k, *v) for k, v in out if v]:
+                yield as_batch(rows, types)
+        if key is not None and (v := shares(*map(np.concatenate, zip(*held, strict=True)))):
+            yield as_batch([(*key, *v)], types)
+
+    def as_batch(rows: list, types: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types, pa.float64(), pa.float64()], strict=True)], ["grp", "tour", "forward", "backward"])
+
+    dealt = both.select("grp", "tour", "at", "pos").repartition("grp", "tour").sortWithinPartitions("grp", "tour", "at", "pos")
+    return dealt.mapInArrow(run, f"grp {kinds['grp']}, tour {kinds['tour']}, forward double, backward double")
 
 
 def align_to_base(tours: DataFrame, base: DataFrame) -> DataFrame:

@@ -180,3 +180,29 @@ def test_scaffold_categories_part_everything(spark):
     got = {r.ctg: r.category for r in V.scaffold_categories(placed).collect()}
     assert set(got) == {r[2] for r in rows} and set(got.values()) <= set(V.CATEGORIES)
     assert got["d"] == "newly_anchored" and got["e"] == "unanchored" and got["c1"] == "syntenic" and got["c4"] == "inversion"
+
+
+def test_inversions_and_similarity(spark):
+    import random
+
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 17, 64, 65):
+        v = [rng.randrange(n) for _ in range(n)]
+        assert O.inversions(np.array(v, np.int64)) == sum(v[i] > v[j] for i in range(n) for j in range(i + 1, n))
+    large = np.array([rng.random() for _ in range(100_000)])
+    assert O.inversions(large) + O.inversions(large[::-1]) == 100_000 * 99_999 // 2
+    tours, base = [], []
+    for g in range(4):
+        names = [f"c{k}" for k in range(3 * g + 1)]
+        base += [(g, c, k) for k, c in enumerate(rng.sample(names, len(names)))]
+        for t in "ab":
+            own = rng.sample(names, max(1, len(names) - g))
+            tours += [(g, t, k, c, "+") for k, c in enumerate(own)]
+    got = {(r.grp, r.tour): (r.forward, r.backward) for r in O.similarity_to_base(spark.createDataFrame(tours, "grp long, tour string, pos long, ctg string, orient string"), spark.createDataFrame(base, "grp long, ctg string, pos long")).collect()}
+    for g in range(4):
+        at = {c: k for h, c, k in base if h == g}
+        for t in "ab":
+            own = [(at[c], p) for h, u, p, c, _ in tours if (h, u) == (g, t)]
+            pairs = [(p, q) for a, p in own for b, q in own if a < b]
+            want = (sum(p < q for p, q in pairs) / len(pairs), sum(p > q for p, q in pairs) / len(pairs)) if pairs else None
+            assert got.get((g, t)) == want
