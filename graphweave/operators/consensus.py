@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import matching
+
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_class, b_class, common, jaccard) of classes that share elements: an equi-join on the element.  Inputs: class, element."""
@@ -164,6 +167,47 @@ def pick_best(rows: list[tuple]) -> list[tuple]:
     return best[1]
 
 
+def relaxed(rows: list[tuple], rounds: int = 300) -> tuple[list[tuple], float]:
+    """Disjoint triplets of (a, b, c, common), and an upper bound of what any choice can total.
+
+    The rule that each c is used once is priced instead of enforced; what is left is an assignment
+    of a to b.  Prices follow the subgradient; each assignment's pairs are then assigned to the
+    classes c, which gives a valid choice.  The choice is optimal where it comes within 1 of the bound.
+    """
+    if not rows:
+        return [], 0.0
+    names = [sorted({r[k] for r in rows}) for k in range(3)]
+    at = [{x: n for n, x in enumerate(own)} for own in names]
+    i, j, k = (np.array([at[p][r[p]] for r in rows]) for p in range(3))
+    w = np.array([float(r[3]) for r in rows])
+    whole = np.zeros([len(own) for own in names])
+    whole[i, j, k] = w
+    chosen = pick_greedily(rows)
+    best, bound, price, pace = float(sum(r[3] for r in chosen)), np.inf, np.zeros(len(names[2])), 1.0
+    for n in range(rounds):
+        value = np.zeros(whole.shape[:2])
+        np.maximum.at(value, (i, j), w - price[k])
+        pairs = [(x, y) for x, y in matching(value) if value[x, y] > 0]
+        now = sum(value[x, y] for x, y in pairs) + price.sum()
+        pace *= 0.9 if now >= bound - 1e-9 and n % 5 == 4 else 1.0
+        bound = min(bound, now)
+        if pairs:
+            own = np.array([whole[x, y] for x, y in pairs])
+            kept = [(pairs[p], z) for p, z in matching(own) if own[p, z] > 0]
+            total = sum(whole[x, y, z] for (x, y), z in kept)
+            if total > best:
+                best, chosen = total, [(names[0][x], names[1][y], names[2][z], int(whole[x, y, z])) for (x, y), z in kept]
+        if bound < best + 1 - 1e-9:
+            break
+        used = np.bincount([int(np.argmax(whole[x, y] - price - 1e9 * (whole[x, y] == 0))) for x, y in pairs], minlength=len(price)) if pairs else np.zeros(len(price))
+        slope = 1 - used
+        slope[(price == 0) & (slope > 0)] = 0
+        if not slope.any():
+            break
+        price = np.maximum(0, price - pace * max(now - best, 1.0) / (slope @ slope) * slope)
+    return sorted(chosen), bound
+
+
 def _picked(triples: DataFrame, pick) -> DataFrame:
     schema = triples.schema
 
@@ -179,6 +223,22 @@ def greedy_triplets(triples: DataFrame) -> DataFrame:
     return _picked(triples, pick_greedily)
 
 
-def best_triplets(triples: DataFrame) -> DataFrame:
-    """The exact choice, for few classes: its time grows with the permutations in the worst case."""
-    return _picked(triples, pick_best)
+def best_triplets(triples: DataFrame, searched: int = 6) -> DataFrame:
+    """(a, b, c, common, bound): disjoint triplets of the largest total, and a bound that no choice exceeds.
+
+    The relaxed problem mostly proves its own choice (the whole part of the bound is the total); where it
+    doesn't and a grouping has ``searched`` classes at most, branch and bound decides.
+    The table of triples of classes goes to one task.
+    """
+    kinds = ", ".join(f"{c} {k}" for c, k in triples.select("a", "b", "c", "common").dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(*(pdf[x].tolist() for x in ("a", "b", "c", "common")), strict=True))
+        chosen, bound = relaxed(rows)
+        total = sum(r[3] for r in chosen)
+        if bound >= total + 1 and min(len({r[k] for r in rows}) for k in range(3)) <= searched:
+            chosen = pick_best(rows)
+            bound = sum(r[3] for r in chosen)
+        return pd.DataFrame([(*r, int(np.floor(bound + 1e-6))) for r in sorted(chosen)], columns=["a", "b", "c", "common", "bound"])
+
+    return triples.select("a", "b", "c", "common").groupBy(F.lit(0).alias("all")).applyInPandas(run, f"{kinds}, bound long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -252,41 +251,6 @@ def choose_order(fast: list, other: list, lengths: dict, skew: float = 50, agree
     return "other" if heaviest_share(order, weight) >= agree else "fast"
 
 
-def local_search(tour: list[tuple], cost, rounds: int = 50) -> list[tuple]:
-    """Hill climbing over reversals of stretches of a tour; ``cost`` of a tour falls at every step taken."""
-    flip = {"+": "-", "-": "+"}
-    best, now = list(tour), cost(tour)
-    for _ in range(rounds):
-        moves = (best[:i] + [(c, flip[o]) for c, o in reversed(best[i:j])] + best[j:] for i in range(len(best)) for j in range(i + 1, len(best) + 1))
-        new = min(moves, key=cost, default=best)
-        if cost(new) >= now - 1e-12:
-            break
-        best, now = new, cost(new)
-    return best
-
-
-def distance_cost(distances: dict[tuple, list[float]], lengths: dict):
-    """Cost of a tour by log distances of contacts: what lies between two members adds to their contacts' distances."""
-
-    def cost(tour: list[tuple]) -> float:
-        total = 0.0
-        for i, (a, p) in enumerate(tour):
-            gap = 0.0
-            for b, q in tour[i + 1 :]:
-                own = distances.get((a, b, p + q))
-                if own is None:
-                    back = {"+": "-", "-": "+"}
-                    own = distances.get((b, a, back[q] + back[p]), ())
-                total += sum(math.log(1 + d + gap) for d in own)
-                gap += lengths[b]
-        return total
-
-    return cost
-
-
-# ------------------------------------------------------------ tours
-
-
 def tour_edges(tours: DataFrame) -> DataFrame:
     """(grp, tour, a, b): signed neighbours in order.  tours: grp, tour, pos, ctg, orient."""
     w = W.partitionBy("grp", "tour").orderBy("pos")

@@ -46,3 +46,28 @@ def test_an_element_in_two_classes_of_a_method(spark):
     df = spark.createDataFrame(rows * 2, "method string, class string, element long")
     assert sorted(r.element for r in K.consensus(df).collect()) == [1, 2, 3]
     assert K.consensus(df.limit(0)).count() == 0
+
+
+def test_relaxed_choices_are_valid_and_bounded():
+    import itertools
+
+    rng = random.Random(6)
+    proved = 0
+    for _ in range(60):
+        n = rng.randrange(1, 5)
+        rows = [(str(a), str(b), str(c), rng.randrange(1, 30)) for a in range(n) for b in range(n) for c in range(n) if rng.random() < 0.6]
+        weight = {r[:3]: r[3] for r in rows}
+        most = max(sum(weight.get((str(a), str(b[a]), str(c[a])), 0) for a in range(n)) for b in itertools.permutations(range(n)) for c in itertools.permutations(range(n)))
+        chosen, bound = K.relaxed(rows)
+        total = sum(r[3] for r in chosen)
+        assert all(len({r[k] for r in chosen}) == len(chosen) for k in range(3)) and set(chosen) <= set(rows)
+        assert total <= most <= bound + 1e-6
+        proved += total == int(bound + 1e-6)
+    assert proved > 30
+
+
+def test_many_classes_are_proved(spark):
+    rows = [(str((x // 40 + (x % m == 0)) % 25), x) for m in (7,) for x in range(1000)]
+    of = lambda m: spark.createDataFrame([(str((x // 40 + (x % m == 0)) % 25), x) for x in range(1000)], "class string, element long")
+    out = K.best_triplets(K.triple_overlaps(of(7), of(11), of(13))).collect()
+    assert len(out) == 25 and sum(r.common for r in out) == out[0].bound and len(rows) == 1000
