@@ -512,4 +512,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
