@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import discard, written
+
 DENSE_NODES = 2000  # a task holds four such matrices, of 32 MB each
 
 
@@ -199,16 +201,18 @@ def allele_groups(weights: dict[tuple, float], ploidy: int) -> list[frozenset]:
 
 
 def components_of(pairs: DataFrame) -> DataFrame:
-    """(ctg, component) of an edge table (i, j): least-label rounds with pointer jumps, checkpointed."""
+    """(ctg, component) of an edge table (i, j): least-label rounds with pointer jumps, a table each."""
     both = pairs.select(F.col("i").alias("u"), F.col("j").alias("v")).union(pairs.select("j", "i")).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).checkpoint()
+    label = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
         new = label.join(near, "u").select("u", F.least("label", "other").alias("label"))
-        new = new.join(new.select(F.col("u").alias("label"), F.col("label").alias("up")), "label").select("u", F.col("up").alias("label")).checkpoint()
-        if new.join(label, ["u", "label"], "left_anti").limit(1).count() == 0:
-            return new.select(F.col("u").alias("ctg"), F.col("label").alias("component"))
+        new = written(new.join(new.select(F.col("u").alias("label"), F.col("label").alias("up")), "label").select("u", F.col("up").alias("label")), "labels")
+        settled = new.join(label, ["u", "label"], "left_anti").isEmpty()
+        discard(label)
         label = new
+        if settled:
+            return label.select(F.col("u").alias("ctg"), F.col("label").alias("component"))
 
 
 def allelic_groups(pairs: DataFrame, ploidy: int) -> DataFrame:
