@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parts, prepare, written
+from .common import parts, prepare
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = """

@@ -14,7 +14,6 @@ import numpy as np
 import pytest
 import regex
 import xxhash
-from pyspark.sql import functions as F
 
 from graphweave.llm import periodic, queries, spotsigs, whitening
 
