@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphweave.functions import sequence as S
 from graphweave.operators import contacts as C
 from graphweave.operators import filters as L
 from graphweave.operators.tables import written

@@ -13,7 +13,6 @@ from graphweave.operators import evaluate as V
 from graphweave.operators import filters as L
 from graphweave.operators import graph as G
 from graphweave.operators import order as O
-from graphweave.operators import reassign as R
 
 
 def test_concordance_and_aggregates(spark):

@@ -1,8 +1,5 @@
-import struct
-import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphweave.sources import formats as X
 
