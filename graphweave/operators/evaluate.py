@@ -157,26 +157,26 @@ def truth_groups(contigs: DataFrame) -> DataFrame:
 
 
 def kmer_sources(kmers: DataFrame) -> DataFrame:
-    """(kmer, source, cnt)"""
-    return kmers.groupBy("kmer", "source").agg(F.count("*").alias("cnt"))
+    """(kmer, source, cnt) of counted k-mers (kmer, source, cnt)."""
+    return kmers.groupBy("kmer", "source").agg(F.sum("cnt").alias("cnt"))
 
 
 def restricted_sources(reference: DataFrame, query: DataFrame) -> DataFrame:
-    """Reference k-mers that the query has, by source: a semi-join first."""
-    return kmer_sources(reference.join(query.select("kmer").distinct(), "kmer", "left_semi"))
+    """Reference k-mers that the query has, by source: counted, then a semi-join.  reference: kmer, source, cnt; query: kmer."""
+    return kmer_sources(reference).join(query.select("kmer").distinct(), "kmer", "left_semi")
 
 
-def classify_bins(query: DataFrame, index: DataFrame, size: int) -> DataFrame:
+def classify_bins(query: DataFrame, index: DataFrame) -> DataFrame:
     """(ctg, bin, unreliable, specific, shared, primary_source): k-mers of one source are specific to it.
 
-    query: ctg, start, kmer; index: kmer, source, cnt.
+    query: ctg, bin, kmer, cnt; index: kmer, source, cnt.  Query and index are read once.
     """
     kinds = index.groupBy("kmer").agg(F.countDistinct("source").alias("n"), F.min("source").alias("source"))
-    rows = query.select("ctg", F.floor(F.col("start") / size).alias("bin"), "kmer").join(kinds, "kmer", "left")
-    per = rows.groupBy("ctg", "bin").agg(F.count_if(F.col("n").isNull()).alias("unreliable"), F.count_if(F.col("n") == 1).alias("specific"), F.count_if(F.col("n") > 1).alias("shared"))
-    votes = rows.where("n = 1").groupBy("ctg", "bin", "source").agg(F.count("*").alias("v"))
-    best = votes.withColumn("k", F.row_number().over(W.partitionBy("ctg", "bin").orderBy(F.desc("v"), "source"))).where("k = 1").select("ctg", "bin", F.col("source").alias("primary_source"))
-    return per.join(best, ["ctg", "bin"], "left")
+    rows = query.select("ctg", "bin", "kmer", "cnt").join(kinds, "kmer", "left")
+    votes = rows.groupBy("ctg", "bin", F.when(F.col("n") > 1, 2).otherwise(F.col("n")).alias("n"), F.when(F.col("n") == 1, F.col("source")).alias("source")).agg(F.sum("cnt").alias("v"))
+    of = lambda found: F.coalesce(F.sum(F.when(found, F.col("v"))), F.lit(0))
+    best = F.min(F.when(F.col("n") == 1, F.struct((-F.col("v")).alias("v"), "source")))["source"]
+    return votes.groupBy("ctg", "bin").agg(of(F.col("n").isNull()).alias("unreliable"), of(F.col("n") == 1).alias("specific"), of(F.col("n") > 1).alias("shared"), best.alias("primary_source"))
 
 
 def dominant_chromosome(votes: DataFrame, least: float = 0.5) -> DataFrame:

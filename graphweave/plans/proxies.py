@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, rows: DataFrame, each: int) -> int:
+    """How many tasks get ``each`` rows of a table on average; the session's number of shuffle partitions at least.
+
+    Files may have few row groups and sessions a fixed number of partitions: work that is dealt to this many
+    tasks takes no more of one task's memory and time on a larger table.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def checkpoints(spark: SparkSession) -> str:
     """The shared checkpoint folder; one is set only where the session has none."""
     import tempfile

@@ -49,20 +49,24 @@ def bin_split(spark, d):
 _KMERS = "WITH t AS (SELECT doc_id AS ctg, lang AS source, regexp_extract_all(text, '(?s).') AS p FROM documents WHERE length(text) >= 6), h AS (SELECT ctg, source, unnest(p) AS a, unnest(range(len(p))) AS i FROM t), k AS (SELECT ctg, source, i, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d, lead(a, 4) OVER w AS e, lead(a, 5) OVER w AS f FROM h WINDOW w AS (PARTITION BY ctg, source ORDER BY i)), u AS (SELECT ctg, source, i, a || b || c || d || e || f AS m, translate(f || e || d || c || b || a, 'ATCGNatcgn', 'TAGCNtagcn') AS r FROM k WHERE f IS NOT NULL), c AS (SELECT ctg, source, i, least(m, r) AS kmer FROM u WHERE m NOT LIKE '%N%')"
 
 
-def _kmers(spark, d):
-    return S.kmers(P.sequences(spark, d).select("ctg", F.col("lang").alias("source"), "seq"), 6).select("ctg", "source", "start", "kmer")
+DEALT = 8000  # documents of a task
+
+
+def _kmers(spark, d, which: str = "true", by: list[str] = (), size: int | None = None):
+    n = P.tasks(spark, P.table(spark, d, "documents"), DEALT)
+    rows = P.sequences(spark, d).where(which).select("ctg", F.col("lang").alias("source"), "seq")
+    return S.counted_kmers(rows.repartition(n, "ctg"), 6, by, size)
 
 
 @query(_KMERS + " SELECT kmer, count(*) AS cnt FROM c GROUP BY 1")
 def kmer_counts(spark, d):
-    return _kmers(spark, d).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return _kmers(spark, d).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 @query(_KMERS + ", q AS (SELECT DISTINCT kmer FROM c WHERE ctg % 100 = 0) SELECT kmer, source, count(*) AS cnt FROM c WHERE ctg % 100 <> 0 AND kmer IN (SELECT kmer FROM q) GROUP BY 1, 2")
 def kmer_source(spark, d):
     """Sources of the k-mers that the query sequences (every hundredth) have."""
-    k = _kmers(spark, d)
-    return V.restricted_sources(k.where("ctg % 100 <> 0"), k.where("ctg % 100 = 0"))
+    return V.restricted_sources(_kmers(spark, d, "ctg % 100 <> 0", ["source"]), _kmers(spark, d, "ctg % 100 = 0"))
 
 
 @query(_KMERS + """, x AS (SELECT kmer, count(DISTINCT source) AS n, min(source) AS source FROM c WHERE ctg % 100 <> 0 GROUP BY 1),
@@ -71,8 +75,7 @@ p AS (SELECT ctg, bin, count(*) FILTER (n IS NULL) AS unreliable, count(*) FILTE
 v AS (SELECT ctg, bin, source, row_number() OVER (PARTITION BY ctg, bin ORDER BY count(*) DESC, source) AS k FROM r WHERE n = 1 GROUP BY 1, 2, 3)
 SELECT p.*, v.source AS primary_source FROM p LEFT JOIN (SELECT * FROM v WHERE k = 1) v USING (ctg, bin)""".replace("SELECT p.*, v.source AS primary_source", "SELECT p.ctg, p.bin, unreliable, specific, shared, v.source AS primary_source"))
 def kmer_bin_class(spark, d):
-    k = _kmers(spark, d)
-    return V.classify_bins(k.where("ctg % 100 = 0"), V.kmer_sources(k.where("ctg % 100 <> 0")), 200)
+    return V.classify_bins(_kmers(spark, d, "ctg % 100 = 0", ["ctg"], 200), V.kmer_sources(_kmers(spark, d, "ctg % 100 <> 0", ["source"])))
 
 
 @query("WITH s AS (SELECT sum(length(text)) AS total, avg(length(text)) AS mean FROM documents) SELECT greatest(1000, least(20000, CAST(floor(total / 20 / 30) AS BIGINT)))::BIGINT AS auto_size, f AS factor, round(mean * f, 6) AS size FROM s, (SELECT unnest([1, 2, 1.5, 0.5, 0.25])::DOUBLE AS f)")

@@ -59,3 +59,29 @@ def test_thresholds():
     assert S.detect_format("a/b.pairs.gz") == "bgzipped_pairs"
     with pytest.raises(ValueError):
         S.detect_format("a.txt")
+
+
+def test_counted_kmers(spark, monkeypatch):
+    """The same as one row a k-mer, which isn't made; large alphabets, long texts in pieces, letters beyond the first plane, and NUL."""
+    monkeypatch.setattr(S, "PIECE", 50)
+    wide = "".join(chr(0x4E00 + (k * k * 7919) % 20000) for k in range(300))
+    texts = ["ACGTACGTAACGNACGTTACG" * 20, "ACG", "abc\x00\x00\x00\x00\x00\x00", "\U0001F600a\U0001F601bcdef" * 3, "", None]
+    for own in (texts, [*texts, wide]):
+        rows = spark.createDataFrame([(k, None if k % 3 == 0 else f"s{k % 2}", t) for k, t in enumerate(own)], "ctg long, source string, seq string").coalesce(1)
+        for canonical in (True, False):
+            plain = S.kmers(rows, 6, canonical=canonical)
+            for by, size in (([], None), (["source"], None), (["ctg", "source"], 20)):
+                keys = [*by, *(["bin"] if size else []), "kmer"]
+                one = plain.withColumn("bin", F.floor(F.col("start") / 20)).groupBy(*keys).agg(F.count("*").alias("cnt"))
+                counted = S.counted_kmers(rows, 6, by, size, canonical=canonical)
+                assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+                two = counted.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+                assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_kmers_are_dealt(spark, monkeypatch):
+    """Files of one row group still give as many tasks as their rows need."""
+    from graphweave.plans import sequence_queries as Q
+
+    monkeypatch.setattr(Q, "DEALT", 10)
+    assert Q._kmers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 20
