@@ -20,7 +20,7 @@ _EDGES = ("contacts", "edges", "both", "degree")
 
 
 def edges(spark, d):
-    return C.edge_counts(P.contacts(spark, d))
+    return C.edge_counts(P.contacts(spark, d), P.lines(spark, d))
 
 
 def nodes(spark, d):
@@ -36,7 +36,7 @@ def contact_edges(spark, d):
 
 @query(sql("contacts") + " SELECT i, j, count(*) AS links FROM contacts WHERE (x <= 10 OR x > 40) AND (y <= 10 OR y > 40) GROUP BY 1, 2")
 def flank_edges(spark, d):
-    return C.flank_edges(P.rich(spark, d), 10)
+    return C.flank_edges(P.rich(spark, d), 10, P.lines(spark, d))
 
 
 @query(sql(*_EDGES) + " SELECT * FROM degree")
@@ -46,13 +46,13 @@ def node_degree(spark, d):
 
 @query(sql("contacts") + " SELECT i, CASE WHEN 2 * x > 50 THEN 'T' ELSE 'H' END AS i_end, j, CASE WHEN 2 * y > 50 THEN 'T' ELSE 'H' END AS j_end, count(*) AS links FROM contacts GROUP BY 1, 2, 3, 4")
 def ht_links(spark, d):
-    return C.half_edges(P.rich(spark, d))
+    return C.half_edges(P.rich(spark, d), P.lines(spark, d))
 
 
 @query(sql("contacts") + """, o AS (SELECT i, j, unnest([{'o': '++', 'd': 50 - (x - 1) + (y - 1)}, {'o': '+-', 'd': 50 - (x - 1) + 50 - (y - 1)}, {'o': '-+', 'd': (x - 1) + (y - 1)}, {'o': '--', 'd': (x - 1) + 50 - (y - 1)}]) AS r FROM contacts)
 SELECT i, j, r.o AS ori, 2 * count(*) AS n, string_agg(r.d || ' ' || r.d, ' ' ORDER BY r.d) AS line FROM o GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def clm_distances(spark, d):
-    return C.distance_lines(C.distance_runs(P.rich(spark, d)))
+    return C.distance_lines(C.distance_runs(P.rich(spark, d), 2 * P.lines(spark, d)), whole=True)
 
 
 _TAGGED = sql("contacts") + """, t AS (SELECT i, j, CASE WHEN 2 * x > 50 THEN 'T' ELSE 'H' END || CASE WHEN 2 * y > 50 THEN 'T' ELSE 'H' END AS ends, (x <= 10 OR x > 40) AND (y <= 10 OR y > 40) AS near, CAST(ceil(x / 10) AS BIGINT) || '/' || CAST(ceil(y / 10) AS BIGINT) AS bins FROM contacts)
@@ -67,7 +67,7 @@ UNION ALL SELECT 'fragments', i, j, bins, count(*) FROM t GROUP BY 2, 3, 4"""
 def contact_aggregates(spark, d):
     """Five aggregates from one pass over the contacts."""
     P.checkpoints(spark)
-    found = C.aggregates(written(C.cells(P.rich(spark, d), 10, 10), "cells"))
+    found = C.aggregates(written(C.cells(P.rich(spark, d), 10, 10, P.lines(spark, d)), "cells"), P.lines(spark, d))
     text = lambda *c: F.concat(*[F.col(x).cast("string") if isinstance(x, str) else x for x in c])
     parts = {"halves": text("i_end", "j_end"), "fragments": text("bi", F.lit("/"), "bj")}
     out = None
@@ -80,12 +80,12 @@ def contact_aggregates(spark, d):
 
 @query(sql("contacts") + " SELECT i, CAST(ceil(x / 10) AS BIGINT) AS bi, j, CAST(ceil(y / 10) AS BIGINT) AS bj, count(*) AS links FROM contacts GROUP BY 1, 2, 3, 4")
 def fragment_edges(spark, d):
-    return C.fragment_edges(P.rich(spark, d), 10)
+    return C.fragment_edges(P.rich(spark, d), 10, P.lines(spark, d))
 
 
 @query(sql("contacts") + ", r AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY x, y) AS rank FROM contacts) SELECT i, j, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM r WHERE rank <= 20 GROUP BY 1, 2")
 def first_n_pairs(spark, d):
-    return C.first_per_pair(P.contacts(spark, d), ["x", "y"], 20).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return C.first_per_pair(P.contacts(spark, d), ["x", "y"], 20, P.lines(spark, d)).groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
 _CONC = sql("contacts") + ", a AS (SELECT i, j, 'd' AS axis, floor((y - x) / 5) AS b FROM contacts UNION ALL SELECT i, j, 's', floor((y + x) / 5) FROM contacts), c AS (SELECT i, j, axis, b, count(*) AS c FROM a GROUP BY 1, 2, 3, 4), t AS (SELECT i, j, axis, max(c) / sum(c) AS r FROM c GROUP BY 1, 2, 3), conc AS (SELECT i, j, max(r) AS concordance FROM t GROUP BY 1, 2)"
@@ -93,7 +93,7 @@ _CONC = sql("contacts") + ", a AS (SELECT i, j, 'd' AS axis, floor((y - x) / 5)
 
 @query(_CONC + " SELECT i, j, round(concordance, 6) AS concordance FROM conc")
 def concordance_ratio(spark, d):
-    return C.concordance(P.contacts(spark, d).withColumn("shorter", F.lit(P.SPAN)), windows=10).select("i", "j", F.round("concordance", 6).alias("concordance"))
+    return C.concordance(P.contacts(spark, d).withColumn("shorter", F.lit(P.SPAN)), windows=10, tasks=P.lines(spark, d)).select("i", "j", F.round("concordance", 6).alias("concordance"))
 
 
 @query(sql("contacts") + """, a AS (SELECT i, j, 'x' AS axis, floor(x / 10) AS b FROM contacts UNION ALL SELECT i, j, 'y', floor(y / 10) FROM contacts),
@@ -101,13 +101,13 @@ c AS (SELECT i, j, axis, b, count(*) AS c FROM a GROUP BY 1, 2, 3, 4), m AS (SEL
 s AS (SELECT i, j, axis, 1 - coalesce(sum(c) FILTER (c >= 2 * m), 0) / sum(c) AS s FROM m GROUP BY 1, 2, 3)
 SELECT i, j, round(max(s) FILTER (axis = 'x') * max(s) FILTER (axis = 'y'), 6) AS adjustment FROM s GROUP BY 1, 2""")
 def concentration_ratio(spark, d):
-    return C.concentration(P.contacts(spark, d), 10, 2).select("i", "j", F.round("adjustment", 6).alias("adjustment"))
+    return C.concentration(P.contacts(spark, d), 10, 2, P.lines(spark, d)).select("i", "j", F.round("adjustment", 6).alias("adjustment"))
 
 
 @query(_CONC + ", n AS (SELECT i, j, count(*) AS links FROM contacts GROUP BY 1, 2) SELECT i, j, links FROM conc JOIN n USING (i, j) WHERE concordance > 0.3 AND links >= 8")
 def allelic_pairs(spark, d):
     """Pairs of concordant contacts."""
-    rows = C.concordance(P.contacts(spark, d).withColumn("shorter", F.lit(P.SPAN)), windows=10).where("concordance > 0.3")
+    rows = C.concordance(P.contacts(spark, d).withColumn("shorter", F.lit(P.SPAN)), windows=10, tasks=P.lines(spark, d)).where("concordance > 0.3")
     return rows.join(edges(spark, d).where("links >= 8"), ["i", "j"]).select("i", "j", "links")
 
 
@@ -176,7 +176,7 @@ def mask_sample(spark, d):
 
 @query(sql("contacts") + ", " + _FRAG + ", f AS (SELECT i, CAST(ceil(x / 10) AS BIGINT) AS bi, j, CAST(ceil(y / 10) AS BIGINT) AS bj, count(*) AS links FROM contacts GROUP BY 1, 2, 3, 4) SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM picked p WHERE p.ctg = i AND p.bin_no = bi) AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.ctg = j AND p.bin_no = bj)")
 def masked_edges(spark, d):
-    f = C.fragment_edges(P.rich(spark, d), 10)
+    f = C.fragment_edges(P.rich(spark, d), 10, P.lines(spark, d))
     return L.without_nodes(f, L.sample_bins(fragments(spark, d), 0.25, 42), ["i", "bi"], ["j", "bj"], ["ctg", "bin_no"]).select("i", "bi", "j", "bj", "links")
 
 

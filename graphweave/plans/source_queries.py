@@ -172,7 +172,7 @@ def mock_groups(spark, d):
 def clm_file(spark, d):
     """Distances written and read."""
     place = folder(spark)
-    X.write_clm(C.distance_lines(C.distance_runs(P.rich(spark, d))), place)
+    X.write_clm(C.distance_lines(C.distance_runs(P.rich(spark, d), 2 * P.lines(spark, d)), whole=True), place)
     return X.read_clm(spark, place).select("i", "j", "ori", "n", F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("d").alias("longest"))
 
 

@@ -20,7 +20,7 @@ _HALF = sql("contacts", "contigs") + ", h AS (SELECT i, CASE WHEN 2 * x > 50 THE
 
 
 def _halves(spark, d):
-    return C.half_edges(P.rich(spark, d))
+    return C.half_edges(P.rich(spark, d), P.lines(spark, d))
 
 
 @query(_HALF + " SELECT i, i_end, j, j_end, round(density * 1e6, 6) AS density FROM hd")

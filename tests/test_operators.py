@@ -205,3 +205,20 @@ def test_inversions_and_similarity(spark):
             pairs = [(p, q) for a, p in own for b, q in own if a < b]
             want = (sum(p < q for p, q in pairs) / len(pairs), sum(p > q for p, q in pairs) / len(pairs)) if pairs else None
             assert got.get((g, t)) == want
+
+
+def test_contacts_are_dealt_by_size(spark, monkeypatch):
+    """Aggregates of contacts and contigs get a task for so many order lines, whatever the session's number of partitions."""
+    import re
+
+    from graphweave.plans import catalogue
+    from graphweave.plans import proxies as P
+
+    monkeypatch.setattr(P, "LINES", 100)
+    sf = "/root/testdata/sf0.001"
+    n = P.lines(spark, sf)
+    assert n > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("ht_links", "clm_distances", "concentration_ratio", "concordance_ratio", "first_n_pairs", "density_filter"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(dealt) >= 2 and min(dealt) >= n, name
