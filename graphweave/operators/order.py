@@ -48,16 +48,29 @@ def edge_confidence(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ one group in a task
 
 
+def _pair_confidence(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """The same for pairs of n ends with their densities, each pair once; all others have none."""
+    end, own = np.concatenate([a, b]), np.concatenate([d, d])
+    by = np.lexsort((-own, end))
+    end, own = end[by], own[by]
+    start = np.searchsorted(end, np.arange(n))
+    rank = np.arange(len(end)) - start[end]
+    top = np.zeros((n, 3))
+    top[end[rank < 3], rank[rank < 3]] = own[rank < 3]
+
+    def drop(t: np.ndarray) -> np.ndarray:  # without one entry of the pair itself
+        return np.where(t[:, :1] == d[:, None], t[:, 1:], np.where(t[:, 1:2] == d[:, None], t[:, [0, 2]], t[:, :2]))
+
+    rest = -np.sort(-np.concatenate([drop(top[a]), drop(top[b])], axis=1), axis=1)
+    first, second = rest[:, 0], rest[:, 1]
+    return np.where(first <= 0, 2.0, d / np.where(first <= d, np.where(first > 0, first, 1), np.maximum(np.maximum(second, d), 1e-300)))
+
+
 def _confidence(d: np.ndarray) -> np.ndarray:
     """The same for all pairs of a symmetric density matrix."""
-    n = len(d)
-    top = -np.sort(-np.pad(d, ((0, 0), (0, max(0, 3 - n)))), axis=1)[:, :3]
-    drop = lambda t: np.where(t[..., :1] == d[..., None], t[..., 1:], np.where(t[..., 1:2] == d[..., None], t[..., [0, 2]], t[..., :2]))
-    rest = -np.sort(-np.concatenate([drop(np.broadcast_to(top[:, None], (n, n, 3))), drop(np.broadcast_to(top[None], (n, n, 3)))], axis=2), axis=2)
-    first, second = rest[..., 0], rest[..., 1]
-    out = np.where(first <= 0, 2.0, d / np.where(first <= d, np.where(first > 0, first, 1), np.maximum(np.maximum(second, d), 1e-300)))
-    out[d <= 0] = 0
-    np.fill_diagonal(out, 0)
+    a, b = np.nonzero(np.triu(d, 1))
+    out = np.zeros(d.shape)
+    out[a, b] = out[b, a] = _pair_confidence(a, b, d[a, b], len(d))
     return out
 
 
@@ -101,10 +114,9 @@ def order_group(lengths: dict, links: dict[tuple, float], cutoff: float = 1.0, h
     """
     names = sorted(lengths)
     at = {(c, e): 2 * k + (e == "T") for k, c in enumerate(names) for e in "HT"}
-    w = np.zeros((2 * len(names), 2 * len(names)))
-    for (a, b), n in links.items():
-        if a in at and b in at and a[0] != b[0]:
-            w[at[a], at[b]] = w[at[b], at[a]] = n
+    pairs = {(min(at[a], at[b]), max(at[a], at[b])): n for (a, b), n in links.items() if a in at and b in at and a[0] != b[0]}
+    u, v = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))  # linked pairs alone: most of a large group's have none
+    w = np.array(list(pairs.values()), float)
     half = np.repeat([lengths[c] / 2 for c in names], 2)
     paths = [[2 * k, 2 * k + 1] for k in range(len(names))]  # halves in order
     aside: list[list[int]] = []
@@ -123,23 +135,25 @@ def order_group(lengths: dict, links: dict[tuple, float], cutoff: float = 1.0, h
                     if total >= flank:
                         break
                 ends[k] = keep
-        member = np.zeros((len(ends), len(w)))
+        end, size = np.full(len(half), -1), np.zeros(len(ends))
         for k, e in enumerate(ends):
-            member[k, e] = 1
-        total = member @ w @ member.T
-        size = member @ half
-        for k in range(0, len(ends), 2):
-            total[k : k + 2, k : k + 2] = 0
-        pair = {"multiplication": np.outer(size, size), "sum": size[:, None] + size[None, :], "geometric_mean": np.sqrt(np.outer(size, size))}[how]
-        conf = _confidence(total / pair)
-        if conf.max() <= cutoff:
+            end[e], size[k] = k, half[e].sum()
+        eu, ev = end[u], end[v]
+        apart = (eu >= 0) & (ev >= 0) & (eu // 2 != ev // 2)
+        key, where = np.unique(np.minimum(eu, ev)[apart] * len(ends) + np.maximum(eu, ev)[apart], return_inverse=True)
+        total, a, b = np.bincount(where, w[apart], len(key)), key // len(ends), key % len(ends)
+        pair = {"multiplication": size[a] * size[b], "sum": size[a] + size[b], "geometric_mean": np.sqrt(size[a] * size[b])}[how]
+        linked = total > 0
+        a, b = a[linked], b[linked]
+        conf = _pair_confidence(a, b, total[linked] / pair[linked], len(ends))
+        if conf.max(initial=0) <= cutoff:
             if len(paths) <= 2:
                 break
             paths.sort(key=lambda p: (-half[p].sum(), p))
             aside.append(paths.pop())
             continue
-        a, b = np.nonzero(np.triu(conf > cutoff))
-        found = _spanning_paths(len(paths), list(zip(conf[a, b], a.tolist(), b.tolist(), strict=True)))
+        sure = conf > cutoff
+        found = _spanning_paths(len(paths), list(zip(conf[sure], a[sure].tolist(), b[sure].tolist(), strict=True)))
         paths = [[x for e in walk[::2] for x in (paths[e // 2] if e % 2 == 0 else paths[e // 2][::-1])] for walk in found]
         paths.sort(key=lambda p: (-half[p].sum(), p))
     whole = [x for p in [*paths, *reversed(aside)] for x in p]

@@ -222,3 +222,17 @@ def test_contacts_are_dealt_by_size(spark, monkeypatch):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         dealt = [int(x) for x in re.findall(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)]
         assert len(dealt) >= 2 and min(dealt) >= n, name
+
+
+def test_ordering_holds_links_not_matrices():
+    """A large group with few links takes memory by its links."""
+    import tracemalloc
+
+    n = 3000
+    links = {((k, "T"), (k + 1, "H")): 9.0 for k in range(n - 1)}
+    tracemalloc.start()
+    tour = O.order_group(dict.fromkeys(range(n), 10), links)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [c for c, _ in tour] in (list(range(n)), list(range(n))[::-1])
+    assert peak < 8 * n * n
