@@ -183,7 +183,7 @@ def allelic_cliques(spark, d):
 def allelic_matching(spark, d):
     """Edges between allele groups that maximum-weight assignments leave unmatched."""
     groups = P.contigs(spark, d).select(F.floor(F.col("ctg") / 4).cast("string").alias("group"), "ctg")
-    return G.unmatched_edges(edges(spark, d).select("i", "j", F.col("links").cast("double").alias("w")), groups)
+    return G.unmatched_edges(edges(spark, d).select("i", "j", F.col("links").cast("double").alias("w")), groups, P.lines(spark, d))
 
 
 # ------------------------------------------------------------ reassignment

@@ -35,3 +35,26 @@ def test_matching_of_all_edges(spark):
         kept = {(p[x], q[y]) for x, y in G.matching(w)}
         want |= {(i, j) for x, y, _, i, j in rows if (x, y) not in kept}
     assert {(r.i, r.j) for r in catalogue.QUERIES["allelic_matching"](spark, SF).collect()} == want
+
+
+def test_small_matchings_are_those_of_arrays(spark, monkeypatch):
+    """The same choice among equals on lists and on arrays, and no Python call for each pair of groups."""
+    import random
+
+    import numpy as np
+
+    from graphweave.operators import graph as G
+
+    rng = random.Random(5)
+    for _ in range(300):
+        w = np.array([[float(rng.randrange(4)) for _ in range(q)] for q in [rng.randrange(1, 6)] for _ in range(rng.randrange(1, 6))])
+        small = G.matching(w)
+        with monkeypatch.context() as m:
+            m.setattr(G, "SMALL", 0)
+            assert small == G.matching(w)
+    edges = spark.createDataFrame([(i, j, float((i * j) % 5 + 1)) for i in range(40) for j in range(i + 1, 40)], "i long, j long, w double")
+    groups = spark.range(40).selectExpr("cast(id div 4 as string) as group", "id as ctg")
+    out = G.unmatched_edges(edges, groups, 8)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    # a full 4 by 4 pair of groups leaves 12 of its 16 edges
+    assert out.count() == 45 * 12
