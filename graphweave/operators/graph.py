@@ -48,15 +48,22 @@ def prune(m: DataFrame, threshold: float) -> DataFrame:
 
 def mcl_rounds(a: np.ndarray, inflation: float, expansion: int = 2, rounds: int = 100, threshold: float = 1e-4) -> Iterator[np.ndarray]:
     """The matrix after each round.  a: symmetric weights with loops."""
-    norm = lambda m: m / np.maximum(m.sum(0, keepdims=True), 1e-300)
-    m = norm(a.astype(float))
+    m = _normalised(a.astype(float))
     for _ in range(rounds):
-        m = _power(m, expansion)
-        m = norm(m**inflation)
-        m = norm(np.where((m >= threshold) | (m == m.max(0, keepdims=True)), m, 0.0))
+        m = refined(_power(m, expansion), inflation, threshold)
         yield m
 
 
+def refined(m: np.ndarray, inflation: float, threshold: float) -> np.ndarray:
+    """Inflated, normalised, pruned but for each column's largest, and normalised again."""
+    m = _normalised(m**inflation)
+    return _normalised(np.where((m >= threshold) | (m == m.max(0, keepdims=True)), m, 0.0))
+
+
+def _normalised(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(m.sum(0, keepdims=True), 1e-300)
+
+
 def _power(m: np.ndarray, exponent: int) -> np.ndarray:
     """Pruned matrices soon have few rows that aren't empty; a product takes only those."""
     rows = np.flatnonzero(m.any(1))
