@@ -51,8 +51,16 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def half_edges(rich: DataFrame, tasks: int | None = None) -> DataFrame:
-    ends = rich.where("i <> j").select("i", half(F.col("x"), F.col("li")).alias("i_end"), "j", half(F.col("y"), F.col("lj")).alias("j_end"))
-    return dealt(ends, tasks, "i", "j").groupBy("i", "i_end", "j", "j_end").agg(F.count("*").alias("links"))
+    """(i, i_end, j, j_end, links); both ends of a contact move as one small number."""
+    tail = lambda x, n: (half(F.col(x), F.col(n)) == "T").cast("int")
+    ends = rich.where("i <> j").select("i", "j", (2 * tail("x", "li") + tail("y", "lj")).cast("byte").alias("ends"))
+    name = lambda bit: F.when(F.col("ends").bitwiseAND(bit) > 0, "T").otherwise("H")
+    return dealt(ends, tasks, "i", "j").groupBy("i", "j", "ends").agg(F.count("*").alias("links")).select("i", name(2).alias("i_end"), "j", name(1).alias("j_end"), "links")
+
+
+def whole_edges(halves: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(i, j, links) from ``half_edges``: the same as ``edge_counts`` of their contacts."""
+    return dealt(halves.select("i", "j", "links"), tasks, "i", "j").groupBy("i", "j").agg(F.sum("links").alias("links"))
 
 
 def distance_runs(rich: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -43,11 +43,14 @@ def tours(groups: DataFrame, halves: DataFrame, contigs: DataFrame, how: str) ->
     return order.fast_order(halves.join(side("i", "grp"), "i").join(side("j", "other"), "j").where("grp = other"), own.select("grp", "ctg", "len"))
 
 
-def scaffold(store: StageStore, links: Stage, contigs: Stage, settings: Settings) -> dict[str, Stage]:
-    """All stages by name, ``agp`` the last.  links: i, x, j, y, li, lj (enriched contacts); contigs: ctg, len, re_sites, hap."""
+def scaffold(store: StageStore, links: Stage, contigs: Stage, settings: Settings, tasks: int | None = None) -> dict[str, Stage]:
+    """All stages by name, ``agp`` the last.  links: i, x, j, y, li, lj (enriched contacts, read once); contigs: ctg, len, re_sites, hap.
+
+    tasks: how many the contacts and their counts are dealt to.
+    """
     s, rich, own = settings, links.table, contigs.table
-    edges = store.stage("edges", lambda: contacts.edge_counts(rich), [links])
-    halves = store.stage("halves", lambda: contacts.half_edges(rich), [links])
+    halves = store.stage("halves", lambda: contacts.half_edges(rich, tasks).sortWithinPartitions("i", "j"), [links])  # sorted columns take a fraction of the disk
+    edges = store.stage("edges", lambda: contacts.whole_edges(halves.table, tasks).sortWithinPartitions("i", "j"), [halves])
     nodes = store.stage("nodes", lambda: filters.filter_nodes(filters.densities(own, contacts.node_degree(edges.table)), share=s.share, sites=s.sites, density=s.density), [edges, contigs], share=s.share, sites=s.sites, density=s.density)
 
     def weigh() -> DataFrame:

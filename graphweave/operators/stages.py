@@ -51,6 +51,10 @@ class StageStore:
             files.append([f, status.getLen(), status.getModificationTime()])
         return Stage(name, _digest(name, table.schema.simpleString(), files), table)
 
+    def passing(self, name: str, table: DataFrame, inputs: Iterable[Stage]) -> Stage:
+        """A table that isn't stored, as one stage alone reads it; known by its inputs."""
+        return Stage(name, _digest(name, [i.key for i in inputs]), table)
+
     def manifest(self, name: str, key: str) -> dict | None:
         path, fs = self._path(name, key, "manifest.json")
         if not fs.exists(path):

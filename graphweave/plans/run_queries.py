@@ -26,9 +26,9 @@ def run(spark, d, settings: Settings = SETTINGS, root: str | None = None):
     P.checkpoints(spark)
     store = stages.StageStore(spark, root or f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}")
     lines, suppliers, nations = (store.source(t, P.table(spark, d, t)) for t in ("lineitem", "supplier", "nation"))
-    links = store.stage("contacts", lambda: P.rich(spark, d), [lines, suppliers])
+    links = store.passing("contacts", P.rich(spark, d), [lines, suppliers])
     contigs = store.stage("contigs", lambda: P.contigs(spark, d).select("ctg", "len", "re_sites", F.col("nation").alias("hap")), [lines, suppliers, nations])
-    return scaffold(store, links, contigs, settings), store
+    return scaffold(store, links, contigs, settings, P.lines(spark, d)), store
 
 
 _KEPT = """

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from graphweave.operators import contacts as C
 from graphweave.operators import stages
 from graphweave.plans import run_queries as R
 
@@ -58,3 +59,15 @@ def test_the_run_and_a_second_one(spark, tmp_path):
     assert third.made == ["agp"]
     ordered, fourth = R.run(spark, SF, R.Settings(**(vars(R.SETTINGS) | {"order": "links"})), root)
     assert fourth.made == ["tours", "agp"] and sorted(int(r.comp) for r in ordered["agp"].table.where("type = 'W'").collect()) == sorted(contigs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_contacts_are_dealt_once_and_not_stored(spark, tmp_path):
+    found, store = R.run(spark, SF, root=f"file://{tmp_path}/store")
+    assert not (tmp_path / "store" / "contacts").exists() and "contacts" not in store.made
+    rich = R.P.rich(spark, SF)
+    for tasks in (None, 3):
+        halves = C.half_edges(rich, tasks)
+        assert tasks is None or halves.rdd.getNumPartitions() == tasks
+        assert sorted(halves.collect()) == sorted(found["halves"].table.collect())
+        assert sorted(C.whole_edges(halves, tasks).collect()) == sorted(C.edge_counts(rich).collect()) == sorted(found["edges"].table.collect())
