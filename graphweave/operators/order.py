@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .contacts import dealt
+from .tables import join_written, written
+
 
 def combined_length(a: Column, b: Column, how: str = "multiplication") -> Column:
     return {"multiplication": a * b, "sum": a + b, "geometric_mean": F.sqrt(a * b)}[how]
@@ -24,23 +27,34 @@ def half_densities(half_edges: DataFrame, contigs: DataFrame, how: str = "multip
     return rows.select("i", "i_end", "j", "j_end", (F.col("links") / combined_length(F.col("hi"), F.col("hj"), how)).alias("density"))
 
 
-def edge_confidence(edges: DataFrame) -> DataFrame:
+def top_densities(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(n, t): the three largest densities of every end.  edges: a, b, density."""
+    ends = dealt(edges.select(F.col("a").alias("n"), "density").union(edges.select("b", "density")), tasks, "n")
+    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("density")))
+    return ends.withColumn("k", rank).where("k <= 3").groupBy("n").agg(F.sort_array(F.collect_list("density"), asc=False).alias("t"))
+
+
+def edge_confidence(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Density over the second largest density at either end, itself counted once; 2 where nothing else is there.
 
     So it is above 1 only for an edge that beats all others at both ends.  Three
-    densities per end decide.  edges: a, b, density > 0, of unique pairs.
+    densities per end decide.  edges: a, b, density > 0, of unique pairs.  tasks: how many the edges
+    are dealt to; they should be a written table then, as they are read three times.
     """
-    ends = edges.select(F.col("a").alias("n"), "density").union(edges.select("b", "density"))
-    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("density")))
-    top = ends.withColumn("k", rank).where("k <= 3").groupBy("n").agg(F.sort_array(F.collect_list("density"), asc=False).alias("t"))
-    rows = edges.join(top.select(F.col("n").alias("a"), F.col("t").alias("ta")), "a").join(top.select(F.col("n").alias("b"), F.col("t").alias("tb")), "b")
+    top = top_densities(edges, tasks)
+    if tasks:
+        top = written(top, "top")
     d = F.col("density")
 
-    def others(t: Column) -> Column:  # without one entry of this edge
-        at = F.array_position(t, d).cast("int")
-        return F.when(at == 0, t).otherwise(F.concat(F.slice(t, 1, at - 1), F.slice(t, at + 1, 3)))
+    def others(rows: DataFrame, end: str) -> DataFrame:  # adds the two largest densities there without this edge's own entry
+        at = F.array_position("t", d).cast("int")
+        rest = F.when(at == 0, F.col("t")).otherwise(F.concat(F.slice("t", 1, at - 1), F.slice("t", at + 1, 3)))
+        own = top.select(F.col("n").alias(end), "t")
+        found = join_written(rows, own, end, tasks) if tasks else rows.join(own, end)
+        return found.select(*rows.columns, F.get(rest, F.lit(0)).alias(f"{end}1"), F.get(rest, F.lit(1)).alias(f"{end}2"))
 
-    rest = F.sort_array(F.concat(others(F.col("ta")), others(F.col("tb"))), asc=False)
+    rows = others(others(edges, "a"), "b")
+    rest = F.sort_array(F.array_compact(F.array("a1", "a2", "b1", "b2")), asc=False)
     first, second = F.get(rest, F.lit(0)), F.coalesce(F.get(rest, F.lit(1)), F.lit(0.0))
     return rows.select("a", "b", "density", F.when(first.isNull() | (first <= 0), 2.0).when(first <= d, d / first).otherwise(d / F.greatest(second, d)).alias("confidence"))
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LISTED = 16 << 20  # bytes of files of a table that is broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +35,12 @@ def discard(df: DataFrame) -> None:
     for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_written(rows: DataFrame, table: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Inner join with columns of a table from ``written``: it is broadcast if its files are small, else the rows are dealt to ``tasks``."""
+    spark, size = table.sparkSession, 0
+    for place in table.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return rows.join(F.broadcast(table), key) if size <= LISTED else rows.repartition(tasks, key).join(table, key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.operators import contacts as C
 from graphweave.operators import evaluate as V
 from graphweave.operators import order as O
+from graphweave.operators.tables import written
 
 from . import proxies as P
 from .book import Book
@@ -36,9 +37,11 @@ o AS (SELECT e.a, e.b, e.density AS d, r.density, row_number() OVER (PARTITION B
 t AS (SELECT e.a, e.b, e.density, max(o.density) FILTER (m = 1) AS f, coalesce(max(o.density) FILTER (m = 2), 0) AS s FROM e LEFT JOIN o ON o.a = e.a AND o.b = e.b GROUP BY 1, 2, 3)
 SELECT a, b, round(CASE WHEN f IS NULL OR f <= 0 THEN 2 WHEN f <= density THEN density / f ELSE density / greatest(s, density) END, 6) AS confidence FROM t""".replace("e JOIN r ON r.n IN (e.a, e.b) AND r.k <= 3 AND", "(SELECT a, b, density, unnest([a, b]) AS en FROM e) e JOIN r ON r.n = e.en AND r.k <= 3 AND"))
 def edge_confidence(spark, d):
-    h = O.half_densities(_halves(spark, d), P.contigs(spark, d))
+    P.checkpoints(spark)
+    h = O.half_densities(_halves(spark, d), written(P.contigs(spark, d).select("ctg", "len"), "contigs"))
     e = h.select(F.concat(F.col("i").cast("string"), "i_end").alias("a"), F.concat(F.col("j").cast("string"), "j_end").alias("b"), "density")
-    return O.edge_confidence(e).select("a", "b", F.round("confidence", 6).alias("confidence"))
+    e = written(e.sortWithinPartitions("a", "b"), "edges")
+    return O.edge_confidence(e, P.lines(spark, d)).select("a", "b", F.round("confidence", 6).alias("confidence"))
 
 
 @query()

@@ -1,3 +1,4 @@
+import random
 import itertools
 
 import numpy as np
@@ -121,6 +122,31 @@ def test_edge_confidence(spark):
     assert O._confidence(np.array([[0, 5.0], [5.0, 0]])).max() == 2
 
 
+def test_edge_confidence_in_tasks(spark, monkeypatch):
+    from graphweave.operators import tables
+
+    rng = random.Random(5)
+    names = [f"n{k}" for k in range(12)]
+    e = spark.createDataFrame([(a, b, float(rng.randrange(1, 6))) for k, a in enumerate(names) for b in names[k + 1 :] if rng.random() < 0.6], "a string, b string, density double")
+    rows = e.collect()
+    ends = {n: [(r.density, r) for r in rows if n in (r.a, r.b)] for n in names}
+
+    def expected(r):
+        rest = sorted((d for n in (r.a, r.b) for d, o in ends[n] if o is not r), reverse=True) + [None, None]
+        if not rest[0]:
+            return 2.0
+        return r.density / rest[0] if rest[0] <= r.density else r.density / max(rest[1] or 0, r.density)
+
+    want = {(r.a, r.b): expected(r) for r in rows}
+    kept = tables.written(e, "edges")
+    for limit in (tables.LISTED, -1):
+        monkeypatch.setattr(tables, "LISTED", limit)
+        out = O.edge_confidence(kept, 3)
+        assert {(r.a, r.b): r.confidence for r in out.collect()} == want == {(r.a, r.b): r.confidence for r in O.edge_confidence(e).collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" if limit > 0 else "REPARTITION_BY_NUM") in plan and "Union" not in plan  # the densities of ends are read, not made again
+
+
 def test_order_group():
     lengths = dict.fromkeys("abcd", 10)
     links = {(("a", "T"), ("b", "H")): 9, (("b", "T"), ("c", "T")): 8, (("c", "H"), ("d", "H")): 9, (("a", "T"), ("c", "T")): 1}
