@@ -251,7 +251,11 @@ def components_of(pairs: DataFrame) -> DataFrame:
 
 
 def allelic_groups(pairs: DataFrame, ploidy: int) -> DataFrame:
-    """(group, ctg): allele groups of allelic pairs (i, j, w), one task per connected component."""
+    """(group, ctg): allele groups of allelic pairs (i, j, w), one task per connected component.
+
+    The pairs are written first: both directions of them, then the groups read them, and they may be much work.
+    """
+    pairs = written(pairs, "pairs")
     part = components_of(pairs)
     kind = dict(pairs.dtypes)["i"]
 

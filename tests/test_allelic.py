@@ -58,3 +58,21 @@ def test_small_matchings_are_those_of_arrays(spark, monkeypatch):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
     # a full 4 by 4 pair of groups leaves 12 of its 16 edges
     assert out.count() == 45 * 12
+
+
+def test_pairs_are_made_once(spark):
+    """Components and groups read the written pairs; the work behind the pairs isn't done again for each of them."""
+    import pyarrow as pa
+
+    edges = [(1, 2), (1, 3), (2, 3), (3, 4), (8, 9)]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b["i"], b["j"], b["w"]], ["i", "j", "w"])
+
+    pairs = spark.createDataFrame([(i, j, float(i + j)) for i, j in edges], "i long, j long, w double").mapInArrow(seen, "i long, j long, w double")
+    got = {(r.group, r.ctg) for r in G.allelic_groups(pairs, 4).collect()}
+    assert got == {("/".join(map(str, sorted(c))), x) for c in G.allele_groups({e: float(sum(e)) for e in edges}, 4) for x in c}
+    assert made.value == len(edges)
