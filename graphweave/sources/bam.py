@@ -1,7 +1,8 @@
 """A splittable BAM source and a sink, with Arrow batches.
 
 ``spark.read.format("bam").load(path)`` takes a file, a folder or a pattern in the last part of
-the path, on any file system that pyarrow opens.  Files are cut by bytes (option ``split``).  A split
+the path, on any file system that pyarrow opens.  Files are cut by bytes (option ``split``); where that makes more than ``TASKS``
+splits, as many neighbours go to a task together as keep to that number.  A worker reads a file's header once.  A split
 owns the compressed blocks that start inside it and the records that start in those blocks.
 It finds its first block by the block header, whose size must lead to a next header, and its
 first record by a chain of records whose fields are possible, so splits need no index;
@@ -17,7 +18,9 @@ cut-off files.
 from __future__ import annotations
 
 import fnmatch
+import functools
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +40,7 @@ END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 LARGEST = 1 << 16  # bytes of a block
 SPLIT = 64 << 20
 STEP = 4 << 20
+TASKS = 1024  # beyond so many splits, neighbours in a file are read as one
 CHAIN = 8  # records that must follow each other
 _FIXED = np.dtype([("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mref", "<i4"), ("mpos", "<i4"), ("tlen", "<i4")])
 
@@ -126,6 +130,17 @@ class Header:
     block: int  # offset of the block in which records start
     skip: int  # bytes before the first record in it
 
+    @functools.cached_property
+    def listed(self) -> pa.Array:
+        """The names as a column, and that of none at the end."""
+        return pa.array([*self.names, "*"], pa.string())
+
+
+@functools.lru_cache(maxsize=4)
+def known_header(path: str, scan: str) -> Header:
+    """The header of a file, parsed once a worker and scan: it has a name for each contig, however small a split is."""
+    return read_header(path)
+
 
 def read_header(path: str) -> Header:
     fs, own = opened(path)
@@ -243,7 +258,7 @@ def decode(data: bytes, at: np.ndarray, offsets: np.ndarray, names: pa.Array, wa
 def read_split(path: str, start: int, end: int, header: Header, wanted: Wanted = Wanted(), step: int = STEP) -> Iterator[pa.RecordBatch]:
     """The records that start in blocks whose offset is in [start, end)."""
     fs, own = opened(path)
-    names = pa.array([*header.names, "*"], pa.string())
+    names = header.listed
     with fs.open_input_file(own) as f:
         size = f.size()
         begin = header.block if start <= header.block else first_block(f, start, size)
@@ -314,6 +329,7 @@ class Piece(InputPartition):
     path: str
     start: int
     end: int
+    scan: str
 
     def __post_init__(self):
         super().__init__((self.path, self.start))
@@ -335,10 +351,13 @@ class BamReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [Piece(p, a, min(a + self.split, n)) for p, n in files(self.path) for a in range(0, n, self.split)]
+        found = files(self.path)
+        scan = uuid.uuid4().hex
+        step = self.split * max(1, -(-sum(-(-n // self.split) for _, n in found) // TASKS))
+        return [Piece(p, a, min(a + step, n), scan) for p, n in found for a in range(0, n, step)]
 
     def read(self, partition):
-        yield from read_split(partition.path, partition.start, partition.end, read_header(partition.path), self.wanted)
+        yield from read_split(partition.path, partition.start, partition.end, known_header(partition.path, partition.scan), self.wanted)
 
 
 class BamSource(DataSource):
@@ -390,6 +409,13 @@ def write_bam(rows: DataFrame, references: list[tuple[str, int]], path: str, blo
     at = {name: k for k, (name, _) in enumerate(references)} | {"*": -1}
     head = encode_header([n for n, _ in references], [n for _, n in references])
 
+    def flush(out, held: bytearray, n: int) -> None:
+        """Write blocks of what starts in the first ``n`` bytes."""
+        ends = range(0, n, block)
+        for k in ends:
+            out.write(squeezed(bytes(held[k : k + block])))
+        del held[: len(ends) * block]
+
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
@@ -397,18 +423,15 @@ def write_bam(rows: DataFrame, references: list[tuple[str, int]], path: str, blo
         fs.create_dir(own)
         task = TaskContext.get()
         name = f"{own.rstrip('/')}/part-{task.partitionId():05}.bam"
-        held, n = head, 0
+        held, n = bytearray(head), 0
         with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.part") as out:
             for batch in batches:
                 for q, flag, ref, pos, mapq, mref, mpos, nm in zip(*[batch[c].to_pylist() for c in ("qname", "flag", "rname", "pos", "mapq", "rnext", "pnext", "nm")], strict=True):
                     held += encode_record(q, flag, at[ref], pos, mapq, at[mref], mpos, nm)
                     n += 1
                     if len(held) >= block:
-                        out.write(squeezed(held[:block]))
-                        held = held[block:]
-            while held:
-                out.write(squeezed(held[:block]))
-                held = held[block:]
+                        flush(out, held, len(held) - block + 1)
+            flush(out, held, len(held))
             out.write(END)
         fs.move(f"{name}.{task.taskAttemptId()}.part", name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "n_rows"])

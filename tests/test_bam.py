@@ -78,3 +78,20 @@ def test_written_files_come_back(spark, tmp_path):
     B.register(spark)
     back = spark.read.format("bam").option("split", 700).load(f"file://{tmp_path}/out")
     assert sorted(tuple(r)[1:9] for r in back.collect()) == sorted(sample)
+
+
+def test_many_splits_take_few_tasks_and_headers(spark, tmp_path, monkeypatch):
+    """The header has a name for each contig: reading it in each of many splits grows with the square of the table."""
+    data, want = build(3000, 500)
+    (tmp_path / "a.bam").write_bytes(data)
+    whole = B.BamReader({"path": str(tmp_path), "split": str(len(data) // 50)})
+    monkeypatch.setattr(B, "TASKS", 7)
+    reader = B.BamReader({"path": str(tmp_path), "split": str(len(data) // 50)})
+    pieces = reader.partitions()
+    assert len(pieces) <= 7 and (pieces[0].start, pieces[-1].end) == (0, len(data)) and all(a.end == b.start for a, b in zip(pieces, pieces[1:], strict=False))
+    headers, read = [], B.read_header
+    monkeypatch.setattr(B, "read_header", lambda path: headers.append(path) or read(path))
+    got = [r for p in pieces for r in rows(reader.read(p))]
+    assert [r[1:9] for r in got] == want and len(headers) == 1
+    monkeypatch.setattr(B, "TASKS", 1024)
+    assert len(whole.partitions()) > 49 and [r for p in whole.partitions() for r in rows(whole.read(p))] == got
